@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirro.functions.stats import col, gated, kurt_unbiased, skew_unbiased
-from cirro.plans.layout import run_windows, with_block_carry, with_positions
+from cirro.plans.layout import run_windows, with_block_carries, with_block_carry, with_positions
 from cirro.plans.series import POS, SeriesSpec, SeriesWindow
 
 Named = list[tuple[str, Column]]
@@ -273,8 +273,8 @@ def drawdown(df: DataFrame, spec: SeriesSpec, cols, eps: float = 1e-10) -> DataF
     """(peak - x) / (peak + eps) clamped to [0, 1]; NaN/NULL read as 0;
     peak is the running max from the first row."""
     pos = with_positions(df, spec)
-    for c in cols:
-        pos = with_block_carry(pos, spec, F.max(F.coalesce(F.col(c), F.lit(0.0))), "max", f"_pk_{c}")
+    pos = with_block_carries(pos, spec, [(F.max(F.coalesce(F.col(c), F.lit(0.0))), "max", f"_pk_{c}", False)
+                                         for c in cols])
 
     def build(sw):
         out = []

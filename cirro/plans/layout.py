@@ -126,20 +126,30 @@ def run_windows(df: DataFrame, spec: SeriesSpec, build, lookback: int = 0,
     return out if keep_pos else out.drop(POS)
 
 
-def with_block_carry(df_pos: DataFrame, spec: SeriesSpec, agg: Column,
-                     combine: str, name: str) -> DataFrame:
-    """Attach the combine ('max'/'sum') of ``agg`` over all *earlier* blocks.
-
-    ``df_pos`` must carry ``_pos``.  Used for unbounded running frames
-    (running max, last event position, running sums) on the blocked layout.
+def with_block_carries(df_pos: DataFrame, spec: SeriesSpec, carries) -> DataFrame:
+    """Attach, per row, combines of per-block summaries over all *earlier*
+    blocks (or all *later* blocks).
+
+    ``carries`` is a list of ``(agg, combine, name, after)`` with combine in
+    'max'/'min'/'sum'.  All summaries come from one ``groupBy(series,
+    block)`` and one window pass over that small table, and are attached
+    with one join, so the plan does not grow with the number of carries.
+    Used for unbounded running frames (running max, last event position,
+    previous/next valid value) on the blocked layout.
     """
     keys = list(spec.keys)
     blk = F.floor((F.col(POS) - 1) / F.lit(spec.block_rows)).cast("long")
-    per = df_pos.groupBy(*keys, blk.alias(BLK)).agg(agg.alias("_m"))
-    w = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    fn = {"max": F.max, "sum": F.sum}[combine]
+    per = df_pos.groupBy(*keys, blk.alias(BLK)).agg(
+        *[agg.alias(f"_m{i}") for i, (agg, _, _, _) in enumerate(carries)])
+    fns = {"max": F.max, "min": F.min, "sum": F.sum}
+    base = Window.partitionBy(*keys).orderBy(BLK)
+    cols = []
+    for i, (_, combine, name, after) in enumerate(carries):
+        w = (base.rowsBetween(1, Window.unboundedFollowing) if after
+             else base.rowsBetween(Window.unboundedPreceding, -1))
+        cols.append(fns[combine](f"_m{i}").over(w).alias(name))
     carry = per.select(*[F.col(k).alias(f"_c_{k}") for k in keys],
-                       F.col(BLK).alias("_c_blk"), fn("_m").over(w).alias(name))
+                       F.col(BLK).alias("_c_blk"), *cols)
     d = df_pos.withColumn("_cb", blk)
     cond = None
     for k in keys:
@@ -148,3 +158,9 @@ def with_block_carry(df_pos: DataFrame, spec: SeriesSpec, agg: Column,
     cond = cond & (d["_cb"] == carry["_c_blk"])
     return (d.join(carry, cond, "left")
             .drop(*[f"_c_{k}" for k in keys], "_c_blk", "_cb"))
+
+
+def with_block_carry(df_pos: DataFrame, spec: SeriesSpec, agg: Column,
+                     combine: str, name: str, after: bool = False) -> DataFrame:
+    """One carry; see ``with_block_carries``."""
+    return with_block_carries(df_pos, spec, [(agg, combine, name, after)])
