@@ -101,12 +101,12 @@ def auc_roc(df: DataFrame, keys: Sequence[str], label: str = "label", p: str = "
 def average_precision(df: DataFrame, keys: Sequence[str], label: str = "label", p: str = "p") -> DataFrame:
     """Sum over distinct scores (descending) of recall step x precision."""
     c = value_prefix(_score_counts(df, keys, label, p), keys, "_p", ["pos", "neg"])
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    tot = c.groupBy(*keys).agg(F.sum("pos").alias("_tot_pos"), F.sum("neg").alias("_tot_neg"))
     j = c.join(tot, list(keys))
-    tp = F.col("_P") - F.col("pos_below")       # rows with score >= this score
-    fp = F.col("_N") - F.col("neg_below")
-    g = j.groupBy(*keys).agg(F.sum(F.col("pos") / F.col("_P") * tp / (tp + fp)).alias("_ap"),
-                             F.max("_P").alias("_npos"))
+    tp = F.col("_tot_pos") - F.col("pos_below")       # rows with score >= this score
+    fp = F.col("_tot_neg") - F.col("neg_below")
+    g = j.groupBy(*keys).agg(F.sum(F.col("pos") / F.col("_tot_pos") * tp / (tp + fp)).alias("_ap"),
+                             F.max("_tot_pos").alias("_npos"))
     return g.select(*keys, F.when(F.col("_npos") > 0, F.col("_ap")).alias("average_precision"))
 
 
