@@ -70,8 +70,8 @@ def q_auc(spark, sf_dir):
 AP_SQL = rounded(f"""
 WITH c AS (SELECT *, sum(pos) OVER (PARTITION BY series_id, model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
                   sum(neg) OVER (PARTITION BY series_id, model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
-                  sum(pos) OVER (PARTITION BY series_id, model) AS P FROM {_COUNTS} AS d)
-SELECT series_id, model, CASE WHEN max(P) > 0 THEN sum(pos / P * tp / (tp + fp)) END AS average_precision
+                  sum(pos) OVER (PARTITION BY series_id, model) AS npos FROM {_COUNTS} AS d)
+SELECT series_id, model, CASE WHEN max(npos) > 0 THEN sum(pos / npos * tp / (tp + fp)) END AS average_precision
 FROM c GROUP BY series_id, model""", G, ["average_precision"])
 
 
