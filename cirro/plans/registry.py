@@ -50,7 +50,7 @@ def rounded(inner: str, keep: list[str], doubles: list[str], digits: dict | None
 
 
 QUERY_MODULES = ["q_windows", "q_filters", "q_aggregates", "q_exports", "q_sources",
-                 "q_joins", "q_metrics", "q_spectral", "q_prep", "q_models"]
+                 "q_joins", "q_metrics", "q_grades", "q_spectral", "q_prep", "q_models"]
 
 
 def load_all() -> dict[str, Entry]:
