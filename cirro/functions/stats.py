@@ -19,21 +19,26 @@ def gated(expr: Column, n: Column, min_n: int) -> Column:
 
 
 def skew_unbiased(x: str | Column, frame) -> Column:
-    """Bias-corrected sample skewness over a window frame (pandas/DuckDB).
+    """Bias-corrected sample skewness over a window frame (pandas).
 
     Spark's ``skewness`` is the population moment g1; the adjusted
-    estimator is g1 * sqrt(n(n-1)) / (n-2), defined for n >= 3.
+    estimator is g1 * sqrt(n(n-1)) / (n-2), defined for n >= 3.  A
+    constant window gives 0.0, as pandas' rolling skew does.
     """
     n = F.count(col(x)).over(frame)
     g1 = F.skewness(col(x)).over(frame)
-    return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+    flat = F.max(col(x)).over(frame) == F.min(col(x)).over(frame)
+    return F.when(n >= 3, F.when(flat, F.lit(0.0)).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
 def kurt_unbiased(x: str | Column, frame) -> Column:
-    """Bias-corrected excess kurtosis over a frame, n >= 4."""
+    """Bias-corrected excess kurtosis over a frame, n >= 4.  A constant
+    window gives -3.0, as pandas' rolling kurt does."""
     n = F.count(col(x)).over(frame)
     g2 = F.kurtosis(col(x)).over(frame)
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+    flat = F.max(col(x)).over(frame) == F.min(col(x)).over(frame)
+    return F.when(n >= 4, F.when(flat, F.lit(-3.0)).otherwise(
+        (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
 
 
 def skew_unbiased_agg(x: str | Column) -> Column:

@@ -30,3 +30,66 @@ def feature_label(hourly: DataFrame, spec: SeriesSpec | None = None,
     out = run_windows(hourly.select(*spec.keys, spec.order, value), spec, build,
                       lookback=5, lookahead=FLAG_H)
     return out
+
+
+# --- the reference's full feature set (golden width: 211 new columns) -------------
+def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: int = 5,
+                      fit_mask: str | None = None, compat_week: bool = True,
+                      pca_exclude: tuple = ("label",)) -> DataFrame:
+    """All derived features of the reference on an hourly weather frame
+    (series_id, ts, temperature, humidity, pressure, precipitation,
+    wind_speed, ...): lags 36, rolling 108, differences 15 + accelerations
+    3, rain 21, interactions 2, spectral 6, correlations 3, calendar 9,
+    hours since rain 1, tendency 2, PCA 5.
+
+    Every window column is one expression in one ``select`` over the
+    blocked layout (one Window node); the spectral block is its own
+    windowed job; hours-since-rain carries across blocks.  Remaining gaps
+    are filled forward (168 rows), then with the series mean, then 0; PCA
+    is fitted on the rows where ``fit_mask`` is true (train rows, Q3) or
+    on all rows when None.
+    """
+    from pyspark.sql import functions as F
+
+    from cirro.functions.weather import calendar_parts, cyclic_time, interactions
+    from cirro.operators.fill import fill_with_stat
+    from cirro.operators.spectrum import spectral_features
+    from cirro.operators.windows import (
+        FEATURE_DIFFS, FEATURE_LAGS, FEATURE_ROLLING, RAIN_WINDOWS, TENDENCY_HOURS,
+        accel_cols, diff_cols, ffill_col, hours_since, rain_total_cols, rolling_corr_col)
+
+    spec = spec or SeriesSpec(keys=("series_id",), order="ts")
+    keys = list(spec.keys)
+    base = wx.columns
+
+    def build(sw):
+        out = []
+        out += lag_cols(sw, ["pressure", "temperature", "humidity", "wind_speed"], FEATURE_LAGS)
+        out += rolling_cols(sw, ["pressure", "humidity", "temperature"], FEATURE_ROLLING)
+        out += diff_cols(sw, ["pressure", "humidity", "temperature"], FEATURE_DIFFS)
+        out += accel_cols(sw, ["pressure", "humidity", "temperature"], 6)
+        out += rain_total_cols(sw, "precipitation", RAIN_WINDOWS)
+        out += [(f"corr_{a}_{b}_72", rolling_corr_col(sw, a, b, 72))
+                for a, b in (("pressure", "temperature"), ("pressure", "humidity"), ("temperature", "humidity"))]
+        out += diff_cols(sw, ["pressure"], TENDENCY_HOURS, "tendency")
+        return out
+    f = run_windows(wx, spec, build, lookback=168)
+    f = f.select("*", *[e.alias(n) for n, e in interactions()],
+                 *[e.alias(n) for n, e in calendar_parts(spec.order)],
+                 *[e.alias(n) for n, e in cyclic_time(spec.order, compat_week=compat_week)])
+    f = hours_since(f, spec, "precipitation", 0.1, "hours_since_rain")
+    sp = spectral_features(wx.select(*keys, *spec.order_cols, "pressure"), spec, "pressure")
+    f = f.join(sp.drop("pressure"), keys + spec.order_cols, "left")
+    derived = [c for c in f.columns if c not in base]
+    # gap handling: forward fill (168 rows), series mean, 0
+    from cirro.plans.layout import run_windows as rw
+    ff = rw(f, spec, lambda sw: [(f"_ff_{c}", ffill_col(sw, c, 168)) for c in derived], lookback=168)
+    ff = ff.select(*[F.col(f"_ff_{c}").alias(c) if c in derived else F.col(c)
+                     for c in f.columns])
+    ff = fill_with_stat(ff, spec, derived, "mean", 0.0)
+    if pca_k:
+        from cirro.operators.models import pca_features
+        from cirro.operators.select import numeric_columns
+        numeric = [c for c in numeric_columns(ff) if c not in keys + spec.order_cols + list(pca_exclude)]
+        ff = pca_features(ff, numeric, pca_k, fit_mask=fit_mask)
+    return ff

@@ -20,8 +20,16 @@ def _frame(n: int) -> str:
 
 
 def _gate(expr: str, c: str, n: int, mp: int, win: str = WR) -> str:
-    return (f"CASE WHEN count({c}) OVER ({win} {_frame(n)}) >= {mp} "
-            f"THEN {expr} OVER ({win} {_frame(n)}) END")
+    fr = f"OVER ({win} {_frame(n)})"
+    inner = f"{expr} {fr}"
+    # pandas: a constant window has skew 0 and kurt -3
+    if expr.startswith("skewness("):
+        inner = (f"CASE WHEN count({c}) {fr} >= 3 AND max({c}) {fr} = min({c}) {fr} THEN 0.0 "
+                 f"ELSE {expr} {fr} END")
+    elif expr.startswith("kurtosis("):
+        inner = (f"CASE WHEN count({c}) {fr} >= 4 AND max({c}) {fr} = min({c}) {fr} THEN -3.0 "
+                 f"ELSE {expr} {fr} END")
+    return f"CASE WHEN count({c}) {fr} >= {mp} THEN {inner} END"
 
 
 # --- flagship ------------------------------------------------------------------

@@ -141,14 +141,14 @@ def ev_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k_avg") / 2).alias("temperature"),
         F.least(F.lit(100.0), F.col("n") * 10.0).alias("humidity"),
         (F.col("v_avg") + 950).alias("pressure"),
-        (F.col("v_sum") / 1000).alias("precipitation"),
+        (F.col("v_avg") / 100).alias("precipitation"),
         (F.col("v_avg") / 10).alias("wind_speed"),
         F.least(F.lit(100.0), F.col("k_avg")).alias("cloud_cover"),
         ((F.col("k_avg") * 3.6) % 360).alias("wind_direction"))
 
 
 EV_WEATHER_SQL = f"""(SELECT series_id, ts, k_avg / 2 AS temperature, least(100.0, n * 10.0) AS humidity,
-   v_avg + 950 AS pressure, v_sum / 1000 AS precipitation, v_avg / 10 AS wind_speed,
+   v_avg + 950 AS pressure, v_avg / 100 AS precipitation, v_avg / 10 AS wind_speed,
    least(100.0, k_avg) AS cloud_cover, (k_avg * 3.6) % 360 AS wind_direction FROM {EV_HOURLY_SQL} AS h)"""
 WEATHER_COLS = ["temperature", "humidity", "pressure", "precipitation", "wind_speed", "cloud_cover",
                 "wind_direction"]
