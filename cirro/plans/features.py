@@ -73,20 +73,26 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
                 for a, b in (("pressure", "temperature"), ("pressure", "humidity"), ("temperature", "humidity"))]
         out += diff_cols(sw, ["pressure"], TENDENCY_HOURS, "tendency")
         return out
+    from cirro.session import cut_lineage
+    # Each stage below reads its input twice (position counts + rows, block
+    # carries + rows, statistics + rows); checkpoints between the stages
+    # keep the plan linear and let a lost executor restart from the last
+    # stage instead of the scan.
     f = run_windows(wx, spec, build, lookback=168)
     f = f.select("*", *[e.alias(n) for n, e in interactions()],
                  *[e.alias(n) for n, e in calendar_parts(spec.order)],
                  *[e.alias(n) for n, e in cyclic_time(spec.order, compat_week=compat_week)])
+    f = cut_lineage(f)
     f = hours_since(f, spec, "precipitation", 0.1, "hours_since_rain")
     sp = spectral_features(wx.select(*keys, *spec.order_cols, "pressure"), spec, "pressure")
-    f = f.join(sp.drop("pressure"), keys + spec.order_cols, "left")
+    f = cut_lineage(f.join(sp.drop("pressure"), keys + spec.order_cols, "left"))
     derived = [c for c in f.columns if c not in base]
     # gap handling: forward fill (168 rows), series mean, 0
     from cirro.plans.layout import run_windows as rw
     ff = rw(f, spec, lambda sw: [(f"_ff_{c}", ffill_col(sw, c, 168)) for c in derived], lookback=168)
     ff = ff.select(*[F.col(f"_ff_{c}").alias(c) if c in derived else F.col(c)
                      for c in f.columns])
-    ff = fill_with_stat(ff, spec, derived, "mean", 0.0)
+    ff = cut_lineage(fill_with_stat(cut_lineage(ff), spec, derived, "mean", 0.0))
     if pca_k:
         from cirro.operators.models import pca_features
         from cirro.operators.select import numeric_columns
