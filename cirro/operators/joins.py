@@ -60,12 +60,40 @@ def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str =
     extent = 360.0 if metric == "degrees" else 2.0
     P, dim = _coords(points, point_id, lat, lon, metric, "p")
     S, _ = _coords(stations, station_id, lat, lon, metric, "s")
+    area = 360.0 * 180.0 if metric == "degrees" else 4 * math.pi
+    res = _knn_core(P, S, dim, k, extent, cell, area)
+    dist = F.col("_d") if metric == "degrees" else 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("_d") / 2))
+    return res.select(F.col("pid").alias(point_id), F.col("sid").alias(station_id),
+                      F.col("rank").cast("int").alias("rank"), dist.alias("distance"))
+
+
+def knn_euclidean(points: DataFrame, refs: DataFrame, point_id: str, ref_id: str, dims, k: int,
+                  exclude_self: bool = False) -> DataFrame:
+    """Exact k nearest ``refs`` per point in Euclidean space over ``dims``
+    (a few coordinates), by the same multi-level grid search.  Returns
+    (point_id, ref_id, rank, distance)."""
+    dim = len(dims)
+    P = points.select(F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(dims)])
+    S = refs.select(F.col(ref_id).alias("sid"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(dims)])
+    b = S.agg(*[F.min(f"s{i}") for i in range(dim)], *[F.max(f"s{i}") for i in range(dim)]).first()
+    pb = P.agg(*[F.min(f"p{i}") for i in range(dim)], *[F.max(f"p{i}") for i in range(dim)]).first()
+    lo = [min(b[i], pb[i]) for i in range(dim)]
+    hi = [max(b[dim + i], pb[dim + i]) for i in range(dim)]
+    extent = max([h - l for h, l in zip(hi, lo)] + [1e-9]) * 2
+    area = 1.0
+    for h, l in zip(hi, lo):
+        area *= max(h - l, 1e-9)
+    res = _knn_core(P, S, dim, k + (1 if exclude_self else 0), extent, None, area, exclude_self)
+    return res.select(F.col("pid").alias(point_id), F.col("sid").alias(ref_id),
+                      F.col("rank").cast("int").alias("rank"), F.col("_d").alias("distance"))
+
+
+def _knn_core(P: DataFrame, S: DataFrame, dim: int, k: int, extent: float, cell, area: float,
+              exclude_self: bool = False) -> DataFrame:
     if cell is None:
-        # first level sized so that a cell block holds about k stations on
-        # average (one count over the station list)
-        area = 360.0 * 180.0 if metric == "degrees" else 4 * math.pi
+        # first level sized so that a block of cells holds about k references
         n_s = max(S.count(), 1)
-        cell = max(math.sqrt(area * k / n_s) / 3.0, extent / 2 ** 20)
+        cell = max((area * k / n_s) ** (1.0 / dim) / 3.0, extent / 2 ** 20)
     results = None
     todo = P
     size = cell
@@ -81,12 +109,15 @@ def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str =
             e = F.col(f"q{i}") == F.col(f"sc{i}")
             cond = e if cond is None else cond & e
         j = cand.join(sc, cond, "inner")
+        if exclude_self:
+            j = j.filter(F.col("pid") != F.col("sid"))
         sq = sum(((F.col(f"p{i}") - F.col(f"s{i}")) ** 2 for i in range(dim)), F.lit(0.0))
         j = j.select("pid", "sid", F.sqrt(sq).alias("_d"))
         w = Window.partitionBy("pid").orderBy("_d", "sid")
-        top = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        kk = k - (1 if exclude_self else 0)
+        top = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
         kth = top.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"))
-        ok = ((F.col("_n") >= k) & (F.col("_dk") <= size)) | F.lit(final)
+        ok = ((F.col("_n") >= kk) & (F.col("_dk") <= size)) | F.lit(final)
         done_ids = kth.filter(ok).select("pid")
         res = top.join(done_ids, "pid", "left_semi")
         results = res if results is None else results.unionByName(res)
@@ -97,9 +128,7 @@ def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str =
         if todo.limit(1).count() == 0:
             break
         size *= 2
-    dist = F.col("_d") if metric == "degrees" else 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("_d") / 2))
-    return results.select(F.col("pid").alias(point_id), F.col("sid").alias(station_id),
-                          F.col("rank").cast("int").alias("rank"), dist.alias("distance"))
+    return results
 
 
 def first_reporting(ranked: DataFrame, observations: DataFrame, point_id: str = "point_id",

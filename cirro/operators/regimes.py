@@ -1,0 +1,64 @@
+"""Volatility regimes.
+
+The reference fits a 3-state Gaussian hidden Markov model per location
+(hmmlearn) and reads the smoothed state posteriors.  Re-aimed here as a
+Gaussian mixture fitted with MLlib's distributed EM over the standardised
+(pressure, temperature, humidity) rows of all series: posteriors per row
+without the transition smoothing of an HMM (forward-backward needs the
+whole series in order, i.e. one task per series).  States are ordered by
+the trace of their covariance, so ``state_2`` is the most volatile and
+``volatile_prob`` its posterior.  Series with fewer than ``min_rows``
+rows get the reference's uniform fallback (0.33, 0.33, 0.34; volatile
+0.5).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cirro.operators.models import standardize
+
+
+def regime_posteriors(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3,
+                      min_rows: int = 200, seed: int = 42) -> DataFrame:
+    keys = list(keys)
+    z = standardize(df, keys, cols)
+    va = VectorAssembler(inputCols=list(cols), outputCol="_z", handleInvalid="skip")
+    zz = va.transform(z)
+    gm = GaussianMixture(k=k, featuresCol="_z", probabilityCol="_post", seed=seed, maxIter=100).fit(zz)
+    covs = [g.cov.toArray() for g in gm.gaussians]            # k small matrices (model parameters)
+    order = sorted(range(k), key=lambda i: float(covs[i].trace()))
+    post = vector_to_array("_post")
+    out = gm.transform(zz)
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    out = out.join(n, keys)
+    few = F.col("_rows") < min_rows
+    uniform = [0.33] * (k - 1) + [1 - 0.33 * (k - 1)]
+    states = [F.when(few, F.lit(uniform[j])).otherwise(post[order[j]]).alias(f"state_{j}") for j in range(k)]
+    vol = F.when(few, F.lit(0.5)).otherwise(post[order[-1]]).alias("volatile_prob")
+    base = [c for c in df.columns if c not in cols] + list(cols)
+    return out.select(*[F.col(c) for c in base], *states, vol)
+
+
+def hard_state(post: DataFrame, k: int = 3) -> DataFrame:
+    """Most likely state per row (posterior argmax, not the Viterbi path)."""
+    arr = F.array(*[F.col(f"state_{j}") for j in range(k)])
+    return post.withColumn("state", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
+
+
+def two_state(df: DataFrame, keys: Sequence[str], cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """M10 (first version): two states; the volatile one is the state whose
+    rows have the larger variance of the standardised observations."""
+    p = hard_state(regime_posteriors(df, keys, cols, 2, 0, seed), 2)
+    var = (p.select("state", F.inline(F.array(*[F.struct(F.col(c).alias("v")) for c in cols])))
+           .groupBy("state").agg(F.var_pop("v").alias("_var")))
+    best = var.orderBy(F.desc("_var"), "state").first()       # one row: the volatile state id
+    vs = int(best["state"]) if best is not None else 1
+    return (p.withColumn("volatile", F.col("state") == vs)
+            .withColumn("volatile_prob", F.col(f"state_{vs}")))

@@ -160,3 +160,69 @@ def q_top_features(spark, sf_dir):
     from cirro.operators.selection import mutual_information, top_features
     mi = mutual_information(_mi_frame(spark, sf_dir), ["series_id"], _MI_FEATS, "label", 10)
     return top_features(mi, ["series_id"])
+
+
+# --- M8 / M10 ------------------------------------------------------------------------------
+_REG_COLS = ["pressure", "temperature", "humidity"]
+
+
+@register("regime_posteriors")
+def q_regimes(spark, sf_dir):
+    """M8: state posteriors and volatile_prob per hourly row."""
+    from cirro.operators.regimes import regime_posteriors
+    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS)
+    return regime_posteriors(w, ["series_id"], _REG_COLS, 3)
+
+
+@register("hard_state")
+def q_hard_state(spark, sf_dir):
+    """Posterior argmax (3 states) and the two-state volatile flag."""
+    from cirro.operators.regimes import hard_state, two_state
+    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS)
+    two = two_state(w, ["series_id"], _REG_COLS).select("series_id", "ts", F.col("volatile"))
+    from cirro.operators.regimes import regime_posteriors
+    three = hard_state(regime_posteriors(w, ["series_id"], _REG_COLS, 3)).select("series_id", "ts", "state")
+    return three.join(two, ["series_id", "ts"])
+
+
+# --- T3 / T4 / M11 --------------------------------------------------------------------------
+def _labelled(spark, sf_dir):
+    from cirro.operators import windows as W
+    from cirro.operators.splits import chronological_split
+    w = V.ev_weather(spark, sf_dir)
+    lab = W.future_label(w, V.HOURLY_SPEC, "precipitation", TR.HORIZON, TR.RAIN_THR, name="label")
+    lab = lab.filter(F.col("label").isNotNull())
+    return chronological_split(lab, V.HOURLY_SPEC)
+
+
+@register("balanced_subset")
+def q_balanced(spark, sf_dir):
+    """T4: validation rows subsampled to the training positive share."""
+    from cirro.operators.sampling import balanced_subset
+    s = _labelled(spark, sf_dir)
+    rate = s.filter(F.col("split") == "train").agg(F.avg("label")).first()[0]
+    return balanced_subset(s.filter(F.col("split") == "validation"), float(rate), ["series_id", "ts"])
+
+
+def _synthetic(spark, sf_dir):
+    from cirro.operators.sampling import oversample_minority
+    s = _labelled(spark, sf_dir).filter(F.col("split") == "train")
+    s = s.withColumn("row_key", F.concat_ws("|", "series_id", F.col("ts").cast("string")))
+    z = ML.standardize(s, ["series_id"], ["pressure", "temperature", "humidity"])
+    feats = ["pressure", "temperature", "humidity", "wind_speed", "cloud_cover"]
+    syn = oversample_minority(z, "row_key", feats, ["pressure", "temperature", "humidity"], "label", 5)
+    return z, syn, feats
+
+
+@register("oversample_minority")
+def q_oversample(spark, sf_dir):
+    """Synthetic minority rows (5 nearest minority neighbours)."""
+    return _synthetic(spark, sf_dir)[1]
+
+
+@register("append_synthetic")
+def q_append(spark, sf_dir):
+    """Training rows plus synthetic rows; classes end balanced."""
+    from cirro.operators.sampling import append_synthetic
+    z, syn, feats = _synthetic(spark, sf_dir)
+    return append_synthetic(z.select(*feats, "label"), syn)
