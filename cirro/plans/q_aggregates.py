@@ -41,8 +41,19 @@ def q_missing(spark, sf_dir):
     return A.missing_profile(grid(spark, sf_dir), ["series_id"], GRID_COLS)
 
 
-@register("data_quality")
+_NONEMPTY = ", ".join(f"count({c}) OVER (PARTITION BY series_id) AS nn_{c}" for c in GRID_COLS)
+_AFTER_NULLS = " + ".join(f"CAST({c} IS NULL AND nn_{c} = 0 AS BIGINT)" for c in GRID_COLS)
+QUALITY_SQL = rounded(f"""
+SELECT series_id, 1 - sum({_nulls_sql(GRID_COLS)}) / (count(*) * 4) AS quality_before,
+  1 - sum({_AFTER_NULLS}) / (count(*) * 4) AS quality_after
+FROM (SELECT *, {_NONEMPTY} FROM {GRID_SQL} AS g) AS x GROUP BY series_id""",
+    ["series_id"], ["quality_before", "quality_after"])
+
+
+@register("data_quality", QUALITY_SQL)
 def q_quality(spark, sf_dir):
+    """A2 before and after the fill cascade (interpolation, then the series
+    median, which leaves a cell empty only when its whole column is empty)."""
     g = grid(spark, sf_dir)
     after = fill_cascade(g, V.HOURLY_SPEC, GRID_COLS)
     return A.data_quality(g, after, ["series_id"], GRID_COLS)
