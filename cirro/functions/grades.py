@@ -123,7 +123,8 @@ def weighted_vote(p_rf, p_xgb, p_gb, auc_rf, auc_xgb, f1_gb, regime) -> Column:
     0.3*AUC_rf, 0.4*AUC_xgb, 0.3*F1_gb, clipped; x1.2 when the regime
     probability > 0.7; 0.8*p + 0.2*regime; clipped again."""
     w1, w2, w3 = 0.3 * _c(auc_rf), 0.4 * _c(auc_xgb), 0.3 * _c(f1_gb)
-    e = (w1 * _c(p_rf) * 1.5 + w2 * _c(p_xgb) * 2.5 + w3 * _c(p_gb)) / (w1 + w2 + w3)
+    den = w1 + w2 + w3
+    e = F.when(den != 0, (w1 * _c(p_rf) * 1.5 + w2 * _c(p_xgb) * 2.5 + w3 * _c(p_gb)) / den)
     e = F.greatest(F.lit(0.0), F.least(F.lit(1.0), e))
     reg = _c(regime)
     e = F.when(reg > 0.7, e * 1.2).otherwise(e)

@@ -79,3 +79,19 @@ def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None)
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+def safe_corr(x: str | Column, y: str | Column, over=None) -> Column:
+    """Pearson correlation over complete pairs, NULL when either side is
+    constant.  Spark's ``corr`` divides by zero for a constant input,
+    which raises under ANSI mode; covariance / (std * std) of the paired
+    values is guarded instead."""
+    xc, yc = col(x), col(y)
+    both = xc.isNotNull() & yc.isNotNull()
+    xp, yp = F.when(both, xc), F.when(both, yc)
+
+    def agg(e):
+        return e.over(over) if over is not None else e
+    cov = agg(F.covar_samp(xp, yp))
+    sx, sy = agg(F.stddev_samp(xp)), agg(F.stddev_samp(yp))
+    return F.when((sx > 0) & (sy > 0), cov / (sx * sy))

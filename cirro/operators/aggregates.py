@@ -14,7 +14,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirro.functions.stats import finite_or
+from cirro.functions.stats import finite_or, safe_corr
 from cirro.operators.windows import drawdown as drawdown_op
 from cirro.plans.layout import run_windows
 from cirro.plans.series import SeriesSpec
@@ -62,7 +62,7 @@ def pair_stats_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     """Sample covariance or Pearson correlation of every column
     pair, NaN/NULL -> 0, as a long table (var_i, var_j, value) -- both
     orders of every pair, like the square matrix."""
-    fn = F.covar_samp if kind == "cov" else F.corr
+    fn = F.covar_samp if kind == "cov" else safe_corr
     pairs = list(combinations_with_replacement(cols, 2))
     aggs = [fn(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_p{i}")
             for i, (a, b) in enumerate(pairs)]

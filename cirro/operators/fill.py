@@ -87,7 +87,8 @@ def interpolate(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], method: st
             dn = n["p"] - F.col(POS)
             within = (p.isNotNull() & (dp <= limit)) | (n.isNotNull() & (dn <= limit))
             t_here = tnum
-            line = p["v"] + (n["v"] - p["v"]) * (t_here - p["t"]) / (n["t"] - p["t"])
+            span = n["t"] - p["t"]
+            line = F.when(span != 0, p["v"] + (n["v"] - p["v"]) * (t_here - p["t"]) / span).otherwise(p["v"])
             val = (F.when(p.isNotNull() & n.isNotNull(), line)
                    .when(p.isNotNull(), p["v"]).otherwise(n["v"]))
             sel.append(F.when(F.col(f).isNotNull(), F.col(f))

@@ -105,7 +105,8 @@ def average_precision(df: DataFrame, keys: Sequence[str], label: str = "label",
     j = c.join(tot, list(keys))
     tp = F.col("_tot_pos") - F.col("pos_below")       # rows with score >= this score
     fp = F.col("_tot_neg") - F.col("neg_below")
-    g = j.groupBy(*keys).agg(F.sum(F.col("pos") / F.col("_tot_pos") * tp / (tp + fp)).alias("_ap"),
+    term = F.when(F.col("_tot_pos") > 0, F.col("pos") / F.col("_tot_pos") * tp / (tp + fp))
+    g = j.groupBy(*keys).agg(F.sum(term).alias("_ap"),
                              F.max("_tot_pos").alias("_npos"))
     return g.select(*keys, F.when(F.col("_npos") > 0, F.col("_ap")).alias("average_precision"))
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirro.functions.stats import col, gated, kurt_unbiased, skew_unbiased
+from cirro.functions.stats import col, gated, kurt_unbiased, safe_corr, skew_unbiased
 from cirro.plans.layout import run_windows, with_block_carries, with_block_carry, with_positions
 from cirro.plans.series import POS, SeriesSpec, SeriesWindow
 
@@ -116,7 +116,7 @@ def rolling_corr_col(sw: SeriesWindow, x: str, y: str, n: int = 72) -> Column:
     """Pearson correlation over n rows; needs n complete pairs."""
     fr = sw.trailing(n)
     pairs = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(fr)
-    return F.when(pairs >= n, F.corr(x, y).over(fr))
+    return F.when(pairs >= n, safe_corr(x, y, fr))
 
 
 # --- W15 ---------------------------------------------------------------------

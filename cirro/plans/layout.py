@@ -88,18 +88,19 @@ def blocked(df_pos: DataFrame, spec: SeriesSpec, lookback: int = 0,
     Adds ``_blk`` (block id) and ``_core`` (True for the block's own rows).
     """
     B = spec.block_rows
-    if lookback >= B or lookahead >= B:
-        raise ValueError("window reach must be smaller than block_rows")
     p0 = F.col(POS) - 1
     blk = F.floor(p0 / F.lit(B)).cast("long")
     r = p0 - blk * B
     targets = [F.struct(blk.alias("b"), F.lit(True).alias("c"))]
-    if lookback > 0:
-        targets.append(F.when(r >= B - lookback,
-                              F.struct((blk + 1).alias("b"), F.lit(False).alias("c"))))
-    if lookahead > 0:
-        targets.append(F.when((r < lookahead) & (blk > 0),
-                              F.struct((blk - 1).alias("b"), F.lit(False).alias("c"))))
+    # block b+j needs this row as halo when it lies in its last `lookback`
+    # rows before (b+j)*B; block b-j when it lies in its first `lookahead`
+    # rows after (b-j+1)*B.  A reach longer than a block spans several.
+    for j in range(1, -(-lookback // B) + 1 if lookback > 0 else 1):
+        targets.append(F.when(r >= j * B - lookback,
+                              F.struct((blk + j).alias("b"), F.lit(False).alias("c"))))
+    for j in range(1, -(-lookahead // B) + 1 if lookahead > 0 else 1):
+        targets.append(F.when((r < lookahead - (j - 1) * B) & (blk >= j),
+                              F.struct((blk - j).alias("b"), F.lit(False).alias("c"))))
     if len(targets) == 1:
         return df_pos.withColumn(BLK, blk).withColumn(CORE, F.lit(True))
     arr = F.filter(F.array(*targets), lambda s: s.isNotNull())
