@@ -46,6 +46,7 @@ def main() -> None:
             return time.perf_counter() - t0
         once()                                   # warm-up (JIT, file listing, plan caches)
         times[name] = round(statistics.median(once() for _ in range(runs)), 3)
+        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_median_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "runs": runs}))
