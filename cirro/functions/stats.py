@@ -23,12 +23,13 @@ def skew_unbiased(x: str | Column, frame) -> Column:
 
     Spark's ``skewness`` is the population moment g1; the adjusted
     estimator is g1 * sqrt(n(n-1)) / (n-2), defined for n >= 3.  A
-    constant window gives 0.0, as pandas' rolling skew does.
+    constant window (second moment exactly 0, for which Spark returns
+    NULL) gives 0.0, as pandas' rolling skew does.
     """
     n = F.count(col(x)).over(frame)
     g1 = F.skewness(col(x)).over(frame)
-    flat = F.max(col(x)).over(frame) == F.min(col(x)).over(frame)
-    return F.when(n >= 3, F.when(flat, F.lit(0.0)).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
+    adj = g1 * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n >= 3, F.coalesce(F.nanvl(adj, F.lit(0.0)), F.lit(0.0)))
 
 
 def kurt_unbiased(x: str | Column, frame) -> Column:
@@ -36,9 +37,8 @@ def kurt_unbiased(x: str | Column, frame) -> Column:
     window gives -3.0, as pandas' rolling kurt does."""
     n = F.count(col(x)).over(frame)
     g2 = F.kurtosis(col(x)).over(frame)
-    flat = F.max(col(x)).over(frame) == F.min(col(x)).over(frame)
-    return F.when(n >= 4, F.when(flat, F.lit(-3.0)).otherwise(
-        (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
+    adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    return F.when(n >= 4, F.coalesce(F.nanvl(adj, F.lit(-3.0)), F.lit(-3.0)))
 
 
 def skew_unbiased_agg(x: str | Column) -> Column:

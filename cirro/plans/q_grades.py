@@ -24,11 +24,15 @@ KEY = ["series_id", "ts", "event_id"]
 
 
 def graded(spark, sf_dir):
-    s = V.scored(spark, sf_dir)
+    from cirro.session import cut_lineage
+    # the scores and the ensemble feed six per-series aggregates each:
+    # materialise them once in the checkpoint folder
+    s = cut_lineage(V.scored(spark, sf_dir))
     ens = s.groupBy(*KEY).agg(
         F.percentile("p", 0.5).alias("p_ens"), (F.max("p") - F.min("p")).alias("p_range"),
         F.count("p").alias("n_models"), F.stddev_pop("p").alias("p_std"), F.first("label").alias("label"),
         *[F.max(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in MODELS])
+    ens = cut_lineage(ens)
     q = M.conformal_quantile(ens, ["series_id"], p="p_ens")
     thr = M.best_threshold(ens, ["series_id"], p="p_ens").select(
         "series_id", GR.clamp_threshold(F.col("threshold")).alias("threshold"))
