@@ -153,3 +153,33 @@ def feature_fill(df: DataFrame, spec: SeriesSpec, cols: Sequence[str],
                    for c in b.columns if not c.startswith("_f_")])
     c_ = interpolate(b, spec, cols, "linear", interp_limit, positioned=True).drop(POS)
     return fill_with_stat(c_, spec, cols, "mean", 0.0)
+
+
+def knn_impute(df: DataFrame, key: str, target: str, search: Sequence[str], k: int = 5,
+               group: str | None = None) -> DataFrame:
+    """M2: a missing ``target`` becomes the distance-weighted mean of the
+    ``k`` nearest rows that have it (inverse distance; rows at distance 0
+    take the plain mean of the zero-distance neighbours), distance on the
+    ``search`` columns (which must be present), neighbours within
+    ``group`` (the series).  Exact neighbours by grid search, no pairs."""
+    from cirro.operators.joins import knn_euclidean
+    ok = F.col(target).isNotNull()
+    searchable = None
+    for c in search:
+        e = F.col(c).isNotNull()
+        searchable = e if searchable is None else searchable & e
+    holes = df.filter(~ok & searchable)
+    donors = df.filter(ok & searchable).select(F.col(key).alias("_donor"), *([group] if group else []),
+                                               *search, F.col(target).alias("_tv"))
+    nn = knn_euclidean(holes, donors, key, "_donor", list(search), k, group=group)
+    nn = nn.join(donors.select("_donor", "_tv"), "_donor")
+    zero = F.col("distance") == 0
+    est = nn.groupBy(key).agg(
+        F.sum(F.when(zero, 1)).alias("_nz"), F.avg(F.when(zero, F.col("_tv"))).alias("_z"),
+        F.sum(F.when(~zero, F.col("_tv") / F.col("distance"))).alias("_num"),
+        F.sum(F.when(~zero, 1 / F.col("distance"))).alias("_den"))
+    val = F.when(F.col("_nz") > 0, F.col("_z")).otherwise(F.col("_num") / F.col("_den"))
+    est = est.select(key, val.alias("_imp"))
+    out = df.join(est, key, "left")
+    return out.select(*[F.coalesce(F.col(target), F.col("_imp")).alias(c) if c == target else F.col(c)
+                        for c in df.columns])

@@ -68,13 +68,18 @@ def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str =
 
 
 def knn_euclidean(points: DataFrame, refs: DataFrame, point_id: str, ref_id: str, dims, k: int,
-                  exclude_self: bool = False) -> DataFrame:
+                  exclude_self: bool = False, group: str | None = None) -> DataFrame:
     """Exact k nearest ``refs`` per point in Euclidean space over ``dims``
-    (a few coordinates), by the same multi-level grid search.  Returns
+    (a few coordinates), by the same multi-level grid search; with
+    ``group`` only references of the point's group count.  Returns
     (point_id, ref_id, rank, distance)."""
     dim = len(dims)
-    P = points.select(F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(dims)])
-    S = refs.select(F.col(ref_id).alias("sid"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(dims)])
+    pg = [F.col(group).alias("_pg")] if group else []
+    sg = [F.col(group).alias("_sg")] if group else []
+    P = points.select(F.col(point_id).alias("pid"), *pg,
+                      *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(dims)])
+    S = refs.select(F.col(ref_id).alias("sid"), *sg,
+                    *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(dims)])
     b = S.agg(*[F.min(f"s{i}") for i in range(dim)], *[F.max(f"s{i}") for i in range(dim)]).first()
     pb = P.agg(*[F.min(f"p{i}") for i in range(dim)], *[F.max(f"p{i}") for i in range(dim)]).first()
     lo = [min(b[i], pb[i]) for i in range(dim)]
@@ -108,6 +113,8 @@ def _knn_core(P: DataFrame, S: DataFrame, dim: int, k: int, extent: float, cell,
         for i in range(dim):
             e = F.col(f"q{i}") == F.col(f"sc{i}")
             cond = e if cond is None else cond & e
+        if "_pg" in cand.columns and "_sg" in sc.columns:
+            cond = cond & (F.col("_pg") == F.col("_sg"))
         j = cand.join(sc, cond, "inner")
         if exclude_self:
             j = j.filter(F.col("pid") != F.col("sid"))

@@ -117,3 +117,33 @@ def q_feature_fill(spark, sf_dir):
 
 
 _ = GRID_COLS
+
+
+# --- M2 ------------------------------------------------------------------------------
+# Stand-in gaps: the temperature reading of an hour with a single event is
+# treated as missing; pressure and humidity are the observed columns.
+_KNN_IN = f"""(SELECT series_id, ts, CASE WHEN humidity > 10 THEN temperature END AS temperature, pressure, humidity
+   FROM {V.EV_WEATHER_SQL} AS w)"""
+KNN_SQL = rounded(f"""
+WITH d AS {_KNN_IN},
+h AS (SELECT * FROM d WHERE temperature IS NULL),
+o AS (SELECT * FROM d WHERE temperature IS NOT NULL),
+p AS (SELECT h.series_id, h.ts, o.temperature AS tv,
+        sqrt((h.pressure - o.pressure) ^ 2 + (h.humidity - o.humidity) ^ 2) AS dist,
+        row_number() OVER (PARTITION BY h.series_id, h.ts ORDER BY sqrt((h.pressure - o.pressure) ^ 2 + (h.humidity - o.humidity) ^ 2),
+                           o.series_id || '|' || strftime(o.ts, '%Y-%m-%d %H:%M:%S')) AS rk
+      FROM h JOIN o ON h.series_id = o.series_id),
+e AS (SELECT series_id, ts, CASE WHEN count(*) FILTER (WHERE dist = 0) > 0 THEN avg(tv) FILTER (WHERE dist = 0)
+        ELSE sum(tv / dist) / sum(1 / dist) END AS imp FROM p WHERE rk <= 5 GROUP BY 1, 2)
+SELECT d.series_id, d.ts, coalesce(d.temperature, e.imp) AS temperature
+FROM d LEFT JOIN e ON d.series_id = e.series_id AND d.ts = e.ts""", ["series_id", "ts"], ["temperature"])
+
+
+@register("knn_impute", KNN_SQL)
+def q_knn_impute(spark, sf_dir):
+    w = V.ev_weather(spark, sf_dir)
+    d = w.select("series_id", "ts", F.when(F.col("humidity") > 10, F.col("temperature")).alias("temperature"),
+                 "pressure", "humidity")
+    d = d.withColumn("row_key", F.concat_ws("|", "series_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return FL.knn_impute(d, "row_key", "temperature", ["pressure", "humidity"], 5, group="series_id").select(
+        "series_id", "ts", "temperature")
