@@ -124,3 +124,21 @@ def test_interp_edge_fixture(spark):
         got = _collect(out, "x")
         assert got == exp
     assert F is not None
+
+
+@pytest.mark.parametrize("block_rows", [2_000_000, 7])
+def test_interpolate_long_holes_and_empty_series(spark, block_rows):
+    """SURVEY hard part 1: holes > 2*limit keep a hole, ends extend flat up
+    to the limit, an all-NULL series stays NULL (checked against pandas)."""
+    from cirro.operators.fill import interpolate
+    vals = [None] * 5 + [1.0] + [None] * 60 + [61.0, 62.0] + [None] * 30
+    df = _frame(spark, vals).unionByName(_frame(spark, [None] * 10, series="empty"))
+    out = interpolate(df, SeriesSpec(block_rows=block_rows), ["x"], "linear", limit=24)
+    got = [r["x"] for r in out.filter("series_id = 'a'").orderBy("ts").collect()]
+    exp = pd.Series(vals, dtype=float).interpolate(method="linear", limit=24, limit_direction="both")
+    for g, e in zip(got, exp):
+        if pd.isna(e):
+            assert g is None
+        else:
+            assert g == pytest.approx(e)
+    assert all(r["x"] is None for r in out.filter("series_id = 'empty'").collect())
