@@ -201,23 +201,20 @@ def pack(docs: DataFrame, files: tuple[str, str, str], end_id: int = 1, capacity
     slots = slot_table(shortest_pack_first(hist, capacity))
     shared = docs.sparkSession.sparkContext.broadcast(slots)          # bounded by capacity, see above
 
-    def place(frames):
+    def place(batches):
         s = shared.value
         key = s[:, 0] << 44 | s[:, 1]
-        for f in frames:
-            length, rank = f["length"].to_numpy(np.int64), f["rank"].to_numpy(np.int64)
+        for b in batches:
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             row = s[np.searchsorted(key, length << 44 | rank, side="right") - 1]
             nth = rank - row[:, 1]
-            f["sequence_id"] = row[:, 3] + nth // row[:, 2]
-            f["offset"] = row[:, 4] + nth % row[:, 2] * length
-            yield f.drop(columns="rank")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:5], pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * length)],
+                names=[*columns, "sequence_id", "offset"])
 
-    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    out = ranked(cut, "length", order, bucket_rows)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return out.select(*columns, "rank").mapInPandas(
-        lambda frames: place(f.astype({"doc_id": "Int64"}) if f["doc_id"].hasnans else f for f in frames),
-        PIECE_FIELDS + ", sequence_id long, offset long")
+    out = ranked(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], bucket_rows)
+    return out.select(*columns, "rank").mapInArrow(place, PIECE_FIELDS + ", sequence_id long, offset long")
 
 
 def padding(packed: pd.DataFrame, capacity: int) -> int:

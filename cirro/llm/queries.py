@@ -34,3 +34,9 @@ def vocabulary_files() -> tuple[str, str, str]:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), vocabulary_files())
+
+
+@_query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.secret_scan import digest, scan
+    return digest(scan(table(spark, sf_dir, "documents")))
