@@ -40,3 +40,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.secret_scan import digest, scan
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+@_query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("removed")
