@@ -46,3 +46,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("removed")
+
+
+@_query("op3_minhash_dedup")
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.minhash_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
