@@ -52,3 +52,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.minhash_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.embedding_dedup import vector_links
+    return vector_links(table(spark, sf_dir, "embeddings"))
