@@ -58,3 +58,9 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.embedding_dedup import vector_links
     return vector_links(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.decontamination import find_passages
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
