@@ -144,3 +144,31 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
         roll = np.where(inside, mix(roll * np.uint64(0x9E3779B97F4A7C15) + nxt), roll)
     keep = (np.arange(n) - at[row] < out_count[row])
     return roll[keep], out_at
+
+
+def _classes() -> np.ndarray:
+    t = np.full(256, 2, dtype=np.uint8)                     # punctuation and symbols
+    t[WORD_BYTE] = 1
+    t[[9, 10, 11, 12, 13, 32]] = 0
+    return t
+
+
+CLASS = _classes()
+
+
+def class_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, class) of the runs of word bytes (1) and of symbols (2); no run crosses a row."""
+    n = len(data)
+    if n == 0:
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, z, z
+    cls = CLASS[data]
+    change = np.ones(n + 1, dtype=bool)
+    change[1:n] = cls[1:] != cls[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    start, end = at[:-1], at[1:]
+    kind = cls[start].astype(np.int64)
+    keep = kind > 0
+    start, end, kind = start[keep], end[keep], kind[keep]
+    return start, end, np.searchsorted(offsets, start, side="right") - 1, kind
