@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.llm.graph import components
@@ -249,3 +249,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
                       F.coalesce(F.col("class") == F.col("doc_id"), F.lit(True)).alias("kept"),
                       F.coalesce("n_grams", F.lit(0)).cast("long").alias("n_grams"),
                       F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """The documents without near duplicates of a kept one, all columns: one row of each class.
+
+    Rows without doc_id, and rows whose text has no words, stay.
+    """
+    classes = near_duplicates(docs, **parameters).where("n_grams > 0").select("doc_id", "kept").distinct()
+    info = classes.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"))
+    joined = rows.join(info, F.col("_doc") == F.col("_id"), "left").where("_kept IS NULL OR _kept")
+    # Rows that share a doc_id are one node: one of them stays.
+    nth = F.row_number().over(Window.partitionBy("_doc", F.when(F.col("_kept").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row.text")))
+    return joined.withColumn("_nth", nth).where("_kept IS NULL OR _nth = 1").select("row.*")

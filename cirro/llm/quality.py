@@ -232,3 +232,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
     out = scored(features, net, ["doc_id"])
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds: int = 5, max_rows: int = 20000) -> DataFrame:
+    """The documents that score ``cut`` or more, all their columns; training as in ``quality_scores``.
+
+    No text is shuffled: the word table and the training rows come from
+    passes over the texts, and the last pass filters them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.isEmpty():
+        return docs
+    vectors = word_vectors(context_sums(rows))
+    usable = fold(F.col("doc_id"), folds) != 0
+    sample = F.broadcast(training_rows(labels, "quality", usable, max_rows).select("doc_id"))           # max_rows rows
+    net = fit(featured(rows.join(sample, "doc_id", "left_semi"), vectors, ["doc_id"]), labels, usable, max_rows)
+    shared, column = docs.sparkSession.sparkContext.broadcast((vectors, net)), docs.columns.index("text")
+
+    def run(batches):
+        table, network = shared.value
+        for batch in batches:
+            good = [network.score(pooled(table, data, offsets)) >= cut for _, _, data, offsets in text_chunks(batch.column(column))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

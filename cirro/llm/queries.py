@@ -76,3 +76,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.toxicity import toxicity_scores
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    from cirro.llm.token_counts import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), p.path("piece_bpe_32k.model"))
+
+
+@_query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.license_scan import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -171,13 +171,15 @@ def thresholds(scanned: DataFrame, fdr: float) -> dict[int, float]:
     return {i: found_rows.get(i, float("inf")) for i in range(len(LENGTH_CLASSES))}
 
 
-def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """One row per document: its columns' doc_id and ``found``, an array of (start, kind, end).
-
-    ``kind`` counts in KINDS, spans are sorted by start and kind, positions
-    are code points, ends exclusive.  Null and empty texts have no spans;
-    rows that repeat a doc_id are scanned one by one; other columns are
-    ignored; an empty table gives no rows.
+def scan(docs: DataFrame, fdr: float = 0.05, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (struct of the columns ``keep``, by default doc_id) and the spans found, one row per document.
+
+    ``assign``, ``access``, ``hex``, ``random``: arrays of (start, kind, end)
+    by kind; ``base`` the first three and ``found`` all, sorted by start and
+    kind.  ``kind`` counts in KINDS, positions are code points, ends
+    exclusive.  ``docs`` needs doc_id and text.  Null and empty texts have
+    no spans; null doc_ids stay null; rows that repeat a doc_id are scanned
+    one by one; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cand = F.transform(F.filter(found(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]")), lambda x: F.struct(
@@ -190,7 +192,7 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
     scanned = stage(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*(keep or ["doc_id"])).alias("row"),
         bare(found(text, ASSIGN, ASSIGN_LEAST), 0).alias("assign"),
         bare(found(text, ACCESS), 1).alias("access"),
         bare(found(text, HEX), 2).alias("hex"),
@@ -208,8 +210,29 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
         return (x["mlp"] < limit) & clear
 
     out = scanned.withColumn("base", base).withColumn("random", bare(F.filter("candidates", kept), 3))
-    return out.select("doc_id", "assign", "access", "hex", "random", "base",
-                      F.sort_array(F.concat("base", "random")).alias("found"))
+    return out.select("row", "assign", "access", "hex", "random", "base", F.sort_array(F.concat("base", "random")).alias("found"))
+
+
+def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with every span found replaced by ``mark`` (spans that overlap: by one); all columns stay.
+
+    ``n_chars``, if there, becomes the new length of the changed texts.
+    """
+    out = scan(docs, fdr, docs.columns)
+    text = F.col("row.text")
+
+    def step(acc, x):
+        fresh = x["start"] >= acc["at"]
+        piece = F.concat(acc["text"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["text"]).alias("text"))
+
+    merged = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step,
+                         lambda acc: F.concat(acc["text"], F.substr(text, acc["at"] + 1)))
+    new = F.when(F.size("found") > 0, merged).otherwise(text)
+    length = F.when(F.size("found") > 0, F.length(merged)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
+    kinds = dict(docs.dtypes)
+    return out.select(*[new.alias(c) if c == "text" else length.cast(kinds[c]).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c)
+                        for c in docs.columns])
 
 
 def span_text(spans):
@@ -221,6 +244,6 @@ def span_text(spans):
 
 def digest(scanned: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    return scanned.select("doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")],
+    return scanned.select(F.col("row.doc_id").cast("long").alias("doc_id"), *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")],
                           F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
                           span_text(F.col("found")).alias("spans"), F.size("random").cast("long").alias("n_random"))
