@@ -15,17 +15,19 @@ with one trigger are a *phrase*.
 2. Dictionary: phrases whose core occurs once hold no repeated string.  Of
    the others each distinct (core, body) is one dictionary phrase, counted;
    all strings of a phrase that occurs twice are repeated.
-3. Only where a core has several bodies (the edges of repeated passages)
-   are strings compared one by one: the order of the dictionary's suffixes,
-   cut at ``length`` bytes, is needed only up to equality, so a 128-bit
-   hash of the suffix's first ``length`` bytes stands for its rank, and a
-   rank with two different phrases is a repeated string.  Every dictionary
+3. Only where a core has several bodies (the edges of repeated passages) is
+   the order of the dictionary's suffixes needed, and of it only which
+   suffixes are equal in their first ``length`` bytes.  The phrases' bytes
+   are fetched once.  Each is cut at fixed distances from its trigger into
+   blocks of ``BLOCK`` starts that go through step 2 again; strings of what
+   blocks then remain are compared one by one, a 128-bit hash of the
+   suffix's first ``length`` bytes standing for its rank.  Every dictionary
    phrase takes part once, however often it occurs.
 4. Repeated starts, as ranges by document, meet the texts again; covered
    bytes are the union of [s, s + length).
 
 All groups are counted by partial aggregation; a passage in a third of all
-documents is one dictionary phrase.
+documents is one dictionary phrase.  Texts are shuffled twice, compressed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ from cirro.llm.storage import drop, stage
 from cirro.llm.textops import CHUNK_BYTES, _TABLE, _TABLE2, Rolling, text_chunks
 
 GRAM = 16
+BLOCK = 32
 ROW, ROW_FIELDS = ["doc", "text_hash"], "doc long, text_hash long"       # what a row is known by
 NO_ID = -(1 << 63)
 
@@ -88,7 +91,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def parse(docs: DataFrame, length: int, gap: int) -> DataFrame:
-    """The phrases of all texts: ROW, lo, n, core, body (hashes)."""
+    """The phrases of all texts: ROW, lo, n, trigger (from lo), core, body (hashes)."""
     shared = length - gap + 1
 
     def run(batches):
@@ -104,46 +107,100 @@ def parse(docs: DataFrame, length: int, gap: int) -> DataFrame:
                     body = Rolling(part, _TABLE2).of(first, first + count - 1 + length)
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(x[a + row]) for x in ids), pa.array((first - at[row] + shift).astype(np.int32)),
-                         pa.array(count.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(body.view(np.int64))],
-                        names=[*ROW, "lo", "n", "core", "body"])
+                         pa.array(count.astype(np.int32)), pa.array((trigger - first).astype(np.int32)),
+                         pa.array(core.view(np.int64)), pa.array(body.view(np.int64))],
+                        names=[*ROW, "lo", "n", "trigger", "core", "body"])
 
-    return docs.select(*ROW, "text").mapInArrow(run, f"{ROW_FIELDS}, lo int, n int, core long, body long")
+    return docs.select(*ROW, "text").mapInArrow(run, f"{ROW_FIELDS}, lo int, n int, trigger int, core long, body long")
 
 
-def suffix_ranks(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(ROW, s, r1, r2): 128-bit hashes of the strings at the starts of the wanted phrases (ROW, lo, n)."""
-    spans = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    joined = spans.join(docs, ROW).select(*ROW, "spans", "text")
+def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``z``, the compressed bytes of the text."""
+    def run(batches):
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([pack.compress(t.as_buffer()) for t in batch.column(batch.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], names=[*keep, "z"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, z binary")
 
-    def ranks(data, at):
-        return [Rolling(data, t).of(at, at + length).view(np.int64) for t in (_TABLE, _TABLE2)]
+
+def phrase_bytes(edges: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """core, body, n, trigger, bytes: all that the strings of the phrases (ROW, lo, n...) touch."""
+    spans = edges.groupBy(*ROW).agg(F.collect_list(F.struct("core", "body", "n", "trigger", "lo")).alias("spans"))
+    joined = spans.join(compressed(docs, ROW), ROW).select("spans", "z")
 
     def run(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            for spans, z in zip(batch.column(0), batch.column(1)):
+                data, v = unpack.decompress(z.as_buffer()), spans.values
+                cut = [data[a:a + n - 1 + length] for a, n in zip(v.field(4).to_pylist(), v.field(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(v.field(i) for i in range(4)), pa.array(cut, pa.binary())],
+                                                 names=["core", "body", "n", "trigger", "bytes"])
+
+    return joined.mapInArrow(run, "core long, body long, n int, trigger int, bytes binary")
+
+
+def blocks(fetched: DataFrame, length: int) -> DataFrame:
+    """core, body, from, n, c1, b1: the blocks of the phrases, with the hashes of their own core and body."""
+    def run(batches):
+        for batch in batches:
+            core, body, n, trigger = (batch.column(i).to_numpy() for i in range(4))
+            for a, b, data, offsets in text_chunks(batch.column(4)):
+                size = n[a:b].astype(np.int64)
+                e = np.repeat(np.arange(b - a), size)
+                s = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+                block = (trigger[a:b][e] - s) // BLOCK
+                new = np.ones(len(e), dtype=bool)
+                new[1:] = (e[1:] != e[:-1]) | (block[1:] != block[:-1])
+                at = np.flatnonzero(new)
+                count = np.diff(np.append(at, len(e)))
+                e, s, block = e[at], s[at], block[at]
+                shared = offsets[e] + trigger[a:b][e] - block * BLOCK                 # what all strings of the block hold
+                c1 = Rolling(data).of(shared, shared - BLOCK + 1 + length)
+                b1 = Rolling(data, _TABLE2).of(offsets[e] + s, offsets[e] + s + count - 1 + length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core[a:b][e]), pa.array(body[a:b][e]), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32)),
+                     pa.array(c1.view(np.int64)), pa.array(b1.view(np.int64))], names=["core", "body", "from", "n", "c1", "b1"])
+
+    return fetched.mapInArrow(run, "core long, body long, from int, n int, c1 long, b1 long")
+
+
+def suffix_ranks(wanted: DataFrame, fetched: DataFrame, length: int) -> DataFrame:
+    """core, body, s, r1, r2: 128-bit hashes of the strings at the starts of the wanted blocks (core, body, from, n)."""
+    spans = wanted.groupBy("core", "body").agg(F.collect_list(F.struct("from", "n")).alias("spans"))
+    joined = spans.join(fetched, ["core", "body"]).select("core", "body", "spans", "bytes")
+
+    def run(batches):
+        for batch in batches:
+            core, body = (batch.column(i).to_numpy() for i in (0, 1))
             for a, b, data, offsets in text_chunks(batch.column(3)):
-                row, lo, n = [], [], []
+                e, first, n = [], [], []
                 for r in range(a, b):
                     v = batch.column(2)[r].values
-                    lo.append(v.field(0).to_numpy().astype(np.int64))
-                    n.append(v.field(1).to_numpy().astype(np.int64))
-                    row.append(np.full(len(v), r - a))
-                row, lo, n = (np.concatenate(x) for x in (row, lo, n))
-                step = max(1, int(4 * CHUNK_BYTES // (n.max() + length)))
-                for i in range(0, len(lo), step) if len(data) > 4 * CHUNK_BYTES else [0]:
-                    k = slice(i, i + step) if len(data) > 4 * CHUNK_BYTES else slice(None)
-                    ro, s = np.repeat(row[k], n[k]), np.repeat(lo[k] - np.cumsum(n[k]) + n[k], n[k]) + np.arange(n[k].sum())
-                    if len(data) > 4 * CHUNK_BYTES:                  # a very long text: the phrases' bytes alone, side by side
-                        part = np.concatenate([data[x:x + y - 1 + length] for x, y in zip(lo[k], n[k])])
-                        wide = n[k] - 1 + length
-                        at = np.repeat(np.cumsum(wide) - wide, n[k]) + s - np.repeat(lo[k], n[k])
-                    else:
-                        part, at = data, s + offsets[ro]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x[a + ro]) for x in ids), pa.array(s.astype(np.int32)), *map(pa.array, ranks(part, at))],
-                        names=[*ROW, "s", "r1", "r2"])
+                    first.append(v.field(0).to_numpy())
+                    n.append(v.field(1).to_numpy())
+                    e.append(np.full(len(v), r - a))
+                e, first, n = (np.concatenate(x).astype(np.int64) for x in (e, first, n))
+                s = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                e = np.repeat(e, n)
+                at = offsets[e] + s
+                ranks = [Rolling(data, t).of(at, at + length).view(np.int64) for t in (_TABLE, _TABLE2)]
+                yield pa.RecordBatch.from_arrays([pa.array(core[a:b][e]), pa.array(body[a:b][e]), pa.array(s.astype(np.int32)), *map(pa.array, ranks)],
+                                                 names=["core", "body", "s", "r1", "r2"])
 
-    return joined.mapInArrow(run, f"{ROW_FIELDS}, s int, r1 long, r2 long")
+    return joined.mapInArrow(run, "core long, body long, s int, r1 long, r2 long")
+
+
+def dictionary(rows: DataFrame, core: str, body: str, at: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(every distinct (core, body) with its ``times`` and one place; those whose core has several bodies)."""
+    entries = stage(rows.groupBy(core, body).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*at)).alias("at")), "dictionary")
+    several = entries.groupBy(core).agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select(core)
+    return entries, entries.join(several, core, "left_semi")
 
 
 def repeated_starts(docs: DataFrame, length: int, gap: int) -> DataFrame:
@@ -152,43 +209,25 @@ def repeated_starts(docs: DataFrame, length: int, gap: int) -> DataFrame:
     cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
     again = stage(parsed.join(cores, "core", "left_semi"), "again")
     drop(parsed)
-    first = F.min(F.struct(*ROW, "lo", "n"))
-    entries = stage(again.groupBy("core", "body").agg(F.count(F.lit(1)).alias("times"), first.alias("at")), "dictionary")
-    several = entries.groupBy("core").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("core")
-    edges = entries.join(several, "core", "left_semi").select("core", "body", "at.*")
-    ranks = stage(suffix_ranks(edges.select(*ROW, "lo", "n"), docs, length), "ranks")
-    # The rank's strings belong to one phrase each, so two of them are two phrases of the dictionary.
+    phrases_, edges = dictionary(again, "core", "body", [*ROW, "lo", "n", "trigger"])
+    fetched = stage(phrase_bytes(edges.select("core", "body", "at.*"), docs, length), "phrases")
+    cut = stage(blocks(fetched, length), "blocks")
+    blocks_, open_ = dictionary(cut, "c1", "b1", ["core", "body", "from", "n"])
+    ranks = stage(suffix_ranks(open_.select("at.*"), fetched, length), "ranks")
+    # A rank's strings belong to one phrase each, so two of them are two phrases of the dictionary.
     twice = ranks.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("r1", "r2")
-    starts = ranks.join(twice, ["r1", "r2"], "left_semi").select(*ROW, "s")
-    # A repeated start of a phrase's first place holds for all places of the phrase.
-    by_row = starts.groupBy(*ROW).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    own = edges.groupBy(*ROW).agg(F.collect_list(F.struct("core", "body", "lo", "n")).alias("e")).join(by_row, ROW)
-
-    def ranges(batches):
-        for batch in batches:
-            out = ([], [], [], [])
-            for e, s in zip(batch.column(0), batch.column(1)):
-                s = s.values.to_numpy()
-                for x in e.as_py():
-                    i, j = np.searchsorted(s, [x["lo"], x["lo"] + x["n"]])
-                    if i < j:
-                        t = s[i:j]
-                        cut = np.flatnonzero(np.diff(t) > 1) + 1
-                        for part in np.split(t, cut):
-                            out[0].append(x["core"])
-                            out[1].append(x["body"])
-                            out[2].append(int(part[0]) - x["lo"])
-                            out[3].append(len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                                              pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())],
-                                             names=["core", "body", "from", "n"])
-
-    single = own.select("e", "s").mapInArrow(ranges, "core long, body long, from int, n int")
-    whole = entries.where("times > 1").select("core", "body", F.lit(0).alias("from"), F.col("at.n").alias("n"))
-    marked = stage(whole.union(single), "marked")
-    drop(ranks)
-    return again.select(*ROW, "lo", "core", "body").join(marked, ["core", "body"]).select(
-        *ROW, (F.col("lo") + F.col("from")).alias("lo"), "n")
+    single = ranks.join(twice, ["r1", "r2"], "left_semi").select("core", "body", F.col("s").alias("from"), F.lit(1).alias("n"))
+    once = phrases_.where("times = 1").select("core", "body")
+    part = cut.join(blocks_.where("times > 1").select("c1", "b1"), ["c1", "b1"], "left_semi").select("core", "body", "from", "n")
+    # What is found at a dictionary phrase's first place holds for all its places.
+    whole = phrases_.where("times > 1").select("core", "body", F.array(F.struct(F.lit(0).alias("from"), F.col("at.n").alias("n"))).alias("ranges"))
+    parts = part.union(single).join(once, ["core", "body"], "left_semi").groupBy("core", "body").agg(
+        F.collect_list(F.struct("from", "n")).alias("ranges"))
+    marked = stage(whole.union(parts), "marked")
+    for t in (ranks, cut, fetched):
+        drop(t)
+    return again.select(*ROW, "lo", "core", "body").join(marked, ["core", "body"]).select(*ROW, "lo", F.explode("ranges").alias("r")).select(
+        *ROW, (F.col("lo") + F.col("r.from")).alias("lo"), "r.n")
 
 
 def covered(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +239,7 @@ def covered(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 192, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept: bool = True) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that starts anywhere else too.
 
     ``docs`` needs doc_id and text; texts are UTF-8 bytes, null is empty,
@@ -211,21 +250,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 192, with_kept
     hash of its text; rows equal in both by their count); other columns are
     ignored; an empty table gives no rows.
     """
-    if not GRAM < gap < length - GRAM:
-        raise ValueError("need GRAM < gap < length - GRAM")
+    if not max(GRAM, BLOCK) <= gap <= length - 2 * GRAM:
+        raise ValueError("need max(GRAM, BLOCK) <= gap <= length - 2 * GRAM")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Rows equal in id and text are known by the same key; both find each other and are given back.
     rows = named.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("text_hash", F.xxhash64("text"))
     repeats = repeated_starts(rows, length, gap)
     by_row = repeats.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    joined = rows.join(by_row, ROW, "left").select("doc_id", "spans", "text")
+    joined = compressed(rows, ["doc_id", *ROW]).join(by_row, ROW, "left").select("doc_id", "spans", "z")
 
     def run(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             size = 0
-            for doc_id, spans, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data = text.as_buffer().to_pybytes()
+            for doc_id, spans, z in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data = unpack.decompress(z.as_buffer())
                 start = end = np.zeros(0, np.int64)
                 if spans.is_valid:
                     v = spans.values

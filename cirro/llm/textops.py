@@ -67,7 +67,10 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     """Yield (first row, end row, bytes, row offsets in them); null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     if len(column) == 0:
         return
     _, offsets, values = column.buffers()
