@@ -14,12 +14,15 @@ sketch value with a probability of 6e-7.
 
 1. Texts with equal word sequences are one node (partial aggregation), so
    copies never meet each other.
-2. Per sketch value the documents are compared with the value's smallest
-   document only, not with each other; verified links give components.
-3. Exactness for what stage 2 leaves open: two documents that share a sketch value but are in
-   different components are compared too, if they share a second value
-   (probability of missing a pair at 0.8: 1.3e-5) and if their lengths allow
-   the similarity.  No pair inside a component is formed.
+2. Per sketch value the documents are compared with one of them only, the
+   one that shares most values with others; verified links give components.
+3. Exactness for what stage 2 leaves open: documents that share a value but
+   are in different components meet again by an exact prefix filter.  Of
+   their k-grams (labelled by occurrence) those that no other open document
+   has cannot match; the rarest of the rest, as many as the similarity
+   forces two alike documents to share one of, are joined.  Only pairs of
+   different components whose lengths and common k-grams allow the
+   similarity are formed.
 4. Components (star contraction) give the class: its smallest doc_id.
 
 Candidates are verified on staged k-gram hashes of the candidate documents
@@ -198,6 +201,53 @@ def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def labelled(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """rep, n, c of ``nodes`` and one row per k-gram: the hash of it and its occurrence number."""
+    joined = nodes.join(grams.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "c", "grams")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
+                size = np.array([len(x) for x in raw])
+                h = np.concatenate(raw)
+                g = mix(h + mix(occurrence(h, np.concatenate(([0], np.cumsum(size)))).astype(np.uint64)))
+                at = pa.array(np.repeat(np.arange(len(raw)), size))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(3)), pa.array(g.view(np.int64))],
+                                                 names=["rep", "n", "c", "g"])
+
+    return joined.mapInArrow(run, "rep long, n int, c long, g long")
+
+
+def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """(a, b) of different components ``c`` that may reach ``least``: an exact filter.
+
+    Alike documents share ``least`` of either's k-grams, so one of the rarest
+    n - ceil(least * n) + 1 of each.  Per k-gram, only documents outside its
+    most frequent component look for partners.
+    """
+    rows = stage(labelled(nodes, grams), "grams")
+    often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    found = rows.join(often, "g")
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("f", "g"))
+    most = F.count(F.lit(1)).over(Window.partitionBy("rep"))
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    prefix = found.withColumn("nth", nth).withColumn("k", most).where(
+        (F.col("k") >= need) & (F.col("nth") <= F.col("k") - need + 1)).select("g", "rep", "n", "c", "k")
+    prefix = stage(prefix, "prefix")
+    by_class = prefix.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
+    major = by_class.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "c"))["c"].alias("major")).where("classes > 1")
+    open_ = prefix.join(major.drop("classes"), "g")
+    other = open_.select("g", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("k").alias("k2"))
+    common = F.least("k", "k2")
+    pairs = open_.where("c != major").join(other, "g").where(
+        (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("major")) | (F.col("c") < F.col("c2")))
+        & (common >= F.lit(least) * (F.col("n") + F.col("n2") - common) - 1e-9))
+    drop(rows)
+    return pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 20, order: int = 3) -> DataFrame:
     """One row per document: doc_id, class_id, kept, n_grams, class_size.
 
@@ -217,27 +267,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
     same = sketched.join(reps.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"]).where("doc_id != rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     values = reps.select("rep", "n", F.posexplode("values").alias("i", "v"))
-    hubs = values.groupBy("i", "v").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    shared = stage(values.join(hubs, ["i", "v"]), "buckets")
-    lengths = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-    stars = shared.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    sizes = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stage(values.join(sizes, ["i", "v"]), "buckets")
+    degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
+    best = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("low")))
+    hubs = met.join(degree, "rep").groupBy("i", "v").agg((-best["low"]).alias("hub"))
+    shared = stage(met.join(hubs, ["i", "v"]), "buckets")
+    drop(met)
+    stars = shared.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     stars = stage(stars, "stars")
     nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
-    grams = stage(sequences(rows.join(nodes, "doc_id", "left_semi"), k), "grams").dropDuplicates(["doc_id"])
+    grams = stage(sequences(rows.join(nodes, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "grams")
     links = stage(verified(stars, grams, least), "links")
     first = components(links)
     # Buckets whose documents are not yet one component.
     member = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = member.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
-    left = stage(member.join(mixed, ["i", "v"], "left_semi").select("rep", "n", "c", "i", "v"), "open")
-    two = left.groupBy("rep", "n", "c").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"))       # at most ``sketches`` values
-    twos = two.select("rep", "n", "c", F.explode(F.expr(
-        "flatten(transform(s, (x, p) -> transform(slice(s, p + 2, size(s)), y -> xxhash64(x.i, x.v, y.i, y.v))))")).alias("key"))
-    other = twos.select(F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("c").alias("c2"), "key")
-    pairs = twos.join(other, "key").where(F.col("c") < F.col("c2")).where(lengths).select(
-        F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    left = stage(member.join(mixed, ["i", "v"], "left_semi").select("rep", "n", "c").distinct(), "open")
+    pairs = stage(prefix_pairs(left, grams, least).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(verified(pairs, grams, least), "links")
-    classes = components(links.union(more).union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    trees = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    classes = components(trees.union(more).union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
     counts = sketched.groupBy("doc_id").agg(F.max("n").alias("n_grams"))
     info = counts.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     sizes = info.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
