@@ -10,19 +10,19 @@ power of their similarity, and less where the k-grams are rearranged.
 Similarity of two documents is that of their best alignment: with m k-grams
 matched in order, m / (a + b - m), the ordered form of the Jaccard index.
 Pairs of 0.8 or more are links.  At 0.8 and the defaults a pair shares no
-sketch value with a probability of 6e-7.
+sketch value with a probability of 3e-8, and fewer than three with 1.1e-5.
 
 1. Texts with equal word sequences are one node (partial aggregation), so
    copies never meet each other.
 2. Per sketch value the documents are compared with one of them only, the
    one that shares most values with others; verified links give components.
-3. Exactness for what stage 2 leaves open: documents that share a value but
-   are in different components meet again by an exact prefix filter.  Of
-   their k-grams (labelled by occurrence) those that no other open document
-   has cannot match; the rarest of the rest, as many as the similarity
-   forces two alike documents to share one of, are joined.  Only pairs of
-   different components whose lengths and common k-grams allow the
-   similarity are formed.
+3. For what stage 2 leaves open: documents that share at least ``agree``
+   values with documents of other components meet again by an exact prefix
+   filter.  Of their k-grams (labelled by occurrence) those that no other
+   open document has cannot match; the rarest of the rest, as many as the
+   similarity forces two alike documents to share one of, are joined.  Only
+   pairs of different components are formed whose lengths, and the k-grams that
+   either has left from the shared one on, allow the similarity.
 4. Components (star contraction) give the class: its smallest doc_id.
 
 Candidates are verified on staged k-gram hashes of the candidate documents
@@ -224,8 +224,9 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     """(a, b) of different components ``c`` that may reach ``least``: an exact filter.
 
     Alike documents share ``least`` of either's k-grams, so one of the rarest
-    n - ceil(least * n) + 1 of each.  Per k-gram, only documents outside its
-    most frequent component look for partners.
+    n - ceil(least * n) + 1 of each, and from the first they share on, either
+    has as many left as must match.  Per k-gram, only documents outside
+    its most frequent component look for partners.
     """
     rows = stage(labelled(nodes, grams), "grams")
     often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -234,7 +235,8 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     most = F.count(F.lit(1)).over(Window.partitionBy("rep"))
     need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
     prefix = found.withColumn("nth", nth).withColumn("k", most).where(
-        (F.col("k") >= need) & (F.col("nth") <= F.col("k") - need + 1)).select("g", "rep", "n", "c", "k")
+        (F.col("k") >= need) & (F.col("nth") <= F.col("k") - need + 1)).select(
+        "g", "rep", "n", "c", (F.col("k") - F.col("nth") + 1).alias("k"))
     prefix = stage(prefix, "prefix")
     by_class = prefix.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
     major = by_class.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "c"))["c"].alias("major")).where("classes > 1")
@@ -248,7 +250,8 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 20, order: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 24, order: int = 3,
+                    agree: int = 3) -> DataFrame:
     """One row per document: doc_id, class_id, kept, n_grams, class_size.
 
     ``docs`` needs doc_id and text.  ``class_id`` is the smallest doc_id that
@@ -283,7 +286,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
     # Buckets whose documents are not yet one component.
     member = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = member.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
-    left = stage(member.join(mixed, ["i", "v"], "left_semi").select("rep", "n", "c").distinct(), "open")
+    left = member.join(mixed, ["i", "v"], "left_semi").groupBy("rep", "n", "c").agg(F.count(F.lit(1)).alias("values"))
+    left = stage(left.where(F.col("values") >= agree).drop("values"), "open")
     pairs = stage(prefix_pairs(left, grams, least).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(verified(pairs, grams, least), "links")
     trees = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
