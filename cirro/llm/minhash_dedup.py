@@ -172,18 +172,32 @@ def sketch(docs: DataFrame, k: int, sketches: int, order: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, values array<long>")
 
 
-def sequences(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and grams (binary, 64-bit hashes) of the k-gram sequence."""
+def sequences(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """doc_id and grams (binary, 64-bit hashes) of the k-gram sequence, of the documents in ``nodes``; one row each.
+
+    Texts are shuffled compressed.
+    """
+    def shrink(batches):
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([pack.compress(t.as_buffer()) for t in batch.column(1).fill_null("")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["doc_id", "z"])
+
     def run(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, offsets in text_chunks(_lower(batch.column(1))):
+            text = pa.array([unpack.decompress(z.as_buffer()).decode() for z in batch.column(1)], pa.large_string())
+            for a, b, data, offsets in text_chunks(_lower(text)):
                 h, at = shingle_hashes(data, offsets, k)
                 raw = h.tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1], at[1:])], pa.binary())],
                                                  names=["doc_id", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, grams binary")
+    small = docs.mapInArrow(shrink, "doc_id long, z binary").join(nodes, "doc_id", "left_semi")
+    return small.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, grams binary")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
@@ -202,22 +216,24 @@ def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
 
 
 def labelled(nodes: DataFrame, grams: DataFrame) -> DataFrame:
-    """rep, n, c of ``nodes`` and one row per k-gram: the hash of it and its occurrence number."""
-    joined = nodes.join(grams.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "c", "grams")
+    """rep and one row per k-gram of it: 32 bits of the hash of the k-gram and its occurrence number.
+
+    A chance meeting of two k-grams only makes the filter admit more.
+    """
+    joined = grams.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi").select("rep", "grams")
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
+                raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
                 size = np.array([len(x) for x in raw])
                 h = np.concatenate(raw)
                 g = mix(h + mix(occurrence(h, np.concatenate(([0], np.cumsum(size)))).astype(np.uint64)))
                 at = pa.array(np.repeat(np.arange(len(raw)), size))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(3)), pa.array(g.view(np.int64))],
-                                                 names=["rep", "n", "c", "g"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["rep", "g"])
 
-    return joined.mapInArrow(run, "rep long, n int, c long, g long")
+    return joined.mapInArrow(run, "rep long, g int")
 
 
 def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
@@ -229,15 +245,15 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     its most frequent component look for partners.
     """
     rows = stage(labelled(nodes, grams), "grams")
-    often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    found = rows.join(often, "g")
+    often = rows.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("f")).where("f > 1")
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("f", "g"))
     most = F.count(F.lit(1)).over(Window.partitionBy("rep"))
+    found = rows.join(often, "g").withColumn("nth", nth).withColumn("most", most).join(nodes, "rep")
     need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
-    prefix = found.withColumn("nth", nth).withColumn("k", most).where(
-        (F.col("k") >= need) & (F.col("nth") <= F.col("k") - need + 1)).select(
-        "g", "rep", "n", "c", (F.col("k") - F.col("nth") + 1).alias("k"))
+    prefix = found.where((F.col("most") >= need) & (F.col("nth") <= F.col("most") - need + 1)).select(
+        "g", "rep", "n", "c", (F.col("most") - F.col("nth") + 1).alias("k"))
     prefix = stage(prefix, "prefix")
+    drop(rows)
     by_class = prefix.groupBy("g", "c").agg(F.count(F.lit(1)).alias("size"))
     major = by_class.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "c"))["c"].alias("major")).where("classes > 1")
     open_ = prefix.join(major.drop("classes"), "g")
@@ -246,7 +262,6 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     pairs = open_.where("c != major").join(other, "g").where(
         (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("major")) | (F.col("c") < F.col("c2")))
         & (common >= F.lit(least) * (F.col("n") + F.col("n2") - common) - 1e-9))
-    drop(rows)
     return pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
@@ -269,30 +284,33 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
     reps = stage(groups, "reps")
     same = sketched.join(reps.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"]).where("doc_id != rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    values = reps.select("rep", "n", F.posexplode("values").alias("i", "v"))
-    sizes = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stage(values.join(sizes, ["i", "v"]), "buckets")
+    same = stage(same, "copies")
+    counts = stage(sketched.groupBy("doc_id").agg(F.max("n").alias("n_grams")), "counts")
+    drop(sketched)
+    values = reps.select("rep", "n", F.explode("values").alias("v"))                       # a value holds its function's number
+    sizes = values.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stage(values.join(sizes, "v"), "buckets")
+    drop(reps)
     degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
     best = F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("low")))
-    hubs = met.join(degree, "rep").groupBy("i", "v").agg((-best["low"]).alias("hub"))
-    shared = stage(met.join(hubs, ["i", "v"]), "buckets")
+    hubs = met.join(degree, "rep").groupBy("v").agg((-best["low"]).alias("hub"))
+    shared = stage(met.join(hubs, "v"), "buckets")
     drop(met)
     stars = shared.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     stars = stage(stars, "stars")
     nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
-    grams = stage(sequences(rows.join(nodes, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "grams")
+    grams = stage(sequences(rows, nodes, k), "grams")
     links = stage(verified(stars, grams, least), "links")
     first = components(links)
     # Buckets whose documents are not yet one component.
     member = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = member.groupBy("i", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "v")
-    left = member.join(mixed, ["i", "v"], "left_semi").groupBy("rep", "n", "c").agg(F.count(F.lit(1)).alias("values"))
+    mixed = member.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    left = member.join(mixed, "v", "left_semi").groupBy("rep", "n", "c").agg(F.count(F.lit(1)).alias("values"))
     left = stage(left.where(F.col("values") >= agree).drop("values"), "open")
     pairs = stage(prefix_pairs(left, grams, least).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(verified(pairs, grams, least), "links")
     trees = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     classes = components(trees.union(more).union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    counts = sketched.groupBy("doc_id").agg(F.max("n").alias("n_grams"))
     info = counts.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     sizes = info.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
     info = info.join(sizes, "class")
