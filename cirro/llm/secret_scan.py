@@ -231,8 +231,9 @@ def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "[SECRET]") -> DataFr
     new = F.when(F.size("found") > 0, merged).otherwise(text)
     length = F.when(F.size("found") > 0, F.length(merged)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
     kinds = dict(docs.dtypes)
-    return out.select(*[new.alias(c) if c == "text" else length.cast(kinds[c]).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c)
-                        for c in docs.columns])
+    fields = [new.alias(c) if c == "text" else length.cast(kinds[c]).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c)
+              for c in docs.columns]
+    return out.select(F.struct(*fields).alias("row")).select("row.*")                # a struct, as names may clash
 
 
 def span_text(spans):
