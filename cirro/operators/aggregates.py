@@ -80,8 +80,7 @@ def _returns(df: DataFrame, spec: SeriesSpec, value: str) -> DataFrame:
     """r = (x - prev)/(prev + 1e-10) with NaN/NULL read as 0 and non-finite
     results -> 0; the first row has no return (NULL)."""
     def build(sw):
-        x = F.coalesce(F.col(value), F.lit(0.0))
-        prev = F.coalesce(sw.lag(value, 1), F.lit(0.0))
+        x, prev = (F.coalesce(finite_or(v, 0.0), F.lit(0.0)) for v in (F.col(value), sw.lag(value, 1)))
         has_prev = F.lag(F.lit(1), 1).over(sw.w).isNotNull()
         r = F.when(has_prev, finite_or((x - prev) / (prev + EPS), 0.0))
         return [("_r", r)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.operators.joins import knn_euclidean
@@ -27,14 +27,19 @@ def _take_smallest(df: DataFrame, key_cols: Sequence[str], m: int, seed: int, gr
     """Exactly ``m`` rows with the smallest seeded hash (ties broken by key)."""
     if m <= 0:
         return df.limit(0)
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]))
-    n = d.count()
-    if m >= n:
-        return d.drop("_h")
-    d = d.withColumn("_one", F.lit(1))
-    q = exact_quantiles(d.withColumn("_hd", F.col("_h").cast("double")), ["_one"], "_hd",
-                        [(m - 1) / (n - 1)], ["_cut"]).first()["_cut"]
-    return d.filter(F.col("_h").cast("double") <= q).drop("_h", "_one")
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])).withColumn("_b", F.shiftright("_h", 48))
+    sizes = sorted((r["_b"], r["count"]) for r in d.groupBy("_b").count().collect())   # 2^16 rows at most
+    below, cut = 0, None
+    for bucket, size in sizes:
+        if below + size > m:
+            cut = bucket
+            break
+        below += size
+    if cut is None:
+        return d.drop("_h", "_b")
+    w = Window.partitionBy("_b").orderBy("_h", *key_cols)
+    last = d.filter(F.col("_b") == cut).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= m - below)
+    return d.filter(F.col("_b") < cut).unionByName(last.drop("_n")).drop("_h", "_b")
 
 
 def balanced_subset(val: DataFrame, target_rate: float, key_cols: Sequence[str], label: str = "label",

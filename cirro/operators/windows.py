@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirro.functions.stats import col, gated, kurt_unbiased, safe_corr, skew_unbiased
+from cirro.functions.stats import col, finite_or, gated, kurt_unbiased, safe_corr, skew_unbiased
 from cirro.plans.layout import run_windows, with_block_carries, with_block_carry, with_positions
 from cirro.plans.series import POS, SeriesSpec, SeriesWindow
 
@@ -270,16 +270,16 @@ def hours_since(df: DataFrame, spec: SeriesSpec, c: str, thr: float = 0.1,
 
 # --- W14 ---------------------------------------------------------------------
 def drawdown(df: DataFrame, spec: SeriesSpec, cols, eps: float = 1e-10) -> DataFrame:
-    """(peak - x) / (peak + eps) clamped to [0, 1]; NaN/NULL read as 0;
+    """(peak - x) / (peak + eps) clamped to [0, 1]; NULL and non-finite values read as 0;
     peak is the running max from the first row."""
     pos = with_positions(df, spec)
-    pos = with_block_carries(pos, spec, [(F.max(F.coalesce(F.col(c), F.lit(0.0))), "max", f"_pk_{c}", False)
+    pos = with_block_carries(pos, spec, [(F.max(F.coalesce(finite_or(c, 0.0), F.lit(0.0))), "max", f"_pk_{c}", False)
                                          for c in cols])
 
     def build(sw):
         out = []
         for c in cols:
-            x = F.coalesce(F.col(c), F.lit(0.0))
+            x = F.coalesce(finite_or(c, 0.0), F.lit(0.0))
             peak = F.greatest(F.max(x).over(sw.running()), F.col(f"_pk_{c}"))
             dd = (peak - x) / (peak + eps)
             out.append((f"{c}_drawdown", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dd))))
