@@ -24,7 +24,7 @@ QUERY_SEARCH = dict(n_iter=1, k_folds=2)
 
 def trained(spark, sf_dir):
     """Train once per (session, data folder) within a process."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = TR.train(spark, sf_dir, **QUERY_SEARCH)
     return _CACHE[key]
