@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirro.llm.textops import mix, text_chunks
+from cirro.llm.textops import text_chunks
 
 Q = 8                                                       # three doublings, see gram_hashes
 TABLE_BITS = 22
