@@ -100,22 +100,25 @@ def interpolate(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], method: st
 
 
 def fill_with_stat(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], how: str = "median",
-                   default: float | None = None) -> DataFrame:
+                   default: float | None = None, fit_mask: str | None = None) -> DataFrame:
     """Fill NULLs with the per-series median or mean of each column.
 
-    All columns are stacked into one long (series, variable, value) table,
-    so one quantile job and one join serve every column.
+    The statistic is that of the rows where ``fit_mask`` is true (all rows
+    when None).  Means are one aggregate; for medians the columns are
+    stacked into one long (series, variable, value) table, so one quantile
+    job and one join serve every column.
     """
     keys = list(spec.keys)
     cols = list(cols)
-    long = df.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    fit = df.filter(F.col(fit_mask)) if fit_mask else df
     if how == "median":
+        long = fit.select(*keys, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_v")) for c in cols])))
         st = exact_quantiles(long, keys + ["_var"], "_v", [0.5], ["_st"])
+        wide = st.groupBy(*keys).agg(*[F.max(F.when(F.col("_var") == c, F.col("_st"))).alias(f"_st_{c}")
+                                       for c in cols])
     else:
-        st = long.groupBy(*keys, "_var").agg(F.avg("_v").alias("_st"))
-    wide = st.groupBy(*keys).agg(*[F.max(F.when(F.col("_var") == c, F.col("_st"))).alias(f"_st_{c}")
-                                   for c in cols])
+        wide = fit.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"_st_{c}") for c in cols])
     out = df.join(wide, keys, "left")
     sel = []
     for f in df.columns:

@@ -142,12 +142,13 @@ def first_reporting(ranked: DataFrame, observations: DataFrame, point_id: str =
                     station_id: str = "station_id", kind: str = "kind", kinds: Sequence[str] = (),
                     value: str = "value") -> DataFrame:
     """Per point, the observation of the best-ranked station that has
-    one; among a station's observation kinds the earlier in ``kinds`` wins."""
+    one; among a station's observation kinds the earlier in ``kinds`` wins.
+    Points none of whose stations has one come back with NULLs."""
     order = F.create_map(*[x for i, kd in enumerate(kinds) for x in (F.lit(kd), F.lit(i))])
     obs = observations.filter(F.col(value).isNotNull()).withColumn("_ko", order[F.col(kind)])
-    j = ranked.join(obs, station_id, "inner")
+    j = ranked.join(obs, station_id, "left")
     best = j.groupBy(point_id).agg(F.min_by(F.struct(F.col(station_id), F.col("rank"), F.col(kind), F.col(value)),
-                                            F.struct("rank", "_ko")).alias("_b"))
+                                            F.when(F.col(value).isNotNull(), F.struct("rank", "_ko"))).alias("_b"))
     return best.select(point_id, F.col(f"_b.{station_id}").alias(station_id), F.col("_b.rank").alias("rank"),
                        F.col(f"_b.{kind}").alias(kind), F.col(f"_b.{value}").alias(value))
 

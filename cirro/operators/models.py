@@ -84,9 +84,12 @@ def pca_report(df: DataFrame, cols: Sequence[str], k: int = 5, n_loadings: int =
 # --- M6 / M7 -----------------------------------------------------------------------------
 def standardize(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """M6: per-series z-score with the population standard deviation."""
-    st = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],
-                               *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    j = df.join(st, list(keys))
+    st = df.groupBy(*[F.col(c).alias(f"_key_{c}") for c in keys]).agg(
+        *[F.avg(c).alias(f"_mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    j = df.join(st, same)
     return j.select(*[c for c in df.columns if c not in cols],
                     *[F.when(F.col(f"_sd_{c}") > 0, (F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}"))
                       .otherwise(F.lit(0.0)).alias(c) for c in cols])

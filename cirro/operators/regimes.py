@@ -6,10 +6,11 @@ Gaussian mixture fitted with MLlib's distributed EM over the standardised
 (pressure, temperature, humidity) rows of all series: posteriors per row
 without the transition smoothing of an HMM (forward-backward needs the
 whole series in order, i.e. one task per series).  States are ordered by
-the trace of their covariance, so ``state_2`` is the most volatile and
+the trace of their covariance, so ``regime_2`` is the most volatile and
 ``volatile_prob`` its posterior.  Series with fewer than ``min_rows``
-rows get the reference's uniform fallback (0.33, 0.33, 0.34; volatile
-0.5).
+rows, and rows with a missing observation, get the reference's uniform
+fallback (0.33, 0.33, 0.34; volatile 0.5); ``fallback`` marks them.  The
+mixture is fitted on complete rows; every input row comes back.
 """
 
 from __future__ import annotations
@@ -19,36 +20,53 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirro.operators.models import standardize
 
 
+def sanitize_null(c: str) -> Column:
+    """The column as double; NaN and infinities as NULL."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def regime_posteriors(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3,
                       min_rows: int = 200, seed: int = 42) -> DataFrame:
-    keys = list(keys)
-    z = standardize(df, keys, cols)
-    va = VectorAssembler(inputCols=list(cols), outputCol="_z", handleInvalid="skip")
-    zz = va.transform(z)
-    gm = GaussianMixture(k=k, featuresCol="_z", probabilityCol="_post", seed=seed, maxIter=100).fit(zz)
-    covs = [g.cov.toArray() for g in gm.gaussians]            # k small matrices (model parameters)
-    order = sorted(range(k), key=lambda i: float(covs[i].trace()))
-    post = vector_to_array("_post")
-    out = gm.transform(zz)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    out = out.join(n, keys)
-    few = F.col("_rows") < min_rows
+    keys, cols = list(keys), list(cols)
+    # NaN and infinities are missing observations: they must not enter a mean.
+    known = df.select(*[sanitize_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    z = standardize(known.withColumn("_whole", whole), keys, cols).select("*", *[F.coalesce(c, F.lit(0.0)).alias(f"_z_{c}") for c in cols])
+    zz = VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="_z").transform(z)
+    n = known.groupBy(*[F.col(c).alias(f"_n_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
     uniform = [0.33] * (k - 1) + [1 - 0.33 * (k - 1)]
-    states = [F.when(few, F.lit(uniform[j])).otherwise(post[order[j]]).alias(f"state_{j}") for j in range(k)]
-    vol = F.when(few, F.lit(0.5)).otherwise(post[order[-1]]).alias("volatile_prob")
-    base = [c for c in df.columns if c not in cols] + list(cols)
-    return out.select(*[F.col(c) for c in base], *states, vol)
+    fit_rows = zz.filter("_whole")
+    if fit_rows.limit(1).count():
+        gm = GaussianMixture(k=k, featuresCol="_z", probabilityCol="_post", seed=seed, maxIter=100).fit(fit_rows)
+        covs = [g.cov.toArray() for g in gm.gaussians]        # k small matrices (model parameters)
+        order = sorted(range(k), key=lambda i: float(covs[i].trace()))
+        post = vector_to_array("_post")
+        out, share = gm.transform(zz), [post[i] for i in order]
+    else:
+        out, share = zz, [F.lit(u) for u in uniform]
+    out = out.join(n, same).withColumn("fallback", ~F.col("_whole") | (F.col("_rows") < min_rows))
+    few = F.col("fallback")
+    states = [F.when(few, F.lit(uniform[j])).otherwise(share[j]).alias(f"regime_{j}") for j in range(k)]
+    vol = F.when(few, F.lit(0.5)).otherwise(share[-1]).alias("volatile_prob")
+    base = [c for c in df.columns if c not in cols] + cols
+    return out.select(*[F.col(c) for c in base], *states, vol, "fallback")
 
 
 def hard_state(post: DataFrame, k: int = 3) -> DataFrame:
     """Most likely state per row (posterior argmax, not the Viterbi path)."""
-    arr = F.array(*[F.col(f"state_{j}") for j in range(k)])
+    arr = F.array(*[F.col(f"regime_{j}") for j in range(k)])
     return post.withColumn("state", (F.array_position(arr, F.array_max(arr)) - 1).cast("int"))
 
 
@@ -61,4 +79,4 @@ def two_state(df: DataFrame, keys: Sequence[str], cols: Sequence[str], seed: int
     best = var.orderBy(F.desc("_var"), "state").first()       # one row: the volatile state id
     vs = int(best["state"]) if best is not None else 1
     return (p.withColumn("volatile", F.col("state") == vs)
-            .withColumn("volatile_prob", F.col(f"state_{vs}")))
+            .withColumn("volatile_prob", F.col(f"regime_{vs}")))

@@ -45,9 +45,9 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
     Every window column is one expression in one ``select`` over the
     blocked layout (one Window node); the spectral block is its own
     windowed job; hours-since-rain carries across blocks.  Remaining gaps
-    are filled forward (168 rows), then with the series mean, then 0; PCA
-    is fitted on the rows where ``fit_mask`` is true (train rows, Q3) or
-    on all rows when None.
+    are filled forward (168 rows), then with the series mean, then 0; that
+    mean and PCA are fitted on the rows where ``fit_mask`` is true (train
+    rows, Q3) or on all rows when None.
     """
     from pyspark.sql import functions as F
 
@@ -92,7 +92,7 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
     ff = rw(f, spec, lambda sw: [(f"_ff_{c}", ffill_col(sw, c, 168)) for c in derived], lookback=168)
     ff = ff.select(*[F.col(f"_ff_{c}").alias(c) if c in derived else F.col(c)
                      for c in f.columns])
-    ff = cut_lineage(fill_with_stat(cut_lineage(ff), spec, derived, "mean", 0.0))
+    ff = cut_lineage(fill_with_stat(cut_lineage(ff), spec, derived, "mean", 0.0, fit_mask))
     if pca_k:
         from cirro.operators.models import pca_features
         from cirro.operators.select import numeric_columns

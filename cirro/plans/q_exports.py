@@ -50,7 +50,7 @@ def q_append_forecasts(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-_PANEL_N = [6, 12, 24]
+_PANEL_N = W.PANEL_WINDOWS
 _STATS = ["mean", "std", "min", "max"]
 
 

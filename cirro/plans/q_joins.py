@@ -54,28 +54,28 @@ def q_knn_hav(spark, sf_dir):
 
 def observations(spark, sf_dir):
     """Per supplier station: its latest report of each kind, rendered from
-    lineitem rows (full-quantity lines report 'observation', single-unit
-    lines 'metar'; high-discount lines only)."""
-    li = V.table(spark, sf_dir, "lineitem").filter(F.col("l_discount") >= 0.09)
-    kind = F.when(F.col("l_quantity") == 50, "observation").when(F.col("l_quantity") == 1, "metar")
-    li = li.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    all lineitem rows (25 units or more: 'observation', else 'metar'; a
+    report of a line without much discount has no reading)."""
+    li = V.table(spark, sf_dir, "lineitem").withColumn(
+        "kind", F.when(F.col("l_quantity") >= 25, "observation").otherwise("metar")).withColumn(
+        "reading", F.when(F.col("l_discount") >= 0.08, F.col("l_tax")))
     st = stations(spark, sf_dir).select("station_id", F.col("s_suppkey").alias("l_suppkey"))
     j = li.join(st, "l_suppkey")
     return j.groupBy("station_id", "kind").agg(
-        F.max_by("l_tax", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("value"))
+        F.max_by("reading", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("value"))
 
 
 FIRST_SQL = rounded(f"""
 WITH k AS ({_knn_sql('degrees')}),
 st AS ({STATIONS_SQL_INNER}),
-o AS (SELECT st.station_id, CASE WHEN l_quantity = 50 THEN 'observation' ELSE 'metar' END AS kind,
-        arg_max(l_tax, (l_shipdate, l_orderkey, l_linenumber)) AS value
-      FROM lineitem JOIN st ON lineitem.l_suppkey = st.s_suppkey
-      WHERE l_discount >= 0.09 AND l_quantity IN (1, 50) GROUP BY 1, 2),
+o AS (SELECT st.station_id, CASE WHEN l_quantity >= 25 THEN 'observation' ELSE 'metar' END AS kind,
+        arg_max(struct_pack(v := CASE WHEN l_discount >= 0.08 THEN l_tax END), (l_shipdate, l_orderkey, l_linenumber)).v AS value
+      FROM lineitem JOIN st ON lineitem.l_suppkey = st.s_suppkey GROUP BY 1, 2),
 c AS (SELECT k.point_id, k.station_id, k.rank, o.kind, o.value,
         row_number() OVER (PARTITION BY k.point_id ORDER BY k.rank, CASE o.kind WHEN 'observation' THEN 0 ELSE 1 END) AS r
       FROM k JOIN o ON k.station_id = o.station_id WHERE o.value IS NOT NULL)
-SELECT point_id, station_id, rank, kind, value FROM c WHERE r = 1""",
+SELECT p.point_id, station_id, rank, kind, value FROM (SELECT DISTINCT point_id FROM k) AS p
+  LEFT JOIN (SELECT * FROM c WHERE r = 1) AS b ON b.point_id = p.point_id""",
     ["point_id", "station_id", "rank", "kind"], ["value"])
 
 

@@ -43,7 +43,8 @@ def q_score_latest(spark, sf_dir):
     from cirro.plans.q_aggregates import GRID_COLS, grid
     mp = missing_profile(grid(spark, sf_dir), ["series_id"], GRID_COLS)
     quality = mp.select("series_id", (1 - F.col("null_cells") / F.col("total_cells")).alias("quality"))
-    return TR.score_latest(trained(spark, sf_dir), quality)
+    volatility = q_regimes(spark, sf_dir).select("series_id", "ts", "volatile_prob")
+    return TR.score_latest(trained(spark, sf_dir), quality, volatility)
 
 
 @register("export_importance")

@@ -23,8 +23,8 @@ def q_grid(spark, sf_dir):
 
 FFILL_SQL = rounded(f"""
 SELECT series_id, ts,
-  last_value(v_avg IGNORE NULLS) OVER ({WH} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS v_avg_ffill,
-  first_value(v_avg IGNORE NULLS) OVER ({WH} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS v_avg_bfill
+  last_value(v_avg IGNORE NULLS) OVER ({WH} ROWS BETWEEN 168 PRECEDING AND CURRENT ROW) AS v_avg_ffill,
+  first_value(v_avg IGNORE NULLS) OVER ({WH} ROWS BETWEEN CURRENT ROW AND 168 FOLLOWING) AS v_avg_bfill
 FROM {GRID_SQL} AS g""", ["series_id", "ts"], ["v_avg_ffill", "v_avg_bfill"])
 
 
@@ -33,8 +33,8 @@ def q_ffill(spark, sf_dir):
     g = grid(spark, sf_dir).select("series_id", "ts", "v_avg")
     from cirro.plans.layout import run_windows
     return run_windows(g, V.HOURLY_SPEC, lambda sw: [
-        ("v_avg_ffill", W.ffill_col(sw, "v_avg", 1)),
-        ("v_avg_bfill", W.bfill_col(sw, "v_avg", 1))], lookback=1, lookahead=1).drop("v_avg")
+        ("v_avg_ffill", W.ffill_col(sw, "v_avg", 168)),
+        ("v_avg_bfill", W.bfill_col(sw, "v_avg", 168))], lookback=168, lookahead=168).drop("v_avg")
 
 
 def _interp_sql(c, limit, method, src=GRID_SQL):
@@ -55,22 +55,22 @@ SELECT series_id, ts, CASE WHEN {c} IS NOT NULL THEN {c}
 FROM r"""
 
 
-INTERP_SQL = rounded(_interp_sql("v_avg", 1, "linear"), ["series_id", "ts"], ["v_avg"])
+INTERP_SQL = rounded(_interp_sql("v_avg", 24, "linear"), ["series_id", "ts"], ["v_avg"])
 
 
 @register("interpolate", INTERP_SQL)
 def q_interp(spark, sf_dir):
     g = grid(spark, sf_dir).select("series_id", "ts", "v_avg")
-    return FL.interpolate(g, V.HOURLY_SPEC, ["v_avg"], "linear", limit=1)
+    return FL.interpolate(g, V.HOURLY_SPEC, ["v_avg"], "linear", limit=24)
 
 
-INTERP_TIME_SQL = rounded(_interp_sql("k_avg", 1, "time"), ["series_id", "ts"], ["k_avg"])
+INTERP_TIME_SQL = rounded(_interp_sql("k_avg", 24, "time"), ["series_id", "ts"], ["k_avg"])
 
 
 @register("interpolate_time", INTERP_TIME_SQL)
 def q_interp_time(spark, sf_dir):
     g = grid(spark, sf_dir).select("series_id", "ts", "k_avg")
-    return FL.interpolate(g, V.HOURLY_SPEC, ["k_avg"], "time", limit=1)
+    return FL.interpolate(g, V.HOURLY_SPEC, ["k_avg"], "time", limit=24)
 
 
 MEDIANS_SQL = rounded(f"""

@@ -53,15 +53,16 @@ class Trained:
 def prepare(spark, sf_dir, pca_k: int = 5) -> tuple[DataFrame, list]:
     wx = V.ev_weather(spark, sf_dir)
     lab = future_label(wx, SPEC, "precipitation", HORIZON, RAIN_THR, name="label")
-    lab = lab.filter(F.col("label").isNotNull())
-    sp = chronological_split(lab, SPEC)
+    # Rows without a full horizon have no label: they are scored, never fitted or measured.
+    sp = chronological_split(lab.filter(F.col("label").isNotNull()), SPEC)
+    sp = sp.unionByName(lab.filter(F.col("label").isNull()).withColumn("split", F.lit("score")))
     sp = cut_lineage(sp.withColumn("is_train", F.col("split") == "train"))
     feats = cut_lineage(engineer_features(sp, SPEC, pca_k=pca_k, fit_mask="is_train"))
     cols = [c for c in feature_columns(feats, "label", exclude=("precipitation",)) if c not in ("is_train",)]
     # validation halves for the stack (Q7): first half fits, second half
     # measures the conformal quantile
     pos = with_positions(feats, SPEC)
-    n = pos.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
+    n = pos.groupBy("series_id").agg(F.count("label").alias("_n"))
     pos = pos.join(n, "series_id").withColumn(
         "val_part", F.when(F.col("split") != "validation", F.lit(None))
         .when(F.col(POS) <= F.floor(F.col("_n") * 0.7), "a").otherwise("b")).drop("_n")
@@ -80,7 +81,6 @@ def train(spark, sf_dir, kinds=KINDS, n_iter: int = 10, k_folds: int = 3) -> Tra
     train_rows = data.filter(F.col("split") == "train").drop(POS)
     val = data.filter(F.col("split") == "validation")
     val_a = val.filter(F.col("val_part") == "a")
-    val_b = val.filter(F.col("val_part") == "b")
     scored_val = None
     folds = ML.fold_table(train_rows, SPEC, k_folds)
     classes = [r[0] for r in train_rows.select("label").distinct().collect()]
@@ -96,10 +96,12 @@ def train(spark, sf_dir, kinds=KINDS, n_iter: int = 10, k_folds: int = 3) -> Tra
             "series_id", "ts", POS, "val_part", "label", F.lit(kind).alias("model"), F.col("p_cal").alias("p"))
         scored_val = pv_all if scored_val is None else scored_val.unionByName(pv_all)
     scored_val = cut_lineage(scored_val)
-    # per-model threshold and period stability on the whole validation set
-    thr = M.best_threshold(scored_val, ["model"])
-    per = M.period_scores(scored_val, ["model"], ["ts", "series_id"], thr)
-    has_both = scored_val.select("label").distinct().count() >= 2
+    # per-model threshold and period stability (A14, A24, M21) on the first validation half: the
+    # second one, where the conformal quantile is measured, stays held out
+    tune = scored_val.filter(F.col("val_part") == "a")
+    thr = M.best_threshold(tune, ["model"])
+    per = M.period_scores(tune, ["model"], ["ts", "series_id"], thr)
+    has_both = tune.select("label").distinct().count() >= 2
     ms = (thr.join(per, "model", "left")
           .select("model", "threshold", F.coalesce("f_min", "score").alias("model_score"))
           .withColumn("has_both", F.lit(has_both)).withColumn("_g", F.lit(1)))
@@ -121,7 +123,6 @@ def train(spark, sf_dir, kinds=KINDS, n_iter: int = 10, k_folds: int = 3) -> Tra
         qb = ens
     q = M.conformal_quantile(qb.withColumn("_g", F.lit(1)), ["_g"], p="p_ens").first()
     t.ens_q = float(q["conformal_q"]) if q and q["conformal_q"] is not None else 0.0
-    _ = val_b
     return t
 
 
@@ -179,9 +180,13 @@ def test_metrics(t: Trained) -> DataFrame:
             .withColumnRenamed("fbeta", "f2"))
 
 
-def score_latest(t: Trained, quality: DataFrame | None = None) -> DataFrame:
+def score_latest(t: Trained, quality: DataFrame | None = None, volatility: DataFrame | None = None) -> DataFrame:
     """The latest row of every series -> models -> calibration ->
-    stack -> interval [p-q, p+q] -> outcome, confidence grade, trust."""
+    stack -> interval [p-q, p+q] -> outcome, confidence grade, trust.
+
+    ``quality`` (series_id, quality) and ``volatility`` (series_id, ts,
+    volatile_prob) enter the trust points; where absent, quality counts as
+    1 and no volatility is held against the forecast."""
     d = t.data
     last = d.groupBy("series_id").agg(F.max(POS).alias("_last"))
     latest = d.join(last, "series_id").filter(F.col(POS) == F.col("_last")).drop("_last")
@@ -193,7 +198,10 @@ def score_latest(t: Trained, quality: DataFrame | None = None) -> DataFrame:
     qcol = F.col("quality") if quality is not None else F.lit(1.0)
     if quality is not None:
         s = s.join(quality, "series_id", "left")
-    trust = GR.trust_score(qcol, width, prng, F.lit(len(t.kept)), conf, outcome, F.col("p_ens"), F.lit(0.0))
+    if volatility is not None:
+        s = s.join(volatility, ["series_id", "ts"], "left")
+    vol = F.col("volatile_prob") if volatility is not None else F.lit(0.0)
+    trust = GR.trust_score(qcol, width, prng, F.lit(len(t.kept)), conf, outcome, F.col("p_ens"), vol)
     return s.select("series_id", "ts", F.col("p_ens").alias("probability"), lo.alias("lower_ci"),
                     hi.alias("upper_ci"), width.alias("interval_width"), outcome.alias("prediction"),
                     conf.alias("confidence"), trust["trust_pct"].alias("trust_pct"),
