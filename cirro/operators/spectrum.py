@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cirro.operators.splits import latest
 from cirro.operators.windows import _with_length
 from cirro.plans.series import POS, SeriesSpec
 
@@ -139,10 +140,11 @@ def hurst_rs(df: DataFrame, spec: SeriesSpec, value: str, last_n: int = 168,
     while s <= last_n // 2:
         sizes.append(s)
         s *= 2
-    d = _with_length(df.select(*keys, *spec.order_cols, value), spec)
-    d = d.filter(F.col(POS) > F.col("_len") - last_n)
-    r0 = F.col(POS) - F.greatest(F.col("_len") - last_n, F.lit(0)) - 1   # 0-based within the tail
-    d = d.select(*keys, value, r0.alias("_r"), F.least(F.col("_len"), F.lit(last_n)).alias("_m"),
+    d = latest(df.select(*keys, *spec.order_cols, value), spec, last_n)
+    tail = Window.partitionBy(*keys)                          # at most last_n rows
+    r0 = F.row_number().over(tail.orderBy(*spec.order_cols)) - 1
+    d = d.select(*keys, value, r0.alias("_r"), F.count(F.lit(1)).over(tail).alias("_m"))
+    d = d.select("*",
                  F.explode(F.array(*[F.lit(x) for x in sizes])).alias("size"))
     d = d.withColumn("chunk", F.floor(F.col("_r") / F.col("size")))
     d = d.filter((F.col("chunk") + 1) * F.col("size") <= F.col("_m"))

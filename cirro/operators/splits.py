@@ -1,15 +1,15 @@
 """Position-based operators: chronological split (W22), expanding time
 folds (W23), latest rows (W26) and the one-class label fallback (W21).
 
-All of them need a row position and the series length.  Both come from
-``with_positions`` (bucketed counts + offsets, no global sort) and a
-per-series count; the count table has one row per series and is joined
-back (AQE broadcasts it once its measured size is small).
+The first two need a row position and the series length.  Both come from
+``with_positions`` (bucketed counts + offsets, no global sort).  The latest
+rows need neither: the ranking keeps n rows per series and task before
+the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.operators.windows import _with_length, future_label_col
@@ -45,8 +45,8 @@ def time_folds(df: DataFrame, spec: SeriesSpec, k: int = 3) -> DataFrame:
 
 def latest(df: DataFrame, spec: SeriesSpec, n: int = 1) -> DataFrame:
     """Last ``n`` rows of every series."""
-    d = _with_length(df, spec)
-    return d.filter(F.col(POS) > F.col("_len") - n).drop("_len", POS)
+    newest = Window.partitionBy(*spec.keys).orderBy(*[F.desc(c) for c in spec.order_cols])
+    return df.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= n).drop("_back")
 
 
 def alternative_label(df: DataFrame, spec: SeriesSpec, c: str, horizon: int,

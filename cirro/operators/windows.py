@@ -241,11 +241,8 @@ def _replace(df: DataFrame, cols, prefix: str) -> DataFrame:
 
 
 def _with_length(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Positions plus the series length ``_len`` (a per-series count)."""
-    pos = with_positions(df, spec)
-    keys = list(spec.keys)
-    lens = pos.groupBy(*keys).agg(F.max(POS).alias("_len"))
-    return pos.join(lens, keys, "left")
+    """Positions plus the series length ``_len``."""
+    return with_positions(df, spec, length="_len")
 
 
 # --- W13 ---------------------------------------------------------------------

@@ -57,8 +57,12 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def with_positions(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Add ``_pos``: 1-based row position inside the series (exact)."""
+def with_positions(df: DataFrame, spec: SeriesSpec, length: str | None = None) -> DataFrame:
+    """Add ``_pos``: 1-based row position inside the series (exact).
+
+    ``length`` names a further column for the series' row count, taken from
+    the same count table.
+    """
     keys = list(spec.keys)
     b = df.withColumn(_BKT, _bucket(df, spec))
     counts = b.groupBy(*keys, _BKT).agg(F.count(F.lit(1)).alias("_n"))
@@ -67,6 +71,7 @@ def with_positions(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.col(_BKT).alias("_o_bkt"),
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(_OFF),
+        *([F.sum("_n").over(Window.partitionBy(*keys)).alias(length)] if length else []),
     )
     cond = None
     for k in keys:
@@ -78,6 +83,7 @@ def with_positions(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return joined.select(
         *[F.col(c) for c in df.columns],
         (F.col(_OFF) + F.row_number().over(local)).alias(POS),
+        *([F.col(length)] if length else []),
     )
 
 

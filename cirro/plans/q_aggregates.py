@@ -176,12 +176,12 @@ def q_weights(spark, sf_dir):
     return A.class_weights(s, ["series_id"], "label")
 
 
-# Fixed bin edges for the daily-distribution report on the events view
-# (daily mean event value; the reference's chart names 0-0.1, 0.1-0.5, ...).
-DAILY_EDGES = [0.0, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]
+# Bin edges for the daily-distribution report on the events view (daily totals
+# of the event value; the reference's chart names rain amounts 0-0.1, 0.1-0.5, ...).
+DAILY_EDGES = [0.0, 100.0, 500.0, 1000.0, 2000.0, 5000.0, 10000.0, 100000.0]
 _EDGE_SQL = "[" + ", ".join(str(e) for e in DAILY_EDGES[1:]) + "]"
 DAILY_SQL = rounded(f"""
-WITH d AS (SELECT series_id, CAST(ts AS DATE) AS day, avg(x) AS total FROM {RAW} AS r GROUP BY 1, 2),
+WITH d AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(x) AS total FROM {RAW} AS r GROUP BY 1, 2),
 b AS (SELECT series_id, CAST(len(list_filter({_EDGE_SQL}, lambda e: e <= total)) AS INTEGER) AS bin FROM d)
 SELECT series_id, bin, CAST([{", ".join(str(e) for e in DAILY_EDGES)}][bin + 1] AS DOUBLE) AS bin_low,
   count(*) AS days, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY series_id) AS pct_days
@@ -192,10 +192,7 @@ FROM b GROUP BY series_id, bin""", ["series_id", "bin", "days"], ["bin_low", "pc
 def q_daily(spark, sf_dir):
     import cirro.operators.aggregates as AA
     raw = V.ev_raw(spark, sf_dir)
-    # daily mean rather than total: the bins are on the scale of one value
-    daily = raw.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.avg("x").alias("x_day"))
-    daily = daily.withColumn("ts", F.col("day").cast("timestamp_ntz"))
-    return AA.daily_distribution(daily, V.DAILY_SPEC, "x_day", DAILY_EDGES)
+    return AA.daily_distribution(raw, V.RAW_SPEC, "x", DAILY_EDGES)
 
 
 STAB_SQL = rounded(f"""

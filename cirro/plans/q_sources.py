@@ -175,7 +175,7 @@ obs AS (SELECT event_type AS series_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d
           arg_max(CASE WHEN event_type IN ('click', 'view', 'purchase', 'error') THEN
             CASE WHEN value > 100 THEN (floor(value) % 10000) * 0.254 WHEN value > 50 THEN (floor(value) % 10000) * 0.254 / 6
                  ELSE 0.5 END ELSE 0.0 END, (ts, event_id)) AS observed
-        FROM events WHERE hour(ts) = 23 GROUP BY 1, 2)
+        FROM events GROUP BY 1, 2)
 SELECT cur.series_id, cur.day, CASE WHEN obs.observed IS NOT NULL THEN obs.observed ELSE coalesce(cur.precipitation, 0) END AS precipitation,
   CASE WHEN obs.observed IS NOT NULL THEN 'station' ELSE 'model' END AS precipitation_source,
   coalesce(CASE WHEN obs.observed IS NOT NULL THEN obs.observed ELSE coalesce(cur.precipitation, 0) END > 0.1, false) AS raining
@@ -186,12 +186,12 @@ FROM cur LEFT JOIN obs ON cur.series_id = obs.series_id AND cur.day = obs.day"""
 @register("observed_override", OVERRIDE_SQL)
 def q_override(spark, sf_dir):
     """Per (series, day): the day's last model precipitation, replaced by the
-    latest station report of the day's last hour when one exists."""
+    latest station report of the day when one exists."""
     docs = hourly_docs(spark, sf_dir)
     cur = RD.current_conditions(
         docs.select("series_id", "day", F.from_json("doc", RD.FORECAST_SCHEMA)["current"].alias("current")),
         ["series_id", "day"]).select("series_id", "day", "precipitation")
-    m = RD.precip_from_metar(metar_reports(spark, sf_dir).filter(F.hour("ts") == 23))
+    m = RD.precip_from_metar(metar_reports(spark, sf_dir))
     obs = m.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(
         F.max_by("precipitation", F.struct("ts", "event_id")).alias("observed"))
     return RD.observed_override(cur, obs, ["series_id", "day"])

@@ -53,3 +53,12 @@ def test_mutual_information_brute_force(spark):
     pb, py = Counter(bins), Counter(y)
     exp = sum(c / n * math.log(c * n / (pb[b] * py[t])) for (b, t), c in joint.items())
     assert abs(got - exp) < 1e-9
+
+
+def test_latest_keeps_few_rows_before_the_shuffle(spark):
+    from cirro.operators.splits import latest
+    from cirro.plans import views as V
+    df = latest(V.ev_raw(spark, SF), V.RAW_SPEC, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    partial = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line]
+    assert partial and plan.count("Scan parquet") == 1
