@@ -4,7 +4,9 @@ DataFrame functions only.  The patterns give the base spans.  Every other
 run of 20 or more characters that an encoding can be inferred for (hex,
 base32, upper alphanumeric, alphanumeric, base64, URL base64; at least one
 digit) is tested against "independent uniform characters of that alphabet"
-by three tests:
+by three tests.  A run ends at '=', so a value is tested without the name
+before it; '=' that pad its end belong to the span, not to what is tested.
+The tests:
 
 * chi-squared of the character counts (Wilson-Hilferty),
 * runs above and below the alphabet's middle (Wald-Wolfowitz),
@@ -36,8 +38,9 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-HAS_CANDIDATE = r"(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20}"
+# A run and the '=' that pad it (base64: up to 2, base32: up to 6) where no further run is glued to them.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+HAS_CANDIDATE = r"(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20}"
 # (encoding, pattern, alphabet): the first pattern that holds is the encoding inferred.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = [
@@ -160,7 +163,7 @@ def _length_class(n):
 def thresholds(scanned: DataFrame, fdr: float) -> dict[int, float]:
     """Per length class the least -ln p that the step-up rule puts aside (infinite: none)."""
     cand = scanned.select(F.explode("candidates").alias("c")).select(
-        _length_class(F.col("c.end") - F.col("c.start")).alias("length_class"), F.floor(F.col("c.mlp") * BIN).alias("bin"))
+        _length_class(F.col("c.n")).alias("length_class"), F.floor(F.col("c.mlp") * BIN).alias("bin"))
     bins = cand.groupBy("length_class", "bin").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
     w = Window.partitionBy("length_class")
@@ -183,10 +186,12 @@ def scan(docs: DataFrame, fdr: float = 0.05, keep: list[str] | None = None) -> D
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cand = F.transform(F.filter(found(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]")), lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.rtrim(x["value"], F.lit("=")).alias("value")))
+    cand = F.transform(cand, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _alphabet(x["value"]).alias("alphabet")))
     cand = F.transform(F.filter(cand, lambda x: x["alphabet"].isNotNull()), lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), minus_log_p(x["value"], x["alphabet"]).alias("mlp")))
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,mlp:double>>)")
+        x["start"].alias("start"), x["end"].alias("end"), F.length(x["value"]).alias("n"), minus_log_p(x["value"], x["alphabet"]).alias("mlp")))
+    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,n:int,mlp:double>>)")
 
     def bare(spans, kind):
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
@@ -203,9 +208,8 @@ def scan(docs: DataFrame, fdr: float = 0.05, keep: list[str] | None = None) -> D
 
     def kept(x):
         limit = F.lit(float("inf"))
-        n = x["end"] - x["start"]
         for i, least in enumerate(LENGTH_CLASSES):
-            limit = F.when(n >= least, F.lit(cut[i])).otherwise(limit)
+            limit = F.when(x["n"] >= least, F.lit(cut[i])).otherwise(limit)
         clear = ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         return (x["mlp"] < limit) & clear
 

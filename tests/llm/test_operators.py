@@ -256,6 +256,26 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.digest(secret_scan.scan(odd)).count() == odd.count() and secret_scan.redact(empty).count() == 0
 
 
+def test_secret_scan_padded_and_glued(spark):
+    rng = random.Random(16)
+    plain = ["word1" * 8, "version-1-of-the-thing-2-and-more", "aaaaaaaaaaaaaaaaaaaa1", "abababababababababab12", "LONG_NAME_OF_1_SETTING=no", "a1====" * 9]
+    cases = []
+    for _ in range(12):
+        for left, n, right in (("Authorization: Basic ", 28, "\n"), ("DefaultEndpoints;AccountKey=", 64, ";Suffix=x"), ("k = ", 40, "")):
+            cases.append((left, base64.b64encode(rng.randbytes(n)).decode(), right))
+        for left, right in (("SIGNING_KEY=", " x"), ("https://h.example/p?sig=", "&v=2"), ("LONG_NAME_OF_1_SETTING=", "")):
+            cases.append((left, "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)), right))
+        cases.append(("mfa: ", base64.b32encode(rng.randbytes(31)).decode(), "."))
+    texts = [a + s + b for a, s, b in cases] + ["see " + t + " here" for t in plain * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["row"]["doc_id"]: [(s["start"], s["end"]) for s in r["random"]] for r in secret_scan.scan(docs).collect()}
+    want = {i: [(len(a), len(a) + len(s))] for i, (a, s, _) in enumerate(cases)}
+    assert any(s.endswith("==") for _, s, _ in cases) and sum(out[i] == w for i, w in want.items()) >= 0.85 * len(want)
+    assert all(out[i] in ([], want[i]) for i in want) and not any(out[i] for i in range(len(cases), len(texts)))
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert all(red[i] == cases[i][0] + "[SECRET]" + cases[i][2] for i in want if out[i])
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(8)
     items = [(i, _prose(rng, 30)) for i in range(12)] + [(50, None), (51, ""), (52, "short"), (0, "again"), (None, "no id here at all")]
