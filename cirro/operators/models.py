@@ -19,6 +19,8 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -28,6 +30,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from cirro.operators.metrics import confusion, fbeta_col
 from cirro.operators.quantiles import exact_quantiles
@@ -61,10 +64,10 @@ def pca_features(df: DataFrame, cols: Sequence[str], k: int = 5, fit_mask: str |
     return out.select(*df.columns, *[(arr[j] * signs[j]).alias(f"{prefix}{j + 1}") for j in range(len(signs))])
 
 
-def pca_report(df: DataFrame, cols: Sequence[str], k: int = 5, n_loadings: int = 10):
+def pca_report(df: DataFrame, cols: Sequence[str], k: int = 5, n_loadings: int | None = None):
     """M5: PCA of standardised variables -> (component scores DataFrame,
     report DataFrame: component, explained, cumulative, PC1 loadings of
-    the first ``n_loadings`` columns)."""
+    all columns, or of the first ``n_loadings``)."""
     spark = df.sparkSession
     model, signs, mat = _pca_pipeline(df, cols, k, True, None)
     ev = list(model.stages[-1].explainedVariance.toArray())
@@ -194,32 +197,39 @@ def fold_table(train: DataFrame, spec, k_folds: int = 3) -> tuple[DataFrame, dic
     return folds, cls
 
 
+def search_settings(kind: str, n_iter: int, seed: int = 42) -> list[dict]:
+    """``n_iter`` different seeded settings of the grid; all of a smaller grid."""
+    grid = GRIDS[kind]
+    every = [dict(zip(grid, values)) for values in product(*grid.values())]
+    return random.Random(seed).sample(every, min(n_iter, len(every)))
+
+
 def random_search(kind: str, train: DataFrame, spec, n_iter: int = 3, k_folds: int = 3, beta: float = 2.0,
                   seed: int = 42, weight: str | None = None, folds=None, classes: list | None = None,
-                  n_features: int | None = None):
+                  n_features: int | None = None, parallelism: int = 4):
     """``n_iter`` seeded settings from the grid, each scored by mean
     F-beta (threshold 0.5; margin 0 for the SVM) over expanding time folds
     (W23, per series, so folds need no global ordering); the best setting
     is refitted on all training rows.  (A k-fold CrossValidator would
-    train on later folds too.)"""
-    grid = GRIDS[kind]
-    rng = random.Random(seed)
-    settings = [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n_iter)]
+    train on later folds too.)  ``parallelism`` fits run at a time."""
+    settings = search_settings(kind, n_iter, seed)
     if folds is None:
         folds = fold_table(train, spec, k_folds)
     fdf, fcls = folds
-    best, best_score = settings[0], -1.0
-    for s in settings:
-        scores = []
-        for i in range(k_folds):
-            tr = fdf.filter((F.col("fold") == i) & (F.col("role") == "train")).drop("fold", "role")
-            te = fdf.filter((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")
-            m = fit(kind, tr, s, weight, fcls.get((i, "train"), []), n_features)
-            thr = 0.0 if kind == "svm" and not isinstance(m, ConstantModel) else 0.5
-            scores.append(fbeta_at(predict(m, kind, te), "p", thr, beta))
-        sc = sum(scores) / len(scores)
-        if sc > best_score:
-            best, best_score = s, sc
+
+    def score(task):
+        s, i = task
+        tr = fdf.filter((F.col("fold") == i) & (F.col("role") == "train")).drop("fold", "role")
+        te = fdf.filter((F.col("fold") == i) & (F.col("role") == "test")).drop("fold", "role")
+        m = fit(kind, tr, s, weight, fcls.get((i, "train"), []), n_features)
+        thr = 0.0 if kind == "svm" and not isinstance(m, ConstantModel) else 0.5
+        return fbeta_at(predict(m, kind, te), "p", thr, beta)
+
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(inheritable_thread_target(train.sparkSession)(score), [(s, i) for s in settings for i in range(k_folds)], chunksize=1)
+    means = [sum(scores[j * k_folds:(j + 1) * k_folds]) / k_folds for j in range(len(settings))]
+    best_score = max(means)
+    best = settings[means.index(best_score)]
     return fit(kind, train, best, weight, classes, n_features), best, best_score
 
 
