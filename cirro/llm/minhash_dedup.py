@@ -13,7 +13,8 @@ Pairs of 0.8 or more are links.  At 0.8 and the defaults a pair shares no
 sketch value with a probability of 3e-8, and fewer than three with 1.1e-5.
 
 1. Texts with equal word sequences are one node (partial aggregation), so
-   copies never meet each other.
+   copies never meet each other.  Unlike texts with the same doc_id are
+   different nodes.
 2. Per sketch value the documents are compared with one of them only, the
    one that shares most values with others; verified links give components.
 3. For what stage 2 leaves open: documents that share at least ``agree``
@@ -151,11 +152,11 @@ def _lower(column: pa.Array) -> pa.Array:
 
 
 def sketch(docs: DataFrame, k: int, sketches: int, order: int) -> DataFrame:
-    """doc_id, n (k-grams), f1, f2 (128-bit hash of the k-gram sequence), values (array) of the rows with words."""
+    """doc_id, t, n (k-grams), f1, f2 (128-bit hash of the k-gram sequence), values (array) of the rows (doc_id, t, text) with words."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_chunks(_lower(batch.column(1))):
+            ids, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for a, b, data, offsets in text_chunks(_lower(batch.column(2))):
                 h, at = shingle_hashes(data, offsets, k)
                 values = order_minhash(h, at, sketches, order)
                 n = np.diff(at)
@@ -166,14 +167,14 @@ def sketch(docs: DataFrame, k: int, sketches: int, order: int) -> DataFrame:
                 prints = [np.add.reduceat(mix(h ^ mix(nth + np.uint64(s))), at[:-1][keep]).view(np.int64) for s in (101, 202)]
                 lists = pa.ListArray.from_arrays(np.arange(len(keep) + 1, dtype=np.int32) * sketches,
                                                  pa.array(values[keep].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][keep]), pa.array(n[keep].astype(np.int32)), *map(pa.array, prints), lists],
-                                                 names=["doc_id", "n", "f1", "f2", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][keep]), pa.array(t[a:b][keep]), pa.array(n[keep].astype(np.int32)), *map(pa.array, prints), lists],
+                                                 names=["doc_id", "t", "n", "f1", "f2", "values"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, values array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, n int, f1 long, f2 long, values array<long>")
 
 
 def sequences(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """doc_id and grams (binary, 64-bit hashes) of the k-gram sequence, of the documents in ``nodes``; one row each.
+    """node and grams (binary, 64-bit hashes) of the k-gram sequence, of the ``nodes`` (doc_id, t, node); one row each.
 
     Texts are shuffled compressed.
     """
@@ -181,8 +182,8 @@ def sequences(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         import zstandard
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = pa.array([pack.compress(t.as_buffer()) for t in batch.column(1).fill_null("")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["doc_id", "z"])
+            z = pa.array([pack.compress(x.as_buffer()) for x in batch.column(2).fill_null("")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["doc_id", "t", "z"])
 
     def run(batches):
         import zstandard
@@ -194,16 +195,16 @@ def sequences(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 h, at = shingle_hashes(data, offsets, k)
                 raw = h.tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([raw[8 * x:8 * y] for x, y in zip(at[:-1], at[1:])], pa.binary())],
-                                                 names=["doc_id", "grams"])
+                                                 names=["node", "grams"])
 
-    small = docs.mapInArrow(shrink, "doc_id long, z binary").join(nodes, "doc_id", "left_semi")
-    return small.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, grams binary")
+    small = docs.mapInArrow(shrink, "doc_id long, t long, z binary").join(nodes, ["doc_id", "t"])
+    return small.dropDuplicates(["doc_id", "t"]).select("node", "z").mapInArrow(run, "node long, grams binary")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     """The (a, b) pairs whose alignment reaches ``least``."""
-    left = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    right = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -220,7 +221,7 @@ def labelled(nodes: DataFrame, grams: DataFrame) -> DataFrame:
 
     A chance meeting of two k-grams only makes the filter admit more.
     """
-    joined = grams.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi").select("rep", "grams")
+    joined = grams.withColumnRenamed("node", "rep").join(nodes, "rep", "left_semi").select("rep", "grams")
 
     def run(batches):
         for batch in batches:
@@ -265,28 +266,34 @@ def prefix_pairs(nodes: DataFrame, grams: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 24, order: int = 3,
-                    agree: int = 3) -> DataFrame:
-    """One row per document: doc_id, class_id, kept, n_grams, class_size.
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
 
-    ``docs`` needs doc_id and text.  ``class_id`` is the smallest doc_id that
-    links reach, ``kept`` marks that document.  Texts without words (null,
-    empty) are alike to nothing, nor are rows without doc_id; both are kept.
-    Texts of fewer than ``k`` words are one gram of all their words.  Rows
-    that repeat a doc_id are one node (repeated texts; else the class joins what either
-    text reaches) and come back as often as they came.  Other columns are ignored; an empty table
-    gives no rows.
+def text_classes(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: int = 24, order: int = 3,
+                 agree: int = 3) -> DataFrame:
+    """One row per doc_id and text with words: doc_id, t (hash of the text), class (a node), class_id, n_grams, class_size.
+
+    Nodes are doc_ids; where rows that share a doc_id have different texts,
+    hashes of doc_id and text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _hashed(docs)
     sketched = stage(sketch(rows.where("doc_id IS NOT NULL"), k, sketches, order), "sketch")
-    groups = sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("values").alias("values"),
-                                              F.count(F.lit(1)).alias("copies"))
+    clash = sketched.groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
+    clash = stage(clash.select("doc_id", F.lit(True).alias("clash")), "clash")
+    named = sketched.join(clash, "doc_id", "left").withColumn(
+        "node", F.when(F.col("clash"), F.xxhash64("doc_id", "t")).otherwise(F.col("doc_id")))
+    groups = named.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("values").alias("values"),
+                                           F.count(F.lit(1)).alias("copies"))
     reps = stage(groups, "reps")
-    same = sketched.join(reps.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"]).where("doc_id != rep").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = named.join(reps.where("copies > 1").select("f1", "f2", "rep"), ["f1", "f2"]).where("node != rep").select(
+        F.col("node").alias("a"), F.col("rep").alias("b"))
     same = stage(same, "copies")
-    counts = stage(sketched.groupBy("doc_id").agg(F.max("n").alias("n_grams")), "counts")
+    counts = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), F.max("n").alias("n_grams"))
+    counts = stage(counts, "counts")
     drop(sketched)
+    drop(clash)
     values = reps.select("rep", "n", F.explode("values").alias("v"))                       # a value holds its function's number
     sizes = values.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stage(values.join(sizes, "v"), "buckets")
@@ -298,7 +305,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
     drop(met)
     stars = shared.where("rep != hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     stars = stage(stars, "stars")
-    nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
+    nodes = counts.select("doc_id", "t", "node").join(shared.select(F.col("rep").alias("node")), "node", "left_semi")
     grams = stage(sequences(rows, nodes, k), "grams")
     links = stage(verified(stars, grams, least), "links")
     first = components(links)
@@ -310,15 +317,30 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
     pairs = stage(prefix_pairs(left, grams, least).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(verified(pairs, grams, least), "links")
     trees = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    classes = components(trees.union(more).union(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    info = counts.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    sizes = info.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    info = info.join(sizes, "class")
-    out = rows.select("doc_id").join(info, "doc_id", "left")
+    classes = components(trees.union(more).union(same)).select("node", F.col("component").alias("class"))
+    info = counts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    sizes = info.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     for t in (left, shared):
         drop(t)
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"),
-                      F.coalesce(F.col("class") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    return info.join(sizes, "class").select("doc_id", "t", "class", "class_id", "n_grams", "class_size")
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, n_grams, class_size.
+
+    ``docs`` needs doc_id and text; ``parameters`` are those of ``text_classes``.
+    ``class_id`` is the smallest doc_id that links reach, ``kept`` marks that
+    document.  Texts without words (null, empty) are alike to nothing, nor are
+    rows without doc_id; both are kept.  Texts of fewer than ``k`` words are
+    one gram of all their words.  Rows that repeat a doc_id come back as often
+    as they came, each with the class of its own text: two classes have one
+    class_id if unlike texts share that doc_id.  ``class_size`` counts
+    different (doc_id, text).  Other columns are ignored; an empty table gives
+    no rows.
+    """
+    out = _hashed(docs).select("doc_id", "t").join(text_classes(docs, **parameters), ["doc_id", "t"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+                      F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
                       F.coalesce("n_grams", F.lit(0)).cast("long").alias("n_grams"),
                       F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
@@ -326,12 +348,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, k: int = 5, sketches: i
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without near duplicates of a kept one, all columns: one row of each class.
 
-    Rows without doc_id, and rows whose text has no words, stay.
+    Rows without doc_id, and rows whose text has no words, stay.  Unlike
+    texts that share a doc_id are judged one by one.
     """
-    classes = near_duplicates(docs, **parameters).where("n_grams > 0").select("doc_id", "kept").distinct()
-    info = classes.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"))
-    joined = rows.join(info, F.col("_doc") == F.col("_id"), "left").where("_kept IS NULL OR _kept")
-    # Rows that share a doc_id are one node: one of them stays.
-    nth = F.row_number().over(Window.partitionBy("_doc", F.when(F.col("_kept").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row.text")))
+    classes = text_classes(docs, **parameters)
+    info = classes.select(F.col("doc_id").alias("_id"), F.col("t").alias("_text"), F.col("class").alias("_class"),
+                          (F.col("class_id") == F.col("doc_id")).alias("_kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_t"))
+    joined = rows.join(info, (F.col("_doc") == F.col("_id")) & (F.col("_t") == F.col("_text")), "left").where("_kept IS NULL OR _kept")
+    # Rows of the smallest doc_id whose texts are alike: one of them stays.
+    nth = F.row_number().over(Window.partitionBy("_class", F.when(F.col("_kept").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row.text")))
     return joined.withColumn("_nth", nth).where("_kept IS NULL OR _nth = 1").select("row.*")

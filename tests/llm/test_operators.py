@@ -145,6 +145,28 @@ def test_near_duplicates_brute_force(spark, odd, empty):
     assert count[1] == 1 and 2 not in count and 3 not in count and count[8] == 1 and count[None] == 2 and count[4] == count[5] == 1
 
 
+def test_near_duplicates_of_clashing_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (_prose(rng, 80).split() for _ in range(4))
+    near = {name: " ".join(w[:40] + ["changed"] + w[41:]) for name, w in (("a", a), ("b", b), ("c", c))}
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    # 7: two unlike texts, either with a near duplicate elsewhere; 3: its own near duplicate and an unlike text.
+    rows = [(7, a), (7, b), (8, near["a"]), (5, near["b"]), (3, c), (3, near["c"]), (3, d), (9, None), (9, d + " x"), (-4, "no words like it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {(7, a): 7, (8, near["a"]): 7, (7, b): 5, (5, near["b"]): 5, (3, c): 3, (3, near["c"]): 3, (3, d): 3, (9, d + " x"): 3, (-4, rows[-1][1]): -4}
+    got = {(r["doc_id"], r["t"]): r for r in minhash_dedup.text_classes(docs).collect()}
+    t = {r["text"]: r["t"] for r in docs.withColumn("t", F.xxhash64("text")).collect()}
+    assert {k: got[k[0], t[k[1]]]["class_id"] for k in want} == want and len(got) == len(want)
+    assert got[3, t[c]]["class"] == got[3, t[near["c"]]]["class"] != got[3, t[d]]["class"]
+    out = minhash_dedup.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["kept"], r["class_size"]) for r in out) == Counter(
+        [(7, 7, True, 2), (7, 5, False, 2), (8, 7, False, 2), (5, 5, True, 2), (3, 3, True, 2), (3, 3, True, 2), (3, 3, True, 2), (9, 9, True, 1),
+         (9, 3, False, 2), (-4, -4, True, 1)])
+    kept = Counter((r["doc_id"], r["text"]) for r in minhash_dedup.keep_one(docs).collect())
+    one = [x for x in ((3, c), (3, near["c"])) if kept.pop(x, 0)]
+    assert len(one) == 1 and kept == Counter([(7, a), (5, near["b"]), (3, d), (9, None), (-4, rows[-1][1])])
+
+
 def test_alignment_is_ordered():
     rng = np.random.default_rng(2)
     for _ in range(60):
