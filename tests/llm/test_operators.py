@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cirro.llm import decontamination, embedding_dedup, license_scan, minhash_dedup, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from cirro.llm.graph import components
 from cirro.llm.queries import QUERIES, table, vocabulary_files
+from cirro.llm.textops import shingle_hashes
 from test_operators_helpers import base_spans, grams
 
 SF = "/root/testdata/sf0.001"
@@ -145,6 +146,26 @@ def test_near_duplicates_brute_force(spark, odd, empty):
     assert count[1] == 1 and 2 not in count and 3 not in count and count[8] == 1 and count[None] == 2 and count[4] == count[5] == 1
 
 
+def test_near_duplicates_sharing_few_sketch_values(spark):
+    # ``a`` and ``b`` match 4 of 5 grams but share one or two values; a text with three of the grams is the hub of those buckets.
+    def values(texts):
+        data = "".join(texts).encode()
+        h, at = shingle_hashes(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), 5)
+        return minhash_dedup.order_minhash(h, at, 24, 3)
+
+    long = [[f"w{i}x{j}" for j in range(9)] for i in range(80000)]
+    a, b, hub = values([" ".join(w[:8]) for w in long]), values([" ".join(w) for w in long]), values([" ".join(w[:7]) for w in long])
+    few = np.flatnonzero(((a == b) == (b == hub)).all(1) & ((a == b).sum(1) > 0) & ((a == b).sum(1) < 3))
+    assert len(few)
+    rows = []
+    for at, i in enumerate(few[:5].tolist()):
+        w, low = long[i], at * 100
+        rows += [(low, " ".join(w[:8])), (low + 1, " ".join(w)), (low + 2, " ".join(w[:7]))]
+        rows += [(low + 10 + j, " ".join([f"front{j}", *w[:7]])) for j in range(30)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i % 100 == 1 else i for i, _ in rows}
+
+
 def test_near_duplicates_of_clashing_ids(spark):
     rng = random.Random(12)
     a, b, c, d = (_prose(rng, 80).split() for _ in range(4))
