@@ -6,7 +6,9 @@ of the template's words close together; it is then aligned: words that
 occur once in both are anchors, the longest increasing run of anchors is
 kept, and the gaps between anchors are aligned in the same way, after
 equal words at their ends are matched.  Coverage is the share of the
-template's words matched.
+template's words matched.  In short notices the words that name the license
+(and its version) must stand in the text in one piece; coverage counts the
+words before them.
 
 Of findings that overlap in a text the one with the most matched words stays.
 """
@@ -23,18 +25,27 @@ from pyspark.sql import functions as F
 
 from cirro.llm.textops import Rolling, text_chunks, words
 
-# License notices and texts.
+# License notices and texts.  The words after a bar name the license.
 TEMPLATES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
-    "MIT notice": "Released under the MIT License",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2",
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0",
-    "Reserved notice": "All rights reserved",
-    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0",
+    "Apache-2.0 notice": "Licensed under the |Apache License, Version 2.0",
+    "MIT notice": "Released under the |MIT License",
+    "BSD notice": "Released under the |BSD License",
+    "BSD-2-Clause notice": "Released under the |BSD 2-Clause License",
+    "BSD-3-Clause notice": "Released under the |BSD 3-Clause License",
+    "ISC notice": "Released under the |ISC License",
+    "GPL-3.0 notice": "This work is licensed under the |GNU General Public License, version 3",
+    "GPL-2.0 notice": "This work is licensed under the |GNU General Public License, version 2",
+    "LGPL-3.0 notice": "This work is licensed under the |GNU Lesser General Public License, version 3",
+    "LGPL-2.1 notice": "This work is licensed under the |GNU Lesser General Public License, version 2.1",
+    "AGPL-3.0 notice": "This work is licensed under the |GNU Affero General Public License, version 3",
+    "MPL-2.0 notice": "Licensed under the |Mozilla Public License, Version 2.0",
+    "EPL-1.0 notice": "Licensed under the |Eclipse Public License, Version 1.0",
+    "EPL-2.0 notice": "Licensed under the |Eclipse Public License, Version 2.0",
+    "Unlicense notice": "Released under the |Unlicense",
+    "CC0-1.0 notice": "Licensed under |CC0 1.0",
+    **{f"CC-{kind}-{version} notice": f"Licensed under |CC {kind} {version}"
+       for kind in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND") for version in ("2.0", "2.5", "3.0", "4.0")},
+    "Reserved notice": "|All rights reserved",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
         rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -51,6 +62,45 @@ TEMPLATES = {
         conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
         list of conditions and the following disclaimer in the documentation and/or other materials provided with the
         distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+        USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+        OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+        USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+        OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "LGPL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "AGPL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
         required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
@@ -115,8 +165,10 @@ def patience(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words = []
+        self.words, self.key = [], []                            # key: where the words begin that name the license
         for name in self.names:
+            head = np.frombuffer(templates[name].lower().partition("|")[0].encode(), np.uint8)
+            self.key.append(len(words(head, np.array([0, len(head)]))[0]) if "|" in templates[name] else None)
             data = np.frombuffer(templates[name].lower().encode(), np.uint8)
             start, end, _ = words(data, np.array([0, len(data)]))
             self.words.append(Rolling(data).of(start, end).tolist())
@@ -148,7 +200,9 @@ class Templates:
             cut = np.flatnonzero((low[1:] >= np.maximum.accumulate(high)[:-1]) | (row[low[1:]] != row[low[:-1]])) + 1
             for g in np.split(np.arange(len(low)), cut):
                 a, b = int(low[g[0]]), int(high[g].max())
-                found += [(int(row[a]), t, a + x, a + y, m) for x, y, m in self._inside(h[a:b].tolist(), template, need, wide)]
+                found += [(int(row[a]), t, a + x, a + y, m) for x, y, m in (
+                    self._inside(h[a:b].tolist(), template, need, wide) if self.key[t] is None else
+                    self._named(h[a:b].tolist(), template, self.key[t], need, wide))]
         found.sort(key=lambda f: (f[0], -f[4], -f[4] / len(self.words[f[1]]), f[2], f[1]))
         kept: list[tuple] = []
         for f in found:
@@ -156,6 +210,18 @@ class Templates:
                 kept.append(f)
         return [(r, t, int(start[a] - offsets[r]), int(end[b - 1] - offsets[r]), m, m / len(self.words[t])) for r, t, a, b, m in sorted(kept)]
 
+    @staticmethod
+    def _named(text: list[int], template: list[int], key: int, need: int, wide: int):
+        """As ``_inside``, where the template's words from ``key`` on stand in the text in one piece."""
+        name, done = template[key:], 0
+        for at in range(len(text) - len(name) + 1):
+            if at >= done and text[at:at + len(name)] == name:
+                low = max(done, at + len(name) - wide)
+                pairs = patience(text[low:at], template[:key])
+                if len(pairs) + len(name) >= need:
+                    done = at + len(name)
+                    yield low + pairs[0][0] if pairs else at, done, len(pairs) + len(name)
+
     @staticmethod
     def _inside(text: list[int], template: list[int], need: int, wide: int):
         """(first, end, matched) of the template's findings in a region, left to right, none over another."""

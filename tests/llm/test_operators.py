@@ -266,6 +266,26 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_tells_licenses_apart(spark, odd):
+    rng = random.Random(15)
+    full = license_scan.TEMPLATES
+    cases = [
+        ("Released under the BSD License", {"BSD notice"}), ("Licensed under CC BY 3.0", {"CC-BY-3.0 notice"}), ("Released under the Foo License", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", {"LGPL-2.1 notice"}),
+        ("This work is licensed under the GNU Affero General Public License, version 3", {"AGPL-3.0 notice"}),
+        ("This work is licensed under the GNU General Public License, version 2", {"GPL-2.0 notice"}),
+        ("Licensed under the Mozilla Public License, Version 2.0", {"MPL-2.0 notice"}), ("Licensed under the Apache License, Version 1.1", set()),
+        ("Licensed under CC BY-NC-ND 4.0", {"CC-BY-NC-ND-4.0 notice"}), ("Licensed under CC0 1.0", {"CC0-1.0 notice"}), ("All the rights reserved", set()),
+        ("Distributed under the MIT License", {"MIT notice"}), ("Licensed under the Eclipse Public License, Version 2.0", {"EPL-2.0 notice"}),
+        *((full[n], {n}) for n in ("BSD-2-Clause", "BSD-3-Clause", "LGPL", "AGPL", "GPL", "Unlicense")),
+    ]
+    docs = spark.createDataFrame([(i, _prose(rng, 30) + "\n" + t + ".\n" + _prose(rng, 30)) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {i: set() for i in range(len(cases))}
+    for r in license_scan.scan_licenses(docs).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_longest_increasing():
     rng = random.Random(9)
     for _ in range(50):
