@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cirro.llm.line_dedup import ORACLE_SQL as LINES_SQL
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -90,3 +92,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.license_scan import scan_licenses
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_line_dedup", LINES_SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.line_dedup import digest, drop_common_lines
+    return digest(drop_common_lines(table(spark, sf_dir, "documents")))
