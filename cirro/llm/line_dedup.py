@@ -77,7 +77,7 @@ ORACLE_SQL = """
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), lines AS (
-  SELECT rid, doc_id, len(lines) AS n, generate_subscripts(lines, 1) AS at, unnest(lines) AS line FROM texts
+  SELECT rid, doc_id, len(lines) AS n, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM texts
 ), keyed AS (
   SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                  ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines
@@ -86,6 +86,6 @@ WITH texts AS (
 )
 SELECT any_value(doc_id) AS doc_id, any_value(n)::BIGINT AS n_lines,
        count(common.key)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (common.key IS NULL), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common USING (key) GROUP BY rid
 """
