@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cirro.llm.collocations import ORACLE_SQL as PHRASES_SQL
 from cirro.llm.line_dedup import ORACLE_SQL as LINES_SQL
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -98,3 +99,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.line_dedup import digest, drop_common_lines
     return digest(drop_common_lines(table(spark, sf_dir, "documents")))
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    from cirro.llm.token_alignment import align_tokenizers
+    return align_tokenizers(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+
+
+@_query("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cirro.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
