@@ -8,9 +8,9 @@ threshold are found again by position, the positions are gathered by
 document, and what is left of the text is put together in order.
 
 Only DataFrame functions run, and a hot line is never gathered: counting is
-partial before its shuffle, and in the join of lines with common keys the
-lines are the side that may be split.  Common keys are broadcast only where
-their measured size allows it.  A document's positions are bounded by its own
+partial before its shuffle.  Common keys and positions are staged, so Spark
+knows their size before it joins: it broadcasts them only where that allows
+it, and else may split the hot partitions of lines and of texts.  A document's positions are bounded by its own
 lines: rows that are equal in id and text share one set of positions.
 """
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cirro.llm.storage import stage
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,8 +60,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     row = two_hashes(ROW, F.col("doc_id"), F.col("text"))
     lines = texts.select(*row, F.posexplode(line_keys(F.col("text"))).alias("at", "key")).where(F.char_length("key") >= min_chars)
-    found = lines.select(*ROW, "at", *two_hashes(KEY, F.col("key"))).join(common_keys(texts, min_docs, min_chars), list(KEY))
-    gone = found.groupBy(*ROW).agg(F.collect_set("at").alias("gone"))
+    common = stage(common_keys(texts, min_docs, min_chars), "common-lines")
+    found = lines.select(*ROW, "at", *two_hashes(KEY, F.col("key"))).join(common, list(KEY))
+    gone = stage(found.groupBy(*ROW).agg(F.collect_set("at").alias("gone")), "gone-lines")
     whole = texts.select("doc_id", *row, F.split("text", "\n", -1).alias("lines")).join(gone, list(ROW), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.col("lines")[i])), "\n")

@@ -68,8 +68,10 @@ def test_empty_table_and_bad_parameters(spark):
         line_dedup.drop_common_lines(docs, 0)
 
 
-def test_join_can_be_split(spark):
-    """No Python in the plan, and counting is partial before its shuffle."""
+def test_plans_run_without_python_and_count_partially(spark):
     docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text"))
-    plan = line_dedup.digest(line_dedup.drop_common_lines(docs))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "partial_count" in plan
+    counts = line_dedup.common_keys(docs, 10, 1)
+    for df in (counts, line_dedup.digest(line_dedup.drop_common_lines(docs))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+    assert "partial_count" in counts._jdf.queryExecution().executedPlan().toString()
