@@ -6,8 +6,9 @@ text is cut into groups; an A and a B token are *linked* if their byte
 ranges overlap.  The corpus-wide number of links of a pair of ids tells how
 good a link is.
 
-The work on texts is a pipeline of Arrow operations on a chunk of rows: the
-token lists are flattened with their parent indices, token lengths come from
+The work on texts is a pipeline of Arrow operations on a chunk of rows.  Texts
+are cut into units at blanks where both tokenizers start anew; each distinct
+unit is encoded once, and what was encoded is kept in a table of bounded size.  The token lists are flattened with their parent indices, token lengths come from
 the vocabulary, segmented cumulative sums give the byte at which each token
 ends, and an Acero hash join on (document, end) keys, full outer, gives all
 cuts of a document: each stretch between neighbouring cuts is one link, each
@@ -19,8 +20,7 @@ merged by a grouped sum; the pairs that a chunk holds meet the sums in a join
 in which a frequent pair has one row per chunk, not per link; and each chunk
 gets its answers back by a cogroup on its id.  A chunk holds about
 ``chunk_bytes`` of text.  A longer text is a chunk of its own and is encoded
-in slices, cut before blanks between two letters, where both tokenizers start
-anew.
+in slices, cut at blanks between two letters.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ from cirro.llm.storage import stage
 
 MARK = "▁"
 SLICE = 1 << 20
+KEPT = 1 << 18
 SEPARATORS = (",", "|", ";", "")
 _LOADED: dict[tuple[str, str], "Pair"] = {}
 
@@ -77,12 +78,43 @@ class Pair:
         self.b_bytes = pa.array([bytes([int(m[1], 16)]) if (m := re.fullmatch("<0x([0-9A-F]{2})>", p)) else p.replace(MARK, " ").encode() for p in pieces], pa.large_binary())
         self.n_b = len(pieces)
         self.sliceable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        self.known, self.known_a, self.known_b, self.known_whole = self._encoded(pa.array([], pa.large_binary()))
         most = max(len(self.a_bytes), self.n_b)
         self.most, self.decimal = most, pa.array([f"{i}{s}" for s in SEPARATORS for i in range(most)], pa.large_binary())
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return pa.array(a, pa.large_list(pa.int32())), pa.array(self.b.encode(texts, num_threads=1), pa.large_list(pa.int32()))
+    def _encoded(self, units: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """The units (which start with a blank), their token ids, and whether both give the unit's bytes."""
+        texts = units.cast(pa.large_string()).to_pylist()
+        a = pa.array([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], pa.large_list(pa.int32()))
+        b = pa.array(self.b.encode([u[1:] for u in texts], num_threads=1), pa.large_list(pa.int32()))
+        same = [pc.equal(_joined(pc.list_flatten(x), _starts(x), v)[0], units) for x, v in ((a, self.a_bytes), (b, self.b_bytes))]
+        return units, a, b, pc.and_(*same)
+
+    def encode(self, units: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+        """A and B ids and wholeness of the units seen so far (``KEPT`` or those of one chunk at most), and where ``units`` are there."""
+        new = units.filter(pc.is_null(pc.index_in(units, value_set=self.known)))
+        if len(self.known) + len(new) > KEPT:
+            self.known, self.known_a, self.known_b, self.known_whole = self._encoded(units)
+        elif len(new):
+            both = zip((self.known, self.known_a, self.known_b, self.known_whole), self._encoded(new))
+            self.known, self.known_a, self.known_b, self.known_whole = (pa.concat_arrays(x) for x in both)
+        return self.known_a, self.known_b, self.known_whole, pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where units begin: texts, and blanks between two characters that are none.
+
+        Both tokenizers start anew there: no token of the byte-level one holds white
+        space after something else, no piece a mark after something else.  (A
+        character before the blank is taken if its bytes show that it is no white space.)
+        """
+        begin = np.zeros(len(data) + 1, dtype=bool)
+        if self.sliceable and len(data) > 3:
+            one, two, here, after = data[1:-2], data[:-3], data[2:-1], data[3:]
+            solid = (one > 32) & (one < 127) | (one >= 128) & (two >= 0xC3) & (two <= 0xDF)
+            begin[2:-2] = (here == 32) & solid & (after != 32)
+            begin[np.maximum(offsets[1:] - 1, 0)] = False                # a blank at the end of a text
+        begin[offsets] = True
+        return np.flatnonzero(begin)
 
     def slices(self, text: str) -> list[str]:
         """The text in parts of about ``SLICE`` characters that can be encoded one by one (the blank before a part is left out)."""
@@ -119,33 +151,42 @@ def _joined(ids: pa.Array, starts: np.ndarray, vocabulary: pa.Array) -> tuple[pa
 class Alignment:
     """The tokens, groups and links of a list of texts; ``whole`` marks those whose bytes both tokenizers give back."""
 
-    def __init__(self, pair: Pair, texts: list[str]):
+    def __init__(self, pair: Pair, texts: pa.Array):
         self.pair, rows = pair, len(texts)
-        a, b = pair.encode(texts)
-        wanted = pa.array([" " + t for t in texts], pa.large_string()).cast(pa.large_binary())
-        same = [pc.equal(_joined(pc.list_flatten(x), _starts(x), v)[0], wanted) for x, v in ((a, pair.a_bytes), (b, pair.b_bytes))]
-        self.whole = pc.and_(*same).to_numpy(zero_copy_only=False) & np.array([bool(t) for t in texts], dtype=bool)
-        kept = pa.array(np.flatnonzero(self.whole))
-        a, b = a.take(kept), b.take(kept)
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(rows, np.int64) for _ in range(4))
         self.strings: list[bytes] = [b""] * rows
         self.links = pa.table({"row": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
-        if len(kept):
-            self._align(a, b, np.flatnonzero(self.whole))
-
-    def _side(self, lists: pa.Array, vocabulary: pa.Array, name: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Table]:
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
+        _, offsets, values = spaced.buffers()
+        offsets, data = np.frombuffer(offsets, np.int64)[:rows + 1], np.frombuffer(values, np.uint8)
+        begin = pair.units(data, offsets)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), values]).dictionary_encode()
+        a, b, whole, known = pair.encode(cut.dictionary)
+        which = known[cut.indices.to_numpy()]
+        first = np.searchsorted(begin, offsets)                          # of each row's units
+        whole = whole.to_numpy(zero_copy_only=False)[which]
+        self.whole = np.logical_and.reduceat(whole, first[:-1]) & (np.diff(offsets) > 1)
+        if self.whole.any():
+            of_row = np.repeat(self.whole, np.diff(first))
+            kept = pa.array(which[of_row])
+            at = np.concatenate(([0], np.cumsum(np.diff(first)[self.whole])))
+            self._align(a.take(kept), b.take(kept), at, np.flatnonzero(self.whole))
+
+    def _side(self, lists: pa.Array, at: np.ndarray, vocabulary: pa.Array, name: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Table]:
         """ids, starts by document, end of each token in all documents, and the table (doc, end, token)."""
-        ids, starts, doc = pc.list_flatten(lists), _starts(lists), pc.list_parent_indices(lists)
+        ids, starts = pc.list_flatten(lists), _starts(lists)[at]
+        doc = pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))).take(pc.list_parent_indices(lists))
         total = pc.cumulative_sum(pc.binary_length(vocabulary).take(ids).cast(pa.int64()))
         ends = total.to_numpy()
         before = np.concatenate(([0], ends))[starts[:-1]]
-        table = pa.table({"doc": doc.cast(pa.int64()), "end": pc.subtract(total, pa.array(before).take(doc)), name: pa.array(np.arange(len(ids)))})
+        table = pa.table({"doc": doc, "end": pc.subtract(total, pa.array(before).take(doc)), name: pa.array(np.arange(len(ids)))})
         return ids, starts, ends, table
 
-    def _align(self, a: pa.Array, b: pa.Array, rows: np.ndarray) -> None:
+    def _align(self, a: pa.Array, b: pa.Array, at: np.ndarray, rows: np.ndarray) -> None:
+        """``a``, ``b``: token lists of the units; ``at``: where each document's units begin; ``rows``: the documents' places."""
         pair = self.pair
-        a_ids, a_starts, a_ends, a_table = self._side(a, pair.a_bytes, "i")
-        b_ids, b_starts, b_ends, b_table = self._side(b, pair.b_bytes, "j")
+        a_ids, a_starts, _, a_table = self._side(a, at, pair.a_bytes, "i")
+        b_ids, b_starts, _, b_table = self._side(b, at, pair.b_bytes, "j")
         cuts = a_table.join(b_table, keys=["doc", "end"], join_type="full outer", use_threads=False).combine_chunks()
         key = (cuts["doc"].to_numpy() << 40) | cuts["end"].to_numpy()
         cuts = cuts.take(pa.array(np.argsort(key, kind="stable")))
@@ -161,8 +202,7 @@ class Alignment:
         self.n_groups[rows] = np.bincount(doc[both], minlength=len(rows))
         # Written out: the A ids of a group, then its B ids; each token knows its place and what follows it.
         last_a, last_b = over_a[both].astype(np.int64), over_b[both].astype(np.int64)
-        group_ends = a_ends[last_a]
-        of_a, of_b = np.searchsorted(group_ends, a_ends), np.searchsorted(group_ends, b_ends)
+        of_a, of_b = (np.repeat(np.arange(len(last)), np.diff(last, prepend=-1)) for last in (last_a, last_b))
         place_a = np.arange(len(a_ids)) + np.concatenate(([0], last_b + 1))[of_a]
         place_b = np.arange(len(b_ids)) + last_a[of_b] + 1
         mark_a, mark_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
@@ -176,15 +216,20 @@ class Alignment:
             self.strings[row] = s.as_buffer()
 
 
-def _merged(parts: list[Alignment]) -> tuple[list, str, pa.Table]:
+def one(text: str) -> pa.Array:
+    return pa.array([text], pa.large_string())
+
+
+def _merged(parts: Iterable[Alignment]) -> tuple[list[int], str, pa.Table]:
     """Counts, digest and links of one text from its slices."""
-    digest = hashlib.sha256()
+    digest, sums, links = hashlib.sha256(), np.zeros(4, np.int64), None
     for n, part in enumerate(parts):
         digest.update(b";" * (n > 0))
         digest.update(part.strings[0])
-    links = pa.concat_tables([p.links for p in parts]).group_by(["row", "pair"], use_threads=False).aggregate([("times", "sum")])
-    sums = [int(sum(getattr(p, c)[0] for p in parts)) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    return sums, digest.hexdigest(), links.rename_columns(["row", "pair", "times"])
+        sums += [getattr(part, c)[0] for c in ("n_a", "n_b", "n_groups", "n_links")]
+        both = part.links if links is None else pa.concat_tables([links, part.links])
+        links = both.group_by(["row", "pair"], use_threads=False).aggregate([("times", "sum")]).rename_columns(["row", "pair", "times"])
+    return sums.tolist(), digest.hexdigest(), links
 
 
 ALIGNED = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("chunk", pa.int64()),
@@ -220,7 +265,7 @@ def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = 4 << 20) -> DataFrame:
+def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``docs`` needs doc_id and text.  ``n_best`` counts the links whose pair of
@@ -237,10 +282,10 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             for start, end in _pieces(pc.binary_length(texts).to_numpy(zero_copy_only=False), chunk_bytes):
-                own = texts.slice(start, end - start).to_pylist()
-                slices = pair.slices(own[0]) if len(own) == 1 else own[:1]
-                if len(slices) > 1 and all(Alignment(pair, [s]).whole[0] for s in slices):
-                    numbers, digest, links = _merged([Alignment(pair, [s]) for s in slices])
+                own = texts.slice(start, end - start)
+                slices = pair.slices(own[0].as_py()) if len(own) == 1 else []
+                if len(slices) > 1 and all(Alignment(pair, one(s)).whole[0] for s in slices):
+                    numbers, digest, links = _merged(Alignment(pair, one(s)) for s in slices)
                     sums, digests = [np.array([x]) for x in numbers], [digest]
                 else:
                     found = Alignment(pair, own)

@@ -88,11 +88,11 @@ def test_long_text_in_slices(spark, monkeypatch, rows):
     """Slices give the same tokens, groups and links as the whole text."""
     pair = ta.tokenizers(*FILES)
     text = " ".join(t for _, t in rows if t and "▁" not in t) * 3
-    whole = ta.Alignment(pair, [text])
+    whole = ta.Alignment(pair, ta.one(text))
     monkeypatch.setattr(ta, "SLICE", 200)
     parts = pair.slices(text)
     assert len(parts) > 5 and " ".join(parts) == text
-    numbers, digest, links = ta._merged([ta.Alignment(pair, [x]) for x in parts])
+    numbers, digest, links = ta._merged(ta.Alignment(pair, ta.one(x)) for x in parts)
     assert numbers == [int(x[0]) for x in (whole.n_a, whole.n_b, whole.n_groups, whole.n_links)]
     assert digest == hashlib.sha256(whole.strings[0]).hexdigest()
     assert sorted(map(tuple, (r.values() for r in links.to_pylist()))) == sorted(map(tuple, (r.values() for r in whole.links.to_pylist())))
