@@ -40,7 +40,7 @@ from cirro.llm.storage import drop, stage
 from cirro.llm.textops import Rolling, byte_table, mix, runs, text_chunks
 
 DEPTH = 4
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 MEMORY = 1 << 18
 H = [f"h{i}" for i in range(1, DEPTH + 1)]
 _CUT = np.zeros(256, dtype=bool)
