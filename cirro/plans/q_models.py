@@ -161,23 +161,32 @@ def q_top_features(spark, sf_dir):
 _REG_COLS = ["pressure", "temperature", "humidity"]
 
 
+def _hidden(spark, sf_dir):
+    from cirro.operators.hidden_states import hidden_states
+    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS)
+    return hidden_states(w, V.HOURLY_SPEC, _REG_COLS, 3)
+
+
 @register("regime_posteriors")
 def q_regimes(spark, sf_dir):
-    """M8: state posteriors and volatile_prob per hourly row."""
-    from cirro.operators.regimes import regime_posteriors
-    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS)
-    return regime_posteriors(w, ["series_id"], _REG_COLS, 3)
+    """M8: smoothed state posteriors and volatile_prob per hourly row."""
+    return _hidden(spark, sf_dir).drop("state")
 
 
 @register("hard_state")
 def q_hard_state(spark, sf_dir):
-    """Posterior argmax (3 states) and the two-state volatile flag."""
-    from cirro.operators.regimes import hard_state, two_state
-    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS)
-    two = two_state(w, ["series_id"], _REG_COLS).select("series_id", "ts", F.col("volatile"))
-    from cirro.operators.regimes import regime_posteriors
-    three = hard_state(regime_posteriors(w, ["series_id"], _REG_COLS, 3)).select("series_id", "ts", "state")
-    return three.join(two, ["series_id", "ts"])
+    """State on the most likely path (3 states) and the two-state volatile flag."""
+    from cirro.operators.hidden_states import two_states
+    w = V.ev_weather(spark, sf_dir).select("series_id", "ts", *_REG_COLS[:2])
+    two = two_states(w, V.HOURLY_SPEC, _REG_COLS[:2]).select("series_id", "ts", "volatile")
+    return _hidden(spark, sf_dir).select("series_id", "ts", "state").join(two, ["series_id", "ts"])
+
+
+@register("state_stability")
+def q_state_stability(spark, sf_dir):
+    """A22 on the most likely path."""
+    from cirro.operators.aggregates import regime_stability
+    return regime_stability(_hidden(spark, sf_dir), V.HOURLY_SPEC, "state")
 
 
 # --- T3 / T4 / M11 --------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cirro.operators import joins as J
 from cirro.operators.fill import fill_with_stat
-from cirro.operators.regimes import hard_state, regime_posteriors
+from cirro.operators.hidden_states import hidden_states
 from cirro.plans.series import SeriesSpec
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def test_regimes_return_every_row(spark):
     rows[4] = ("a", 4, float("nan"), 20.0, 50.0)
     rows += [("b", i, 1000.0, 20.0, 50.0) for i in range(5)] + [(None, i, 1000.0 + i, 20.0 + i, 50.0) for i in range(3)]
     df = spark.createDataFrame(rows, "series_id string, i int, pressure double, temperature double, humidity double")
-    out = hard_state(regime_posteriors(df, ["series_id"], ["pressure", "temperature", "humidity"])).collect()
+    out = hidden_states(df, SeriesSpec(keys=("series_id",), order="i"), ["pressure", "temperature", "humidity"]).collect()
     assert len(out) == len(rows)
     uniform = {(r.series_id, r.i) for r in out if r.fallback}
     assert uniform == {("a", 3), ("a", 4)} | {("b", i) for i in range(5)} | {(None, i) for i in range(3)}
@@ -28,7 +28,7 @@ def test_regimes_return_every_row(spark):
 
 def test_regimes_of_no_rows(spark):
     df = spark.createDataFrame([], "series_id string, i int, p double")
-    assert regime_posteriors(df, ["series_id"], ["p"]).count() == 0
+    assert hidden_states(df, SeriesSpec(keys=("series_id",), order="i"), ["p"]).count() == 0
 
 
 def test_points_without_report_come_back(spark):
