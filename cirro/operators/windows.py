@@ -5,6 +5,8 @@ Each ``*_cols`` function takes a ``SeriesWindow`` and returns a list of
 ``run_windows`` (blocked layout, one Window node).  pandas ``rolling(n)``
 counts rows, so frames are ``rowsBetween(-(n-1), 0)`` and
 ``min_periods=m`` becomes a gate on ``count(x)`` over the same frame.
+Long frames, which Spark would work out anew for each row, go through
+``operators.frames``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirro.functions.stats import col, finite_or, gated, kurt_unbiased, safe_corr, skew_unbiased
+from cirro.functions.stats import col, finite_or, gated, kurt_unbiased, skew_unbiased
+from cirro.operators.frames import Frame, trailing_frames
 from cirro.plans.layout import run_windows, with_block_carries, with_block_carry, with_positions
 from cirro.plans.series import POS, SeriesSpec, SeriesWindow
 
@@ -69,24 +72,6 @@ def rolling_cols(sw: SeriesWindow, cols: Iterable[str], windows: Sequence[int],
     return out
 
 
-# --- W7 / W11 ---------------------------------------------------------------
-def panel_cols(sw: SeriesWindow, cols: Iterable[str], windows: Sequence[int],
-               stats: Sequence[str] = ("mean", "std", "min", "max"),
-               length_col: str = "_len") -> Named:
-    """Dashboard rolling panel: min_periods 1, NaN -> 0, only where the
-    series is longer than the window (else NULL: the statistic is absent)."""
-    out: Named = []
-    for c in cols:
-        for n in windows:
-            fr = sw.trailing(n)
-            for s in stats:
-                agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min,
-                       "max": F.max, "sum": F.sum}[s](c).over(fr)
-                e = F.when(F.col(length_col) > n, F.coalesce(agg, F.lit(0.0)))
-                out.append((f"{c}_{s}_{n}", e))
-    return out
-
-
 # --- W8 / W9 / W16 ----------------------------------------------------------
 def diff_cols(sw: SeriesWindow, cols: Iterable[str], hours: Sequence[int],
               name: str = "diff") -> Named:
@@ -98,27 +83,6 @@ def accel_cols(sw: SeriesWindow, cols: Iterable[str], h: int) -> Named:
     return [(f"{c}_accel_{h}", F.col(c) - 2 * sw.lag(c, h) + sw.lag(c, 2 * h)) for c in cols]
 
 
-# --- W10 ---------------------------------------------------------------------
-def rain_total_cols(sw: SeriesWindow, c: str, windows: Sequence[int],
-                    prefix: str = "rain") -> Named:
-    out: Named = []
-    for n in windows:
-        fr = sw.trailing(n)
-        cnt = F.count(col(c)).over(fr)
-        out.append((f"{prefix}_sum_{n}", gated(F.sum(c).over(fr), cnt, 1)))
-        out.append((f"{prefix}_max_{n}", gated(F.max(c).over(fr), cnt, 1)))
-        out.append((f"{prefix}_std_{n}", gated(F.stddev_samp(c).over(fr), cnt, 1)))
-    return out
-
-
-# --- W12 ---------------------------------------------------------------------
-def rolling_corr_col(sw: SeriesWindow, x: str, y: str, n: int = 72) -> Column:
-    """Pearson correlation over n rows; needs n complete pairs."""
-    fr = sw.trailing(n)
-    pairs = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(fr)
-    return F.when(pairs >= n, safe_corr(x, y, fr))
-
-
 # --- W15 ---------------------------------------------------------------------
 def trend_cols(sw: SeriesWindow, cols: Iterable[str], windows: Sequence[int]) -> Named:
     return [(f"{c}_trend_{n}", F.col(c) - F.avg(c).over(sw.trailing(n)))
@@ -159,10 +123,24 @@ def lags(df: DataFrame, spec: SeriesSpec, cols, lags_=FEATURE_LAGS) -> DataFrame
     return run_windows(df, spec, lambda sw: lag_cols(sw, cols, lags_), lookback=max(lags_))
 
 
+def rolling_frames(cols: Iterable[str], windows: Sequence[int], stats: Sequence[str] = ("mean", "std", "min", "max", "skew", "kurt"),
+                   min_periods: int | None = None) -> list[Frame]:
+    return [Frame(f"{c}_{s}_{n}", s, c, n, default_min_periods(n) if min_periods is None else min_periods)
+            for c in cols for n in windows for s in stats]
+
+
+def rain_frames(c: str, windows: Sequence[int], prefix: str = "rain") -> list[Frame]:
+    return [Frame(f"{prefix}_{s}_{n}", s, c, n) for n in windows for s in ("sum", "max", "std")]
+
+
+def corr_frames(pairs, n: int = 72) -> list[Frame]:
+    """Pearson correlation over n rows; needs n complete pairs."""
+    return [Frame(f"corr_{x}_{y}_{n}", "corr", x, n, n, y) for x, y in pairs]
+
+
 def rolling(df: DataFrame, spec: SeriesSpec, cols, windows=FEATURE_ROLLING,
             stats=("mean", "std", "min", "max", "skew", "kurt"), min_periods=None) -> DataFrame:
-    return run_windows(df, spec, lambda sw: rolling_cols(sw, cols, windows, stats, min_periods),
-                       lookback=max(windows) - 1)
+    return trailing_frames(df, spec, rolling_frames(cols, windows, stats, min_periods))
 
 
 def diffs(df: DataFrame, spec: SeriesSpec, cols, hours=FEATURE_DIFFS, name="diff") -> DataFrame:
@@ -175,33 +153,27 @@ def acceleration(df: DataFrame, spec: SeriesSpec, cols, h: int = 6) -> DataFrame
 
 def rain_totals(df: DataFrame, spec: SeriesSpec, c: str, windows=RAIN_WINDOWS,
                 prefix: str = "rain") -> DataFrame:
-    return run_windows(df, spec, lambda sw: rain_total_cols(sw, c, windows, prefix),
-                       lookback=max(windows) - 1)
+    return trailing_frames(df, spec, rain_frames(c, windows, prefix))
+
+
+def _panel(df: DataFrame, spec: SeriesSpec, frames: Sequence[Frame], keep_pos: bool = False) -> DataFrame:
+    """Frames only where the series is longer than the window (else NULL: the statistic is absent); none there: 0."""
+    out = trailing_frames(_with_length(df, spec), spec, frames, positioned=True, keep_pos=keep_pos)
+    return out.select(*df.columns, *([POS] if keep_pos else []), *[F.when(F.col("_len") > f.n, F.coalesce(f.name, F.lit(0.0))).alias(f.name) for f in frames])
 
 
 def rolling_panel(df: DataFrame, spec: SeriesSpec, cols, windows=PANEL_WINDOWS,
-                  stats=("mean", "std", "min", "max")) -> DataFrame:
-    pos = _with_length(df, spec)
-    return run_windows(pos, spec, lambda sw: panel_cols(sw, cols, windows, stats),
-                       lookback=max(windows) - 1, positioned=True).drop("_len")
+                  stats=("mean", "std", "min", "max"), keep_pos: bool = False) -> DataFrame:
+    """Dashboard rolling panel: min_periods 1, NaN -> 0."""
+    return _panel(df, spec, rolling_frames(cols, windows, stats, 1), keep_pos)
 
 
 def accumulations(df: DataFrame, spec: SeriesSpec, c: str, windows=PANEL_WINDOWS) -> DataFrame:
-    pos = _with_length(df, spec)
-
-    def build(sw):
-        out = []
-        for n in windows:
-            fr = sw.trailing(n)
-            out.append((f"acc_{n}", F.when(F.col("_len") > n, F.coalesce(F.sum(c).over(fr), F.lit(0.0)))))
-            out.append((f"max_{n}", F.when(F.col("_len") > n, F.coalesce(F.max(c).over(fr), F.lit(0.0)))))
-        return out
-    return run_windows(pos, spec, build, lookback=max(windows) - 1, positioned=True).drop("_len")
+    return _panel(df, spec, [Frame(f"{name}_{n}", s, c, n) for n in windows for name, s in (("acc", "sum"), ("max", "max"))])
 
 
 def rolling_corr(df: DataFrame, spec: SeriesSpec, pairs, n: int = 72) -> DataFrame:
-    return run_windows(df, spec, lambda sw: [(f"corr_{x}_{y}_{n}", rolling_corr_col(sw, x, y, n))
-                                             for x, y in pairs], lookback=n - 1)
+    return trailing_frames(df, spec, corr_frames(pairs, n))
 
 
 def trend(df: DataFrame, spec: SeriesSpec, cols, windows=(3, 6, 12, 24)) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cirro.operators.windows import future_label_col, lag_cols, rolling_cols
-from cirro.plans.layout import run_windows
+from cirro.plans.layout import run_windows, with_positions
 from cirro.plans.series import SeriesSpec
 
 # Fixed parameters of the flagship (label threshold on the hourly mean).
@@ -53,10 +53,11 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
 
     from cirro.functions.weather import calendar_parts, cyclic_time, interactions
     from cirro.operators.fill import fill_with_stat
+    from cirro.operators.frames import trailing_frames
     from cirro.operators.spectrum import spectral_features
     from cirro.operators.windows import (
         FEATURE_DIFFS, FEATURE_LAGS, FEATURE_ROLLING, RAIN_WINDOWS, TENDENCY_HOURS,
-        accel_cols, diff_cols, ffill_col, hours_since, rain_total_cols, rolling_corr_col)
+        accel_cols, corr_frames, diff_cols, ffill_col, hours_since, rain_frames, rolling_frames)
 
     spec = spec or SeriesSpec(keys=("series_id",), order="ts")
     keys = list(spec.keys)
@@ -65,12 +66,8 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
     def build(sw):
         out = []
         out += lag_cols(sw, ["pressure", "temperature", "humidity", "wind_speed"], FEATURE_LAGS)
-        out += rolling_cols(sw, ["pressure", "humidity", "temperature"], FEATURE_ROLLING)
         out += diff_cols(sw, ["pressure", "humidity", "temperature"], FEATURE_DIFFS)
         out += accel_cols(sw, ["pressure", "humidity", "temperature"], 6)
-        out += rain_total_cols(sw, "precipitation", RAIN_WINDOWS)
-        out += [(f"corr_{a}_{b}_72", rolling_corr_col(sw, a, b, 72))
-                for a, b in (("pressure", "temperature"), ("pressure", "humidity"), ("temperature", "humidity"))]
         out += diff_cols(sw, ["pressure"], TENDENCY_HOURS, "tendency")
         return out
     from cirro.session import cut_lineage
@@ -78,7 +75,10 @@ def engineer_features(wx: DataFrame, spec: SeriesSpec | None = None, *, pca_k: i
     # carries + rows, statistics + rows); checkpoints between the stages
     # keep the plan linear and let a lost executor restart from the last
     # stage instead of the scan.
-    f = run_windows(wx, spec, build, lookback=168)
+    f = run_windows(with_positions(wx, spec), spec, build, lookback=168, positioned=True, keep_pos=True)
+    f = trailing_frames(f, spec, [
+        *rolling_frames(["pressure", "humidity", "temperature"], FEATURE_ROLLING), *rain_frames("precipitation", RAIN_WINDOWS),
+        *corr_frames([("pressure", "temperature"), ("pressure", "humidity"), ("temperature", "humidity")])], positioned=True)
     f = f.select("*", *[e.alias(n) for n, e in interactions()],
                  *[e.alias(n) for n, e in calendar_parts(spec.order)],
                  *[e.alias(n) for n, e in cyclic_time(spec.order, compat_week=compat_week)])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cirro.operators import aggregates as A
 from cirro.operators import windows as W
 from cirro.plans import views as V
-from cirro.plans.layout import run_windows
 from cirro.plans.q_aggregates import GRID_COLS
 from cirro.plans.registry import register, rounded
 from cirro.plans.series import POS
@@ -71,11 +70,9 @@ SELECT * FROM ({body}) AS u WHERE value IS NOT NULL""", ["series_id", "variable"
 @register("export_rolling_long", _rolling_long_sql())
 def q_rolling_long(spark, sf_dir):
     h = V.ev_hourly(spark, sf_dir).select("series_id", "ts", "v_avg")
-    pos = W._with_length(h, V.HOURLY_SPEC)
-    panel = run_windows(pos, V.HOURLY_SPEC, lambda sw: W.panel_cols(sw, ["v_avg"], _PANEL_N, _STATS),
-                        lookback=max(_PANEL_N) - 1, positioned=True, keep_pos=True)
+    panel = W.rolling_panel(h, V.HOURLY_SPEC, ["v_avg"], _PANEL_N, _STATS, keep_pos=True)
     cols = [f"v_avg_{s}_{n}" for n in _PANEL_N for s in _STATS]
-    out = SK.export_rolling_long(panel.drop("_len"), ["series_id"], ["ts"], cols)
+    out = SK.export_rolling_long(panel, ["series_id"], ["ts"], cols)
     return out.withColumn("idx", F.col("idx").cast("long"))
 
 
