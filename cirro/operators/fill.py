@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cirro.operators.quantiles import exact_quantiles
 from cirro.operators.windows import bfill_col, ffill_col
-from cirro.plans.layout import run_windows, with_block_carries, with_positions
+from cirro.plans.layout import join_by_keys, run_windows, with_block_carries, with_positions
 from cirro.plans.series import POS, SeriesSpec
 
 
@@ -119,7 +119,7 @@ def fill_with_stat(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], how: st
                                        for c in cols])
     else:
         wide = fit.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"_st_{c}") for c in cols])
-    out = df.join(wide, keys, "left")
+    out = join_by_keys(df, wide, keys, "left")
     sel = []
     for f in df.columns:
         if f in cols:

@@ -34,6 +34,7 @@ from pyspark.util import inheritable_thread_target
 
 from cirro.operators.metrics import confusion, fbeta_col
 from cirro.operators.quantiles import exact_quantiles
+from cirro.plans.layout import join_by_keys
 
 FEATURES = "features"
 
@@ -109,7 +110,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fit_ma
     q = exact_quantiles(long, keys + ["_var"], "_v", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])
     wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("_var") == c, F.struct("_q1", "_q2", "_q3"))).alias(f"_q_{c}")
                                   for c in cols])
-    j = df.join(wide, keys, "left")
+    j = join_by_keys(df, wide, keys, "left")
     out = []
     for c in cols:
         qq = F.col(f"_q_{c}")

@@ -49,12 +49,13 @@ def _bucket(df: DataFrame, spec: SeriesSpec) -> Column:
     return F.floor(c.cast("double") / F.lit(float(spec.bucket_seconds)))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = None
-    for k in cols:
-        e = left[k].eqNullSafe(right[k])
-        cond = e if cond is None else cond & e
-    return cond
+def join_by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` where all keys are equal, null to null; the keys of ``left`` stay."""
+    r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_rk_{k}"))
+    return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
 def with_positions(df: DataFrame, spec: SeriesSpec, length: str | None = None) -> DataFrame:

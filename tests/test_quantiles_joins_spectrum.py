@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cirro.operators.joins import nearest_k
 from cirro.operators.quantiles import exact_quantiles
@@ -24,6 +25,41 @@ def test_exact_quantiles_hot_group(spark):
             assert out[g][name] == pytest.approx(float(np.quantile(vals, q)))
 
 
+@pytest.mark.parametrize("max_rows", [1 << 20, 40])
+def test_exact_quantiles_with_a_value_in_half_the_rows(spark, monkeypatch, max_rows):
+    """Equal rows are one counted row, groups are narrowed down to few rows, keys may be null."""
+    from cirro.operators import quantiles
+    rng = np.random.default_rng(8)
+    groups = {"rain": np.concatenate([np.zeros(2500), rng.gamma(1.0, 3.0, 2400), -rng.gamma(1.0, 3.0, 100)]), None: rng.integers(0, 4, 900).astype(float),
+              "flat": np.full(500, 7.0), "few": np.array([3.0, 1.0]), "smooth": rng.normal(size=2000)}
+    df = spark.createDataFrame([(g, 1, float(v)) for g, vs in groups.items() for v in vs] + [("gone", 1, None)], "g string, h int, x double")
+    held = []
+    real = quantiles._narrowed
+
+    def seen(*args):
+        out = real(*args)
+        held.extend(r["n"] for r in out.groupBy("_qk", "_cell").agg(F.countDistinct("_x").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(quantiles, "_narrowed", seen)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    out = {r["g"]: r for r in exact_quantiles(df, ["g", "h"], "x", probs, [f"p{i}" for i in range(7)], n_buckets=8, max_rows=max_rows).collect()}
+    assert set(out) == set(groups) and len(next(iter(out.values()))) == 9
+    for g, vs in groups.items():
+        assert [out[g][f"p{i}"] for i in range(7)] == pytest.approx(np.quantile(vs, probs).tolist())
+    assert max(held, default=0) <= max_rows and bool(held) == (max_rows == 40)
+
+
+def test_statistics_of_null_keys_are_joined_back(spark):
+    from cirro.operators.fill import fill_with_stat
+    from cirro.operators.models import robust_scale
+    df = spark.createDataFrame([(None, i, float(i) if i else None, True) for i in range(5)], "series_id string, ts int, x double, fit boolean")
+    spec = SeriesSpec(keys=("series_id",), order="ts")
+    for how in ("median", "mean"):
+        assert {r["ts"]: r["x"] for r in fill_with_stat(df, spec, ["x"], how).collect()} == {0: 2.5, 1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0}
+    assert {r["ts"]: r["x"] for r in robust_scale(df, ["series_id"], ["x"], "fit").collect()}[4] == pytest.approx(1.0)
+
+
 @pytest.mark.parametrize("metric", ["degrees", "haversine"])
 def test_nearest_k_brute_force(spark, metric):
     rng = np.random.default_rng(11)
