@@ -1,15 +1,9 @@
 """Joins (J1-J4).
 
 * ``nearest_k``        k closest stations per point, exact, without a
-  cross join: stations are put in grid cells; each point looks at the
-  neighbouring cells of its own cell (an equi-join on the cell id).  A
-  point is resolved once its k-th candidate is no farther than one cell
-  (nothing outside the searched block can be closer); unresolved points
-  retry on a grid with doubled cells.  The work per point is
-  bounded by the cells searched, never by the station count.  Metric
-  ``degrees`` (the reference: Euclidean in raw degrees) uses a 2-D
-  lat/lon grid; ``haversine`` uses unit vectors on a 3-D grid (chord
-  length orders the same as great-circle distance).
+  cross join (``operators.neighbours``).  Metric ``degrees`` (the reference:
+  Euclidean in raw degrees) works on lat/lon; ``haversine`` on unit vectors in
+  three dimensions (chord length orders the same as great-circle distance).
 * ``first_reporting``  walk each point's ranked stations; the first with
   an observation wins, observation kinds tried in order.
 * ``index_align``      equi-join on (series, time).
@@ -18,13 +12,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirro.session import cut_lineage
+from cirro.operators.neighbours import nearest
 
 EARTH_KM = 6371.0088
 
@@ -45,23 +38,14 @@ def _coords(df: DataFrame, idc: str, lat: str, lon: str, metric: str, tag: str):
 
 def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str = "haversine",
               point_id: str = "point_id", station_id: str = "station_id",
-              lat: str = "lat", lon: str = "lon", cell: float | None = None) -> DataFrame:
+              lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Exact k nearest stations per point: (point_id, station_id, rank,
-    distance), distance in degrees or kilometres; ties broken by station id.
-
-    Level L uses cells of size ``cell * 2**L`` and searches the 3**dim
-    block around the point's cell (an equi-join on cell ids).  Nothing
-    outside that block is closer than one cell, so a point whose k-th
-    candidate lies within one cell is final.  The last level's cells span
-    the whole domain, so every point ends resolved.
-    """
+    distance), distance in degrees or kilometres; ties broken by station id."""
     if metric not in ("degrees", "haversine"):
         raise ValueError(metric)
-    extent = 360.0 if metric == "degrees" else 2.0
     P, dim = _coords(points, point_id, lat, lon, metric, "p")
     S, _ = _coords(stations, station_id, lat, lon, metric, "s")
-    area = 360.0 * 180.0 if metric == "degrees" else 4 * math.pi
-    res = _knn_core(P, S, dim, k, extent, cell, area)
+    res = nearest(P, S, dim, k)
     dist = F.col("_d") if metric == "degrees" else 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("_d") / 2))
     return res.select(F.col("pid").alias(point_id), F.col("sid").alias(station_id),
                       F.col("rank").cast("int").alias("rank"), dist.alias("distance"))
@@ -70,74 +54,16 @@ def nearest_k(points: DataFrame, stations: DataFrame, k: int = 5, metric: str =
 def knn_euclidean(points: DataFrame, refs: DataFrame, point_id: str, ref_id: str, dims, k: int,
                   exclude_self: bool = False, group: str | None = None) -> DataFrame:
     """Exact k nearest ``refs`` per point in Euclidean space over ``dims``
-    (a few coordinates), by the same multi-level grid search; with
-    ``group`` only references of the point's group count.  Returns
-    (point_id, ref_id, rank, distance)."""
-    dim = len(dims)
-    pg = [F.col(group).alias("_pg")] if group else []
-    sg = [F.col(group).alias("_sg")] if group else []
-    P = points.select(F.col(point_id).alias("pid"), *pg,
-                      *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(dims)])
-    S = refs.select(F.col(ref_id).alias("sid"), *sg,
-                    *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(dims)])
-    b = S.agg(*[F.min(f"s{i}") for i in range(dim)], *[F.max(f"s{i}") for i in range(dim)]).first()
-    pb = P.agg(*[F.min(f"p{i}") for i in range(dim)], *[F.max(f"p{i}") for i in range(dim)]).first()
-    lo = [min(b[i], pb[i]) for i in range(dim)]
-    hi = [max(b[dim + i], pb[dim + i]) for i in range(dim)]
-    extent = max([h - l for h, l in zip(hi, lo)] + [1e-9]) * 2
-    area = 1.0
-    for h, l in zip(hi, lo):
-        area *= max(h - l, 1e-9)
-    res = _knn_core(P, S, dim, k + (1 if exclude_self else 0), extent, None, area, exclude_self)
+    (a few coordinates); with ``group`` only references of the point's
+    group count.  Returns (point_id, ref_id, rank, distance)."""
+    def side(df, idc, tag):
+        return df.select(F.col(idc).alias(f"{tag}id"), *([F.col(group).alias(f"{tag}g")] if group else []),
+                         *[F.col(c).cast("double").alias(f"{tag}{i}") for i, c in enumerate(dims)])
+    res = nearest(side(points, point_id, "p"), side(refs, ref_id, "s"), len(dims), k, exclude_self)
     return res.select(F.col("pid").alias(point_id), F.col("sid").alias(ref_id),
                       F.col("rank").cast("int").alias("rank"), F.col("_d").alias("distance"))
 
 
-def _knn_core(P: DataFrame, S: DataFrame, dim: int, k: int, extent: float, cell, area: float,
-              exclude_self: bool = False) -> DataFrame:
-    if cell is None:
-        # first level sized so that a block of cells holds about k references
-        n_s = max(S.count(), 1)
-        cell = max((area * k / n_s) ** (1.0 / dim) / 3.0, extent / 2 ** 20)
-    results = None
-    todo = P
-    size = cell
-    while True:
-        final = size >= extent
-        cand = todo
-        for i in range(dim):
-            cand = cand.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(f"_o{i}"))
-            cand = cand.withColumn(f"q{i}", F.floor(F.col(f"p{i}") / size).cast("long") + F.col(f"_o{i}"))
-        sc = S.select("*", *[F.floor(F.col(f"s{i}") / size).cast("long").alias(f"sc{i}") for i in range(dim)])
-        cond = None
-        for i in range(dim):
-            e = F.col(f"q{i}") == F.col(f"sc{i}")
-            cond = e if cond is None else cond & e
-        if "_pg" in cand.columns and "_sg" in sc.columns:
-            cond = cond & (F.col("_pg") == F.col("_sg"))
-        j = cand.join(sc, cond, "inner")
-        if exclude_self:
-            j = j.filter(F.col("pid") != F.col("sid"))
-        sq = sum(((F.col(f"p{i}") - F.col(f"s{i}")) ** 2 for i in range(dim)), F.lit(0.0))
-        j = j.select("pid", "sid", F.sqrt(sq).alias("_d"))
-        w = Window.partitionBy("pid").orderBy("_d", "sid")
-        kk = k - (1 if exclude_self else 0)
-        top = j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
-        kth = top.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"))
-        ok = ((F.col("_n") >= kk) & (F.col("_dk") <= size)) | F.lit(final)
-        done_ids = kth.filter(ok).select("pid")
-        res = top.join(done_ids, "pid", "left_semi")
-        results = res if results is None else results.unionByName(res)
-        if final:
-            break
-        # cut lineage: each level's "todo" depends on the previous one twice
-        todo = cut_lineage(todo.join(done_ids, "pid", "left_anti"))
-        if todo.limit(1).count() == 0:
-            break
-        size *= 2
-    return results
-
-
 def first_reporting(ranked: DataFrame, observations: DataFrame, point_id: str = "point_id",
                     station_id: str = "station_id", kind: str = "kind", kinds: Sequence[str] = (),
                     value: str = "value") -> DataFrame:
