@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.operators.quantiles import exact_quantiles
 from cirro.operators.windows import bfill_col, ffill_col
 from cirro.plans.layout import join_by_keys, run_windows, with_block_carries, with_positions
 from cirro.plans.series import POS, SeriesSpec
+from cirro.session import cut_lineage
 
 
 def hourly_grid(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -132,10 +133,14 @@ def fill_with_stat(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], how: st
     return out.select(*sel)
 
 
-def fill_cascade(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], limit: int = 24) -> DataFrame:
-    """M1 without the neighbour step: time interpolation (limit) then the
-    per-series median."""
-    return fill_with_stat(interpolate(df, spec, cols, "time", limit), spec, cols, "median")
+def fill_cascade(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], limit: int = 24, k: int = 5) -> DataFrame:
+    """M1: time interpolation (``limit``), then the nearest rows of the series by the columns both have, then its median."""
+    cols = list(cols)
+    out = interpolate(df, spec, cols, "time", limit)
+    if len(cols) > 1:
+        out = out.withColumn("_row", F.struct(*spec.keys, *spec.order_cols)).withColumn("_series", F.struct(*spec.keys))
+        out = knn_impute(out, "_row", cols, k, "_series").drop("_row", "_series")
+    return fill_with_stat(out, spec, cols, "median")
 
 
 def feature_fill(df: DataFrame, spec: SeriesSpec, cols: Sequence[str],
@@ -158,31 +163,52 @@ def feature_fill(df: DataFrame, spec: SeriesSpec, cols: Sequence[str],
     return fill_with_stat(c_, spec, cols, "mean", 0.0)
 
 
-def knn_impute(df: DataFrame, key: str, target: str, search: Sequence[str], k: int = 5,
-               group: str | None = None) -> DataFrame:
-    """M2: a missing ``target`` becomes the distance-weighted mean of the
-    ``k`` nearest rows that have it (inverse distance; rows at distance 0
-    take the plain mean of the zero-distance neighbours), distance on the
-    ``search`` columns (which must be present), neighbours within
-    ``group`` (the series).  Exact neighbours by grid search, no pairs."""
-    from cirro.operators.joins import knn_euclidean
-    ok = F.col(target).isNotNull()
-    searchable = None
-    for c in search:
-        e = F.col(c).isNotNull()
-        searchable = e if searchable is None else searchable & e
-    holes = df.filter(~ok & searchable)
-    donors = df.filter(ok & searchable).select(F.col(key).alias("_donor"), *([group] if group else []),
-                                               *search, F.col(target).alias("_tv"))
-    nn = knn_euclidean(holes, donors, key, "_donor", list(search), k, group=group)
-    nn = nn.join(donors.select("_donor", "_tv"), "_donor")
-    zero = F.col("distance") == 0
-    est = nn.groupBy(key).agg(
-        F.sum(F.when(zero, 1)).alias("_nz"), F.avg(F.when(zero, F.col("_tv"))).alias("_z"),
-        F.sum(F.when(~zero, F.col("_tv") / F.col("distance"))).alias("_num"),
-        F.sum(F.when(~zero, 1 / F.col("distance"))).alias("_den"))
-    val = F.when(F.col("_nz") > 0, F.col("_z")).otherwise(F.col("_num") / F.col("_den"))
-    est = est.select(key, val.alias("_imp"))
-    out = df.join(est, key, "left")
-    return out.select(*[F.coalesce(F.col(target), F.col("_imp")).alias(c) if c == target else F.col(c)
-                        for c in df.columns])
+def knn_impute(df: DataFrame, key: str, cols: Sequence[str], k: int = 5, group: str | None = None) -> DataFrame:
+    """M2: a missing value of ``cols`` becomes the mean of the ``k`` nearest rows that have it, weighted by
+    the inverse distance (rows at distance 0: their plain mean).
+
+    The distance of two rows is Euclidean over the columns both have, scaled
+    up by all columns over those; ties go to the smaller ``key`` (unique).  With
+    ``group`` only rows of the same group count.  Rows that share no column with
+    a row that has the value stay as they are.  Columns may be missing in any
+    combination: rows are searched by the pair of patterns, own and neighbour's,
+    all pairs in one search, with the columns that aren't shared set to 0.
+    """
+    from cirro.operators.neighbours import nearest
+    cols, every = list(cols), (1 << len(list(cols))) - 1
+    bits = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    rows = cut_lineage(df.withColumn("_bits", bits))
+    patterns = sorted(r[0] for r in rows.select("_bits").distinct().collect())          # 2 ** len(cols) at most
+    pairs = [(a, b) for a in patterns if a != every for b in patterns if a & b and b & ~a]
+    if not pairs:
+        return df
+    own = F.struct(*([F.col(group).alias("g")] if group else []), F.col("_a"), F.col("_b"))
+
+    def side(of: str, tag: str):
+        few = df.sparkSession.createDataFrame(pairs, "_a int, _b int")
+        j = rows.join(F.broadcast(few), F.col("_bits") == F.col(of))
+        shared = F.col("_a").bitwiseAND(F.col("_b"))
+        ident = F.struct(F.col(key).alias("key"), "_b") if tag == "p" else F.col(key)
+        return j.select(ident.alias(f"{tag}id"), own.alias(f"{tag}g"), *[
+            F.when(shared.bitwiseAND(1 << i) > 0, F.col(c).cast("double")).otherwise(0.0).alias(f"{tag}{i}") for i, c in enumerate(cols)], shared.alias("_shared"))
+
+    points = side("_a", "p")
+    near = nearest(points.drop("_shared"), side("_b", "s").drop("_shared"), len(cols), k)
+    scale = points.select(F.col("pid").alias("_pp"), F.sqrt(F.lit(float(len(cols))) / F.bit_count("_shared")).alias("_scale"))
+    near = near.join(scale, near["pid"] == scale["_pp"])
+    missing = rows.select(F.col(key).alias("_mk"), F.col("_bits").alias("_have"))
+    near = near.select(F.col("pid.key").alias("_pk"), F.col("pid._b").alias("_donor_bits"), "sid", (F.col("_d") * F.col("_scale")).alias("_d"))
+    near = near.join(missing, near["_pk"] == missing["_mk"]).drop("_mk")
+    donors = rows.select(F.col(key).alias("_dk"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    near = near.join(donors, near["sid"] == donors["_dk"])
+    cells = near.select("_pk", "sid", "_d", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.when(F.col("_have").bitwiseAND(1 << i) == 0, F.col(f"_v{i}")).alias("_v")) for i in range(len(cols))])))
+    w = Window.partitionBy("_pk", "_c").orderBy("_d", "sid")
+    best = cells.filter(F.col("_v").isNotNull()).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+    zero = F.col("_d") == 0
+    est = best.groupBy("_pk", "_c").agg(
+        F.avg(F.when(zero, F.col("_v"))).alias("_z"),
+        (F.sum(F.when(~zero, F.col("_v") / F.col("_d"))) / F.sum(F.when(~zero, 1 / F.col("_d")))).alias("_w"))
+    wide = est.groupBy(F.col("_pk").alias("_ek")).agg(*[F.max(F.when(F.col("_c") == i, F.coalesce("_z", "_w"))).alias(f"_e{i}") for i in range(len(cols))])
+    out = rows.join(wide, rows[key] == wide["_ek"], "left")
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_e{cols.index(c)}")).alias(c) if c in cols else F.col(c) for c in df.columns])

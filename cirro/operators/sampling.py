@@ -2,7 +2,7 @@
 
 Row choice never depends on partitioning: every row gets a seeded 64-bit
 hash of its key, and "the first m rows of a class" means the m smallest
-hashes -- found with an exact quantile of the hash (no window over a
+hashes -- found with counts per hash bucket (no window over a
 whole class, so a class holding most of the data is still split).
 """
 
@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirro.operators.joins import knn_euclidean
-from cirro.operators.quantiles import exact_quantiles
+from cirro.operators.neighbours import forest_neighbours
+from cirro.session import cut_lineage
 
 
 def _u(cols: Sequence[str], seed: int, salt: str = ""):
@@ -63,45 +63,35 @@ def balanced_subset(val: DataFrame, target_rate: float, key_cols: Sequence[str],
     return p.unionByName(q)
 
 
-def oversample_minority(train: DataFrame, key: str, features: Sequence[str], search_dims: Sequence[str],
-                        label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
+def oversample_minority(train: DataFrame, key: str, features: Sequence[str], label: str = "label",
+                        k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic minority rows x_i + lam * (x_j - x_i) until both
-    classes are equal, j one of the k nearest minority neighbours of i.
+    classes are equal, j one of the k nearest minority neighbours of i
+    over all ``features`` (``forest_neighbours``).
 
-    Neighbours are exact in the (few) ``search_dims`` coordinates (grid
-    search, no pair enumeration); interpolation covers all ``features``.
-    Each minority row makes floor(need/m) or one more synthetic rows
-    (chosen by seeded hash); neighbour and lambda come from seeded hashes,
-    so the result does not depend on partitioning.  Returns only the
+    Each minority row makes floor(need/m) or one more synthetic rows (those
+    of the smallest seeded hashes); neighbour and lambda come from seeded
+    hashes, so the result does not depend on partitioning.  Returns only the
     synthetic rows (``synthetic_id``, features, label)."""
+    none = train.limit(0).select(F.lit(None).cast("string").alias("synthetic_id"), *features, label)
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}   # two rows
     if len(counts) < 2:
-        return train.limit(0).select(F.lit(None).cast("string").alias("synthetic_id"), *features, label)
+        return none
     minority = min(counts, key=lambda c: (counts[c], c))
-    m, M = counts[minority], max(counts.values())
-    need = M - m
-    from cirro.session import cut_lineage
-    mino = cut_lineage(train.filter(F.col(label) == minority))   # read once per grid level
+    m, need = counts[minority], max(counts.values()) - counts[minority]
     if need <= 0 or m < 2:
-        return train.limit(0).select(F.lit(None).cast("string").alias("synthetic_id"), *features, label)
-    nn = knn_euclidean(mino, mino.withColumnRenamed(key, "_nbr"), key, "_nbr", search_dims, k,
-                       exclude_self=True)
+        return none
+    mino = cut_lineage(train.filter(F.col(label) == minority).select(key, *features))
+    nn = cut_lineage(forest_neighbours(mino, key, features, k, seed=seed))
     base, extra = divmod(need, m)
-    rank_u = _u([key], seed, "count")
-    cut = None
-    if extra:
-        q = exact_quantiles(mino.select(F.lit(1).alias("_one"), rank_u.alias("_ru")), ["_one"], "_ru",
-                            [(extra - 1) / max(m - 1, 1)], ["_c"]).first()["_c"]
-        cut = q
-    g = F.lit(base) + (F.when(rank_u <= cut, 1).otherwise(0) if cut is not None else F.lit(0))
-    gen = mino.withColumn("_g", g).filter(F.col("_g") > 0)
-    gen = gen.withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("_g"))))
-    nk = nn.groupBy(key).agg(F.count(F.lit(1)).alias("_nk"))
-    gen = gen.join(nk, key)
+    more = _take_smallest(mino.select(key), [key], extra, seed).select(F.col(key).alias("_mk"))
+    gen = mino.join(more, mino[key] == more["_mk"], "left").withColumn("_g", F.lit(base) + F.col("_mk").isNotNull().cast("int")).drop("_mk")
+    gen = gen.filter(F.col("_g") > 0).withColumn("_s", F.explode(F.sequence(F.lit(1), F.col("_g"))))
+    gen = gen.join(nn.groupBy(key).agg(F.count(F.lit(1)).alias("_nk")), key)
     pick = (F.floor(_u([key, "_s"], seed, "nbr") * F.col("_nk")) + 1).cast("int")
     gen = gen.withColumn("rank", pick).withColumn("_lam", _u([key, "_s"], seed, "lam"))
-    nbr = mino.select(F.col(key).alias("_nbr"), *[F.col(c).alias(f"_n_{c}") for c in features])
-    j = gen.join(nn.select(key, "_nbr", "rank"), [key, "rank"]).join(nbr, "_nbr")
+    nbr = mino.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"_n_{c}") for c in features])
+    j = gen.join(nn.select(key, "neighbour", "rank"), [key, "rank"]).join(nbr, "neighbour")
     return j.select(F.concat_ws("-", F.col(key).cast("string"), F.col("_s").cast("string")).alias("synthetic_id"),
                     *[(F.col(c) + F.col("_lam") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features],
                     F.lit(minority).cast("int").alias(label))

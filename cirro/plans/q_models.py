@@ -214,7 +214,7 @@ def _synthetic(spark, sf_dir):
     s = s.withColumn("row_key", F.concat_ws("|", "series_id", F.col("ts").cast("string")))
     z = ML.standardize(s, ["series_id"], ["pressure", "temperature", "humidity"])
     feats = ["pressure", "temperature", "humidity", "wind_speed", "cloud_cover"]
-    syn = oversample_minority(z, "row_key", feats, ["pressure", "temperature", "humidity"], "label", 5)
+    syn = oversample_minority(z, "row_key", feats, "label", 5)
     return z, syn, feats
 
 

@@ -145,5 +145,62 @@ def q_knn_impute(spark, sf_dir):
     d = w.select("series_id", "ts", F.when(F.col("humidity") > 10, F.col("temperature")).alias("temperature"),
                  "pressure", "humidity")
     d = d.withColumn("row_key", F.concat_ws("|", "series_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
-    return FL.knn_impute(d, "row_key", "temperature", ["pressure", "humidity"], 5, group="series_id").select(
+    return FL.knn_impute(d, "row_key", ["temperature", "pressure", "humidity"], 5, group="series_id").select(
         "series_id", "ts", "temperature")
+
+
+# Two columns missing in different rows: distances over the columns both rows have.
+_SHARED_IN = f"""(SELECT series_id, ts, CASE WHEN humidity > 10 THEN temperature END AS temperature,
+   CASE WHEN hour(ts) % 5 <> 0 THEN pressure END AS pressure, humidity FROM {V.EV_WEATHER_SQL} AS w)"""
+_ROW_SQL = "series_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')"
+
+
+def _nan_knn_sql(target: str, cols: list[str], source: str, k: int = 5) -> str:
+    """(series_id, ts, imp): brute force over all pairs of a series."""
+    both = " + ".join(f"CASE WHEN h.{c} IS NOT NULL AND o.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in cols)
+    square = " + ".join(f"coalesce((h.{c} - o.{c}) ^ 2, 0)" for c in cols)
+    return f"""(SELECT series_id, ts, coalesce(avg(tv) FILTER (WHERE dist = 0), sum(tv / dist) FILTER (WHERE dist > 0) / sum(1 / dist) FILTER (WHERE dist > 0)) AS imp
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY dist, donor) AS rk
+    FROM (SELECT h.series_id, h.ts, o.{target} AS tv, {_ROW_SQL.replace('series_id', 'o.series_id').replace('ts,', 'o.ts,')} AS donor,
+            sqrt({square}) * sqrt({float(len(cols))} / nullif({both}, 0)) AS dist
+          FROM {source} AS h JOIN {source} AS o ON h.series_id = o.series_id AND h.{target} IS NULL AND o.{target} IS NOT NULL) AS p
+    WHERE dist IS NOT NULL) AS q WHERE rk <= {k} GROUP BY 1, 2)"""
+
+
+_SHARED_COLS = ["temperature", "pressure", "humidity"]
+KNN_SHARED_SQL = rounded(f"""
+WITH d AS {_SHARED_IN}
+SELECT d.series_id, d.ts, coalesce(d.temperature, t.imp) AS temperature, coalesce(d.pressure, p.imp) AS pressure, d.humidity
+FROM d LEFT JOIN {_nan_knn_sql('temperature', _SHARED_COLS, 'd')} AS t ON d.series_id = t.series_id AND d.ts = t.ts
+       LEFT JOIN {_nan_knn_sql('pressure', _SHARED_COLS, 'd')} AS p ON d.series_id = p.series_id AND d.ts = p.ts""",
+    ["series_id", "ts"], _SHARED_COLS)
+
+
+@register("knn_impute_shared", KNN_SHARED_SQL)
+def q_knn_shared(spark, sf_dir):
+    """M2 with several missing patterns."""
+    w = V.ev_weather(spark, sf_dir)
+    d = w.select("series_id", "ts", F.when(F.col("humidity") > 10, F.col("temperature")).alias("temperature"),
+                 F.when(F.hour("ts") % 5 != 0, F.col("pressure")).alias("pressure"), "humidity")
+    d = d.withColumn("row_key", F.concat_ws("|", "series_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return FL.knn_impute(d, "row_key", _SHARED_COLS, 5, group="series_id").drop("row_key")
+
+
+# --- M1 with all its steps: W18 -> M2 -> A21 -------------------------------------------
+# Stand-in gaps: k_avg is taken away from 3 to 8 o'clock, more than the interpolation reaches.
+_GAP_SQL = f"(SELECT series_id, ts, v_avg, CASE WHEN hour(ts) NOT BETWEEN 3 AND 8 THEN k_avg END AS k_avg FROM {GRID_SQL} AS gg)"
+CASCADE_COLS_SQL = rounded(f"""
+WITH iv AS ({_interp_sql('v_avg', 1, 'time', _GAP_SQL)}), ik AS ({_interp_sql('k_avg', 1, 'time', _GAP_SQL)}),
+i AS (SELECT iv.series_id, iv.ts, iv.v_avg, ik.k_avg FROM iv JOIN ik ON iv.series_id = ik.series_id AND iv.ts = ik.ts),
+n AS (SELECT i.series_id, i.ts, coalesce(i.v_avg, a.imp) AS v_avg, coalesce(i.k_avg, b.imp) AS k_avg
+      FROM i LEFT JOIN {_nan_knn_sql('v_avg', ['v_avg', 'k_avg'], 'i')} AS a ON i.series_id = a.series_id AND i.ts = a.ts
+             LEFT JOIN {_nan_knn_sql('k_avg', ['v_avg', 'k_avg'], 'i')} AS b ON i.series_id = b.series_id AND i.ts = b.ts),
+m AS (SELECT series_id, quantile_cont(v_avg, 0.5) AS mv, quantile_cont(k_avg, 0.5) AS mk FROM n GROUP BY series_id)
+SELECT n.series_id, n.ts, coalesce(n.v_avg, m.mv) AS v_avg, coalesce(n.k_avg, m.mk) AS k_avg FROM n JOIN m ON n.series_id = m.series_id""",
+    ["series_id", "ts"], ["v_avg", "k_avg"])
+
+
+@register("fill_cascade_columns", CASCADE_COLS_SQL)
+def q_cascade_columns(spark, sf_dir):
+    g = grid(spark, sf_dir).select("series_id", "ts", "v_avg", F.when(~F.hour("ts").between(3, 8), F.col("k_avg")).alias("k_avg"))
+    return FL.fill_cascade(g, V.HOURLY_SPEC, ["v_avg", "k_avg"], limit=1)
