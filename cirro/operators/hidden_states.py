@@ -173,8 +173,8 @@ def best_enter_and_leave(mats: np.ndarray, enter: np.ndarray, leave: int | None)
     return fore, aft
 
 
-def walk(p: Pieces, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of each row and state, expected moves, log likelihood) of a block."""
+def walk(p: Pieces, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(posterior of each row and state, expected moves, log likelihood, posterior given the rows up to each row) of a block."""
     mats, _ = p.products()
     fore, aft = enter_and_leave(mats, enter, leave)
     alpha, before = np.empty((p.count, p.width, p.k)), np.empty((p.count, p.width, p.k))
@@ -199,7 +199,7 @@ def walk(p: Pieces, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, n
         moves += xi[counted].sum(axis=0)
         u = (w @ u[:, :, None])[:, :, 0]
         u = u / u.sum(axis=1, keepdims=True)
-    return gamma.reshape(-1, p.k)[:p.n], moves, log
+    return gamma.reshape(-1, p.k)[:p.n], moves, log, alpha.reshape(-1, p.k)[:p.n]
 
 
 def best_path(p: Pieces, enter: np.ndarray, leave: int | None) -> np.ndarray:
@@ -221,7 +221,7 @@ def best_path(p: Pieces, enter: np.ndarray, leave: int | None) -> np.ndarray:
 # --- expectation and maximisation -----------------------------------------------------------
 def statistics(x: np.ndarray, first: bool, model: Model, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
     """Log likelihood, expected start, moves, and per state the count, sum and sum of products of its whole rows."""
-    gamma, moves, log = walk(Pieces(x, first, model), enter, leave)
+    gamma, moves, log, _ = walk(Pieces(x, first, model), enter, leave)
     whole = ~np.isnan(x).any(axis=1)
     g, z = gamma[whole], x[whole]
     start = gamma[0] if first else np.zeros(len(model.start))
@@ -269,14 +269,14 @@ def known(c: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).otherwise(float("nan"))
 
 
-def _rows(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], min_rows: int) -> DataFrame:
+def _rows(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], min_rows: int, fit_mask: str | None = None) -> DataFrame:
     """``df`` with position, block, series id, length and standardised observations (``_z``, NaN where missing)."""
     pos = with_positions(df, spec, length="_len")
     pos = pos.withColumn(SID, F.struct(*spec.keys)).withColumn(BLK, F.floor((F.col(POS) - 1) / spec.block_rows).cast("long"))
     x = [known(c) for c in cols]
     whole = ~F.exists(F.array(*x), F.isnan)
     pos = pos.withColumn("_x", F.array(*x)).withColumn("_whole", whole)
-    st = pos.filter("_whole").groupBy(SID).agg(*[f(F.col("_x")[i]).alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
+    st = pos.filter(F.col("_whole") & (F.col(fit_mask) if fit_mask else F.lit(True))).groupBy(SID).agg(*[f(F.col("_x")[i]).alias(f"{n}{i}") for i in range(len(cols)) for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
     mean, sd = (F.array(*[F.col(f"{n}{i}") for i in range(len(cols))]) for n in ("_m", "_s"))
     st = st.select(F.col(SID).alias("_st"), mean.alias("_mean"), sd.alias("_sd"))
     j = pos.join(st, pos[SID] == st["_st"], "left").drop("_st")
@@ -448,7 +448,7 @@ def fit_models(blocks: DataFrame, k: int, d: int, block_rows: int, max_iter: int
 
 
 def hidden_states(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], k: int = 3, min_rows: int = 200,
-                  max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
+                  max_iter: int = 100, tol: float = 1e-4, fit_mask: str | None = None, smooth: bool = True) -> DataFrame:
     """Every row with ``regime_0..k-1`` (posteriors; states by the trace of their covariance, the most
     volatile last), ``volatile_prob``, ``state`` (of the most likely path) and ``fallback``.
 
@@ -457,11 +457,18 @@ def hidden_states(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], k: int =
     or collapsed into one state (1/k each) and rows with a missing
     observation; ``fallback`` marks them.  Their ``state`` is null, but for
     rows with a missing observation, which lie on the path.
+
+    With ``fit_mask`` models are fitted on the rows where it is true.  With
+    ``smooth=False`` a row's shares follow from the rows up to it only: no later row is looked at.
     """
     cols, d = list(cols), len(cols)
-    rows = cut_lineage(_rows(df, spec, cols, min_rows))
+    rows = cut_lineage(_rows(df, spec, cols, min_rows, fit_mask))
     blocks = cut_lineage(_blocks(rows))
-    models = fit_models(blocks, k, d, spec.block_rows, max_iter, tol)
+    seen = blocks
+    if fit_mask:
+        unseen = F.array(*[F.lit(float("nan"))] * d)
+        seen = cut_lineage(_blocks(rows.withColumn("_z", F.when(F.col(fit_mask), F.col("_z")).otherwise(unseen))))
+    models = fit_models(seen, k, d, spec.block_rows, max_iter, tol)
     several = blocks.filter(F.col("_len") > spec.block_rows)
     ends = [scan(cut_lineage(_block_matrices(several, models, k, d, best)), k, best).select(
         F.col(SID).alias(f"_s{n}"), F.col(BLK).alias(f"_b{n}"), F.col("fore").alias(f"fore{n}"), F.col("aft").alias(f"aft{n}")) for n, best in enumerate((False, True))]
@@ -483,9 +490,9 @@ def hidden_states(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], k: int =
                     continue
                 order = m.by_volatility
                 p = Pieces(x, blk == 0, m)
-                gamma, _, _ = walk(p, np.ones(k) if fore is None else np.array(fore), np.ones(k) if aft is None else np.array(aft))
+                gamma, _, _, filtered = walk(p, np.ones(k) if fore is None else np.array(fore), np.ones(k) if aft is None else np.array(aft))
                 path = best_path(p, np.zeros(k) if best_fore is None else np.array(best_fore), None if best_aft is None else int(best_aft[0]))
-                posts.append(gamma[:, order].ravel())
+                posts.append((gamma if smooth else filtered)[:, order].ravel())
                 states.append(np.argsort(order)[path])
             yield pa.RecordBatch.from_arrays([batch.column(SID), batch.column(BLK), _array(posts), pa.array([s.tolist() for s in states], pa.list_(pa.int64()))], names=names)
 

@@ -46,7 +46,8 @@ def q_importance(spark, sf_dir):
     """Top-20 random-forest importances (true top k)."""
     t = trained(spark, sf_dir)
     m = t.models.get("rf")
-    rows = ML.feature_importances(m, t.feature_cols, 20) if hasattr(m, "featureImportances") else []
+    shares = m.importances() if hasattr(m, "importances") else []
+    rows = sorted(((c, float(v)) for c, v in zip(t.feature_cols, shares)), key=lambda x: (-x[1], x[0]))[:20]
     return spark.createDataFrame([(i + 1, c, v) for i, (c, v) in enumerate(rows)],
                                  "rank int, feature string, importance double")
 

@@ -178,3 +178,23 @@ def test_no_rows_and_no_whole_rows(spark):
     df = spark.createDataFrame([("n", i, None, 1.0) for i in range(250)], SCHEMA)
     out = H.hidden_states(df, spec, COLS)
     assert out.count() == 250 and out.filter(F.col("fallback") & F.col("state").isNull()).count() == 250
+
+
+def test_shares_without_a_look_ahead(spark, rows):
+    """Fitted on the first rows, a row's shares don't change with what comes later."""
+    spec = SeriesSpec(keys=("series_id",), order="ts", block_rows=7)
+    late = [(n, i, (p or 0.0) * 3 + 7, t) if i >= 90 else (n, i, p, t) for n, i, p, t in rows["a"]]
+    out = []
+    for r in (rows["a"], late):
+        df = spark.createDataFrame(r, SCHEMA).withColumn("fit", F.col("ts") < 80)
+        got = H.hidden_states(df, spec, COLS, 3, min_rows=20, max_iter=3, fit_mask="fit", smooth=False).filter("ts < 90").orderBy("ts").collect()
+        out.append([[x["regime_0"], x["regime_1"], x["regime_2"]] for x in got])
+    assert np.allclose(out[0], out[1], atol=1e-12)
+    x = standardised([(n, i, p if i < 80 else None, t) for n, i, p, t in rows["a"]])
+    whole = np.array([[np.nan if v is None else v for v in r[2:]] for r in rows["a"]], dtype=float)
+    fit = whole[:80][~np.isnan(whole[:80]).any(axis=1)]
+    z = (whole - fit.mean(axis=0)) / fit.std(axis=0)
+    model = plain_fit(x, 3, 3, 1e-4)
+    for t in (0, 30, 79):
+        want = plain_forward_backward(z[:t + 1], model)[0][-1][model.by_volatility]
+        assert np.allclose(out[0][t], want, atol=1e-9)
