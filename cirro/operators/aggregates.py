@@ -3,7 +3,8 @@
 All are ``groupBy(series).agg(...)`` (partial + final aggregation, so a
 hot series is pre-aggregated on every map task before the shuffle) or a
 window step followed by such an aggregate.  Multi-column statistics
-(covariance, correlation) are computed for every pair in one ``agg``.
+(covariance, correlation) are computed for every pair in one ``agg``, or, of many
+columns, as matrix products.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from cirro.functions.stats import finite_or, safe_corr
 from cirro.operators.windows import drawdown as drawdown_op
 from cirro.plans.layout import run_windows
 from cirro.plans.series import SeriesSpec
+from cirro.session import cut_lineage
 
 EPS = 1e-10
 
@@ -57,11 +61,17 @@ def class_balance(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
             .withColumn("positive_pct", F.col("positives") * 100.0 / F.col("total")))
 
 
+WIDE = 30             # columns beyond which pairs are worked out as matrices
+
+
 def pair_stats_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                     kind: str = "cov") -> DataFrame:
     """Sample covariance or Pearson correlation of every column
-    pair, NaN/NULL -> 0, as a long table (var_i, var_j, value) -- both
-    orders of every pair, like the square matrix."""
+    pair over the rows that have both, NaN/NULL -> 0, as a long table
+    (var_i, var_j, value) -- both orders of every pair, like the square matrix.
+    Few columns are one aggregate; more than ``WIDE`` go through ``co_moments``."""
+    if len(cols) > WIDE:
+        return _wide_pair_stats(df, keys, cols, kind)
     fn = F.covar_samp if kind == "cov" else safe_corr
     pairs = list(combinations_with_replacement(cols, 2))
     aggs = [fn(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_p{i}")
@@ -76,6 +86,97 @@ def pair_stats_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     return wide.select(*keys, F.inline(F.array(*entries)))
 
 
+def _batch_moments(x: np.ndarray) -> np.ndarray:
+    """4 x D x D: per pair (i, j) of columns, over the rows that have both: count, mean of i, sum of squares of i
+    and of products of i and j, both around their means.  NULL and NaN are NaN here."""
+    here = ~np.isnan(x)
+    centre = np.where(here.any(axis=0), np.where(here, x, 0.0).sum(axis=0) / np.maximum(here.sum(axis=0), 1), 0.0)
+    z, m = np.where(here, x - centre, 0.0), here.astype(float)
+    n, s = m.T @ m, z.T @ m
+    safe = np.maximum(n, 1.0)
+    return np.stack([n, centre[:, None] + s / safe, (z * z).T @ m - s * s / safe, z.T @ z - s * s.T / safe])
+
+
+def _merged_moments(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    d = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+    safe, both = np.maximum(n, 1.0), a[0] * b[0]
+    mean = np.where(a[0] > 0, a[1], b[1]) + d * b[0] / safe
+    return np.stack([n, mean, a[2] + b[2] + d * d * both / safe, a[3] + b[3] + d * d.T * both / safe])
+
+
+def co_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str], rows_per_task: int = 1 << 20, fan: int = 64) -> DataFrame:
+    """(_sid, m): per series (all keys as a struct) the pair moments of all columns as doubles.
+
+    Rows are dealt by (series, hash), at most about ``rows_per_task`` of a series together, and
+    sorted by series; a task multiplies each batch's centred columns with themselves and merges the
+    products.  Partial results are merged in a tree, ``fan`` in one task.
+    """
+    d = len(cols)
+    numbers = [F.col(c).cast("double") for c in cols]
+    x = df.select(F.struct(*keys).alias("_sid") if keys else F.struct(F.lit(0).alias("all")).alias("_sid"), F.array(*numbers).alias("x"))
+    most = x.groupBy("_sid").count().agg(F.max("count")).first()[0] or 0
+    dealt = x.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(-(-most // rows_per_task) or 1)))
+    dealt = dealt.repartition("_sid", "_salt").sortWithinPartitions("_sid", "_salt")
+    sid = x.schema["_sid"].dataType.simpleString()
+
+    def products(batches):
+        now, held = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([now[0], now[1], pa.array([held.ravel()], pa.list_(pa.float64()))], names=["_sid", "part", "m"])
+
+        for batch in batches:
+            ids = batch.column("_sid").to_pylist()
+            salts = batch.column("_salt").to_pylist()
+            cut = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1] or salts[i] != salts[i - 1]), len(ids)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                key = (ids[a], salts[a])
+                if now is not None and key != now[2]:
+                    yield out()
+                    held = None
+                now = (batch.column("_sid").slice(a, 1), batch.column("_salt").slice(a, 1), key)
+                v = batch.column("x").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+                held = _merged_moments(held, _batch_moments(v))
+        if held is not None:
+            yield out()
+
+    def merged(t: pa.Table) -> pa.Table:
+        held = None
+        for m in t["m"]:
+            held = _merged_moments(held, np.asarray(m.values).reshape(4, d, d))
+        return pa.table([t["_sid"].slice(0, 1), pa.chunked_array([pa.array([t["part"][0].as_py() // fan], pa.int64())]), pa.array([held.ravel()], pa.list_(pa.float64()))], names=["_sid", "part", "m"])
+
+    schema = f"_sid {sid}, part long, m array<double>"
+    parts = cut_lineage(dealt.mapInArrow(products, schema))
+    left = parts.agg(F.max("part")).first()[0] or 0
+    while True:
+        parts = parts.groupBy("_sid", F.floor(F.col("part") / fan).alias("_up")).applyInArrow(merged, schema)
+        if left < fan:
+            return parts.select("_sid", "m")
+        left //= fan
+
+
+def _wide_pair_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str], kind: str) -> DataFrame:
+    keys, cols, d = list(keys), list(cols), len(cols)
+    m = cut_lineage(co_moments(df, keys, cols))
+    at = F.col("_i") * d + F.col("_j")
+    back = F.col("_j") * d + F.col("_i")
+
+    def cell(block, where):
+        return F.col("m")[(block * d * d + where).cast("int")]
+    n, xx, yy, xy = cell(0, at), cell(2, at), cell(2, back), cell(3, at)
+    value = F.when(n > 1, xy / (n - 1)) if kind == "cov" else F.when((n > 1) & (xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = m.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(d - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
+    return pairs.select(*[F.col(f"_sid.{k}").alias(k) for k in keys], names[F.col("_i")].alias("var_i"), names[F.col("_j")].alias("var_j"),
+                        F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).alias("value"))
+
+
 def _returns(df: DataFrame, spec: SeriesSpec, value: str) -> DataFrame:
     """r = (x - prev)/(prev + 1e-10) with NaN/NULL read as 0 and non-finite
     results -> 0; the first row has no return (NULL)."""

@@ -48,5 +48,3 @@ def test_whole_run(spark):
     assert set(met) == {"rf", "lgb", "lr", "ensemble"}
     for r in met.values():
         assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == n and 0 <= r["auc"] <= 1
-    again = TR.train(spark, SF, kinds=["rf", "lgb", "lr"], n_iter=2, k_folds=2)
-    assert again.params == t.params and again.thresholds == t.thresholds
