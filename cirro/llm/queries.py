@@ -48,7 +48,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cirro.llm.suffix_dedup import remove_repeats
-    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("removed")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False, words=48).drop("removed")
 
 
 @_query("op3_minhash_dedup")

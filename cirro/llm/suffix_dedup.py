@@ -199,14 +199,15 @@ def suffix_ranks(wanted: DataFrame, fetched: DataFrame, length: int) -> DataFram
 def dictionary(rows: DataFrame, core: str, body: str, at: list[str]) -> tuple[DataFrame, DataFrame]:
     """(every distinct (core, body) with its ``times`` and one place; those whose core has several bodies)."""
     entries = stage(rows.groupBy(core, body).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*at)).alias("at")), "dictionary")
-    several = entries.groupBy(core).agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select(core)
+    several = stage(entries.groupBy(core).agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select(core), "several")
     return entries, entries.join(several, core, "left_semi")
 
 
 def repeated_starts(docs: DataFrame, length: int, gap: int) -> DataFrame:
     """(ROW, lo, n): ranges of starts whose string occurs elsewhere too.  ``docs``: ROW, text."""
     parsed = stage(parse(docs, length, gap), "parse")
-    cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
+    # Staged, so that a hot core's phrases can be split in the join.
+    cores = stage(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core"), "cores")
     again = stage(parsed.join(cores, "core", "left_semi"), "again")
     drop(parsed)
     phrases_, edges = dictionary(again, "core", "body", [*ROW, "lo", "n", "trigger"])
@@ -224,7 +225,7 @@ def repeated_starts(docs: DataFrame, length: int, gap: int) -> DataFrame:
     parts = part.union(single).join(once, ["core", "body"], "left_semi").groupBy("core", "body").agg(
         F.collect_list(F.struct("from", "n")).alias("ranges"))
     marked = stage(whole.union(parts), "marked")
-    for t in (ranks, cut, fetched):
+    for t in (ranks, cut, fetched, cores):
         drop(t)
     return again.select(*ROW, "lo", "core", "body").join(marked, ["core", "body"]).select(*ROW, "lo", F.explode("ranges").alias("r")).select(
         *ROW, (F.col("lo") + F.col("r.from")).alias("lo"), "r.n")
@@ -239,13 +240,15 @@ def covered(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept: bool = True, words: int | None = None) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that starts anywhere else too.
 
     ``docs`` needs doc_id and text; texts are UTF-8 bytes, null is empty,
     strings never cross documents and are judged on the input.  Returns one
     row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
-    removed (array of start, end) and kept (binary).  Rows that repeat a
+    removed (array of start, end) and kept (binary); with ``words`` also
+    n_shared, how many strings of so many words another document holds too
+    (``passages``), which are not removed.  Rows that repeat a
     doc_id, or have none, are separate documents (a row is known by its id and the
     hash of its text; rows equal in both by their count); other columns are
     ignored; an empty table gives no rows.
@@ -256,8 +259,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept
     # Rows equal in id and text are known by the same key; both find each other and are given back.
     rows = named.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("text_hash", F.xxhash64("text"))
     repeats = repeated_starts(rows, length, gap)
-    by_row = repeats.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    joined = compressed(rows, ["doc_id", *ROW]).join(by_row, ROW, "left").select("doc_id", "spans", "z")
+    # Each span once, however many rows are equal in id and text.
+    by_row = stage(repeats.dropDuplicates([*ROW, "lo", "n"]).groupBy(*ROW).agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
+    joined = compressed(rows, ["doc_id", *ROW]).join(by_row, ROW, "left").select("doc_id", *ROW, "spans", "z")
+    if words:
+        from cirro.llm.passages import shared_strings
+        shared = stage(shared_strings(rows, words, words * 3 // 4), "shared")
+        joined = joined.withColumn("who", F.xxhash64(*ROW)).join(shared, "who", "left").select("doc_id", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), "spans", "z")
+    else:
+        joined = joined.select("doc_id", F.lit(0).cast("long").alias("n_shared"), "spans", "z")
 
     def run(batches):
         import zstandard
@@ -265,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept
         for batch in batches:
             out: list[list] = [[] for _ in names]
             size = 0
-            for doc_id, spans, z in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for doc_id, shared, spans, z in zip(*batch.columns):
                 data = unpack.decompress(z.as_buffer())
                 start = end = np.zeros(0, np.int64)
                 if spans.is_valid:
@@ -274,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept
                 kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)]))
                 removed = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
                 for c, x in zip(out, (doc_id.as_py(), len(data), len(data) - len(kept), len(start),
-                                      hashlib.sha256(kept).hexdigest(), removed, kept)):
+                                      hashlib.sha256(kept).hexdigest(), *([shared.as_py()] if words else []), removed, kept)):
                     c.append(x)
                 size += len(kept) * with_kept
                 if size > CHUNK_BYTES:
@@ -282,7 +292,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gap: int = 320, with_kept
                     out, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"][:7 if with_kept else 6]
-    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-                                  "removed array<struct<start:long,end:long>>" + ", kept binary" * with_kept)
+    fields = [("doc_id", "long", pa.int64()), ("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept_sha256", "string", pa.string()),
+              *([("n_shared", "long", pa.int64())] if words else []),
+              ("removed", "array<struct<start:long,end:long>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *([("kept", "binary", pa.binary())] if with_kept else [])]
+    names, types = [n for n, _, _ in fields], [t for _, _, t in fields]
+    return joined.mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind, _ in fields))
