@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cirro.functions.stats import finite_or
 
@@ -30,6 +31,24 @@ def sanitize_array(c, default=None) -> Column:
     return F.transform(_c(c), lambda x: finite_or(x, d))
 
 
+def _clean(c: Column, kind: T.DataType, default) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite_or(c, F.lit(default).cast(kind)) if default is not None else finite_or(c, F.lit(None).cast(kind))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_clean(c[f.name], f.dataType, default).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _clean(x, kind.elementType, default))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _clean(v, kind.valueType, default))
+    return c
+
+
+def sanitize_all(df: DataFrame, default=None) -> DataFrame:
+    """F4, recursively: NaN and +/-inf -> ``default`` (NULL when None) in every double or float of every column, inside
+    structs, arrays and map values of any depth."""
+    return df.select(*[_clean(F.col(f"`{f.name}`"), f.dataType, default).alias(f.name) for f in df.schema.fields])
+
+
 def interactions(t="temperature", h="humidity", p="pressure", w="wind_speed",
                  analytics: bool = False) -> list[tuple[str, Column]]:
     """F8: T*H/100 and P*H/1000 (features); T*P/100 and W*H/100 added for

@@ -8,6 +8,7 @@ from cirro.operators import aggregates as A
 from cirro.operators import windows as W
 from cirro.plans import views as V
 from cirro.plans.q_aggregates import GRID_COLS
+from cirro.plans.q_grades import GRADES_SQL
 from cirro.plans.registry import register, rounded
 from cirro.plans.series import POS
 from cirro.sources import sinks as SK
@@ -35,9 +36,13 @@ def q_stream(spark, sf_dir):
     return read_hourly_rollup(spark, sink)
 
 
-@register("append_forecasts")
+APPEND_SQL = f"""SELECT g.*, '6h' AS timeframe
+FROM (SELECT * FROM ({GRADES_SQL}) AS a QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, event_id DESC) = 1) AS g, (VALUES (1), (2)) AS twice(n)"""
+
+
+@register("append_forecasts", APPEND_SQL)
 def q_append_forecasts(spark, sf_dir):
-    """Latest graded forecast per series appended twice to one table."""
+    """Latest graded forecast per series appended twice to one table (its reasons are text that is not compared)."""
     from cirro.plans.q_grades import graded
     g = graded(spark, sf_dir)
     last = g.groupBy("series_id").agg(F.max(F.struct("ts", "event_id")).alias("_k"))
@@ -46,7 +51,7 @@ def q_append_forecasts(spark, sf_dir):
     path = SK.scratch_path(spark, "forecasts")
     SK.append_forecasts(rec, path)
     SK.append_forecasts(rec, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("reasons")
 
 
 _PANEL_N = W.PANEL_WINDOWS

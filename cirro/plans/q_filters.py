@@ -67,6 +67,50 @@ def q_sanitize(spark, sf_dir):
                     WF.sanitize("p_raw").alias("p_null"))
 
 
+_CLEAN = "CASE WHEN isnan({0}) OR isinf({0}) THEN NULL ELSE {0} END"
+NESTED_SQL = rounded(f"""SELECT series_id, ts, {_CLEAN.format('p_raw')} AS top, {_CLEAN.format('p_raw')} AS inner_value, {_CLEAN.format('p_raw + 1')} AS second,
+  {_CLEAN.format('p_raw')} AS by_name, {_CLEAN.format('p_raw - 1')} AS deep FROM {_SAN_IN} AS s""",
+    ["series_id", "ts"], ["top", "inner_value", "second", "by_name", "deep"])
+
+
+@register("sanitize_nested", NESTED_SQL)
+def q_sanitize_nested(spark, sf_dir):
+    """F4 in a struct, an array, a map and an array of structs."""
+    raw = (F.when(F.col("pressure") > 1250, F.lit(float("inf")))
+           .when(F.col("pressure") < 951, F.lit(float("nan")))
+           .when(F.col("pressure") < 952, F.lit(float("-inf"))).otherwise(F.col("pressure")))
+    w = wx(spark, sf_dir).select("series_id", "ts", raw.alias("p"))
+    nested = w.select("series_id", "ts", F.col("p").alias("top"), F.struct(F.col("p").alias("v"), F.lit("x").alias("note")).alias("s"),
+                      F.array(F.lit(0.0), F.col("p") + 1).alias("a"), F.create_map(F.lit("p"), F.col("p")).alias("m"),
+                      F.array(F.struct((F.col("p") - 1).alias("d"))).alias("n"))
+    c = WF.sanitize_all(nested)
+    return c.select("series_id", "ts", "top", F.col("s.v").alias("inner_value"), F.col("a")[1].alias("second"),
+                    F.col("m")["p"].alias("by_name"), F.col("n")[0]["d"].alias("deep"))
+
+
+# --- F5 / F6 -----------------------------------------------------------------------------
+NUMERIC_SQL = rounded(f"SELECT temperature, humidity, pressure, precipitation, wind_speed, cloud_cover, wind_direction FROM {W_SQL} AS w", [], V.WEATHER_COLS)
+
+
+@register("numeric_columns", NUMERIC_SQL)
+def q_numeric(spark, sf_dir):
+    """the numeric columns of the hourly table."""
+    w = wx(spark, sf_dir)
+    return w.select(*SE.numeric_columns(w))
+
+
+FEATURES_SQL = rounded(f"SELECT series_id, ts, temperature, humidity, pressure, wind_speed, cloud_cover, wind_direction, pressure / 2000 AS volatile_prob FROM {W_SQL} AS w",
+                       ["series_id", "ts"], ["temperature", "humidity", "pressure", "wind_speed", "cloud_cover", "wind_direction", "volatile_prob"])
+
+
+@register("feature_columns", FEATURES_SQL)
+def q_feature_columns(spark, sf_dir):
+    """without the target, precipitation and regime columns; volatile_prob stays."""
+    w = wx(spark, sf_dir).withColumn("label", (F.col("precipitation") > 0.1).cast("int")).withColumn("regime_0", F.lit(0.5)).withColumn(
+        "volatile_prob", F.col("pressure") / 2000)
+    return w.select("series_id", "ts", *SE.feature_columns(w, "label"))
+
+
 MODEL_COLS = ["pressure", "humidity", "dewpoint", "temperature"]
 ALIGN_SQL = rounded(f"SELECT series_id, ts, pressure, humidity, 0.0 AS dewpoint, temperature FROM {W_SQL} AS w",
                     ["series_id", "ts"], MODEL_COLS)

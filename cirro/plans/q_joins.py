@@ -52,6 +52,22 @@ def q_knn_hav(spark, sf_dir):
     return J.nearest_k(points(spark, sf_dir), st, k=5, metric="haversine")
 
 
+def _locations_sql():
+    from cirro.sources.readers import LOCATIONS
+    named = ", ".join(f"('{i}', '{n}', {a}::DOUBLE, {b}::DOUBLE)" for i, n, a, b in LOCATIONS)
+    return rounded(f"""SELECT * FROM (VALUES {named}) AS v(location_id, name, lat, lon)
+UNION ALL SELECT 'custom', CASE WHEN point_id % 3 = 0 THEN 'Customer ' || point_id ELSE printf('Custom (%.4f, %.4f)', lat::DOUBLE, lon::DOUBLE) END, lat, lon
+FROM {_POINTS_SQL} AS p""", ["location_id", "name"], ["lat", "lon"])
+
+
+@register("location_dim", _locations_sql())
+def q_locations(spark, sf_dir):
+    """The named locations and every customer's point, a third of them with names."""
+    from cirro.sources.readers import location_dim
+    p = points(spark, sf_dir)
+    return location_dim(spark, p.withColumn("name", F.when(F.col("point_id") % 3 == 0, F.concat(F.lit("Customer "), "point_id"))))
+
+
 def observations(spark, sf_dir):
     """Per supplier station: its latest report of each kind, rendered from
     all lineitem rows (25 units or more: 'observation', else 'metar'; a

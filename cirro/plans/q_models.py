@@ -99,6 +99,30 @@ def q_components(spark, sf_dir):
     return scores
 
 
+@register("pca_features")
+def q_pca_features(spark, sf_dir):
+    """M4: five components of the unscaled variables, fitted on the first 60 % of each series."""
+    from cirro.operators.splits import chronological_split
+    w = chronological_split(V.ev_weather(spark, sf_dir), V.HOURLY_SPEC).withColumn("is_train", F.col("split") == "train")
+    return ML.pca_features(w, V.WEATHER_COLS, 5, fit_mask="is_train").drop("split", "is_train")
+
+
+GUARD_SQL = rounded(f"SELECT series_id, ts, 0.0 AS rf, 0.0 AS xgb, 0.0 AS lr, 0.0 AS mlp FROM {V.EV_WEATHER_SQL} AS w", ["series_id", "ts"], ["rf", "xgb", "lr", "mlp"])
+
+
+@register("single_class_guard", GUARD_SQL)
+def q_single_class(spark, sf_dir):
+    """Learners that see rows without the event say 0 everywhere."""
+    from cirro.operators import programs as P
+    from cirro.operators.search import fit_many
+    cols = ["temperature", "humidity", "pressure"]
+    w = V.ev_weather(spark, sf_dir)
+    rows = w.filter(F.col("precipitation") <= 3).select(F.concat_ws("|", "series_id", "ts").alias("key"), F.lit(0).alias("label"), F.lit(P.TRAIN).alias("r"), *cols)
+    kinds = ["rf", "xgb", "lr", "mlp"]
+    models = fit_many(P.training_table(rows, cols, "label", "key", ["r"]), [(k, 0, {}) for k in kinds])
+    return P.predictions(w, cols, dict(zip(kinds, models))).select("series_id", "ts", *kinds)
+
+
 # --- A18 / T1 ----------------------------------------------------------------------------
 _MI_FEATS = ["x", "k", "x_lag_1", "x_lag_3", "x_mean_6", "x_std_6", "x_diff_1", "k_mean_6"]
 

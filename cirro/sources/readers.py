@@ -228,13 +228,18 @@ LOCATIONS = [
 ]
 
 
-def location_dim(spark: SparkSession, custom: Sequence[tuple] = ()) -> DataFrame:
-    """The named locations plus custom points (lat, lon[, name]); a custom
-    point without a name is called 'Custom (lat, lon)'.  A small
-    dimension: join it with ``broadcast``."""
-    rows = [(i, n, float(a), float(b)) for i, n, a, b in LOCATIONS]
-    for c in custom:
-        lat, lon = float(c[0]), float(c[1])
-        rows.append(("custom", c[2] if len(c) > 2 else None, lat, lon))
-    df = spark.createDataFrame(rows, "location_id string, name string, lat double, lon double")
-    return df.withColumn("name", F.coalesce("name", F.format_string("Custom (%.4f, %.4f)", "lat", "lon")))
+def named_points(points: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "name") -> DataFrame:
+    """Custom points as locations: ``location_id`` 'custom'; a point without a name is called 'Custom (lat, lon)'."""
+    given = F.col(name) if name in points.columns else F.lit(None).cast("string")
+    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
+    return points.select(F.lit("custom").alias("location_id"), F.coalesce(given, F.format_string("Custom (%.4f, %.4f)", la, lo)).alias("name"),
+                         la.alias("lat"), lo.alias("lon"))
+
+
+def location_dim(spark: SparkSession, custom: Sequence[tuple] | DataFrame = ()) -> DataFrame:
+    """The named locations plus custom points: (lat, lon[, name]) tuples, or a
+    table of any size with lat, lon and maybe name."""
+    named = spark.createDataFrame([(i, n, float(a), float(b)) for i, n, a, b in LOCATIONS], "location_id string, name string, lat double, lon double")
+    if not isinstance(custom, DataFrame):
+        custom = spark.createDataFrame([(float(c[0]), float(c[1]), c[2] if len(c) > 2 else None) for c in custom], "lat double, lon double, name string")
+    return named.unionByName(named_points(custom))
