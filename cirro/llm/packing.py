@@ -27,51 +27,67 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.llm.storage import stage
+from cirro.llm.textops import restart_points, text_chunks
 
+CHUNK = 2 << 20
+KEPT = 1 << 18
 PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[str, object] = {}
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary.
+    """The vocabulary's tokenizer, which sees each distinct unit of text (``restart_points``) once.
 
-    ``tokenizer_file`` defines the ids; ``ranks_file`` holds the same
-    vocabulary as merge ranks for the faster encoder.  Texts with the
-    special token's string go to the tokenizer itself, and each batch's
-    first text is encoded by both, which must agree.
+    Texts that hold the special token's string are encoded as they are.
     """
 
-    def __init__(self, tokenizer_file: str, ranks_file: str, pattern: str):
-        import base64
+    def __init__(self, tokenizer_file: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
         self.slow = Tokenizer.from_file(tokenizer_file)
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> list[int]:
-        if SPECIAL in text:
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        self.units, self.lists = self._encoded(pa.array([], pa.large_binary()))
+
+    def _encoded(self, units: pa.Array) -> tuple[pa.Array, pa.Array]:
+        ids = [e.ids for e in self.slow.encode_batch_fast(units.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+        return units, pa.array(ids, pa.large_list(pa.uint32()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin).  ``texts``: large strings without null, about a chunk."""
+        _, offsets, values = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(values, np.uint8)[offsets[0]:offsets[-1]] if values is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        begin = restart_points(data, offsets)
+        for r in np.flatnonzero(pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)).tolist():
+            begin[offsets[r] + 1:offsets[r + 1]] = False
+        begin = np.flatnonzero(begin)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        new = cut.dictionary.filter(pc.is_null(pc.index_in(cut.dictionary, value_set=self.units)))
+        if len(self.units) + len(new) > KEPT:
+            self.units, self.lists = self._encoded(cut.dictionary)
+        elif len(new):
+            self.units, self.lists = (pa.concat_arrays(x) for x in zip((self.units, self.lists), self._encoded(new)))
+        which = pc.index_in(cut.dictionary, value_set=self.units).to_numpy(zero_copy_only=False)[cut.indices.to_numpy()]
+        lists = self.lists.take(pa.array(which))
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        return lists.flatten().to_numpy(zero_copy_only=False), at[np.searchsorted(begin, offsets)].astype(np.int64)
 
     def check(self, text: str) -> None:
-        if self.slow.encode(text, add_special_tokens=False).ids != self.encode(text):
-            raise ValueError("the two encoders of the vocabulary disagree")
+        if self.slow.encode(text, add_special_tokens=False).ids != self.encode(pa.array([text], pa.large_string()))[0].tolist():
+            raise ValueError("a text's units have other ids than the text")
 
 
 def encoder(files: tuple[str, str, str]) -> ByteBpe:
-    key = repr(files)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ByteBpe(*files)
-    return _ENCODERS[key]
+    if files[0] not in _ENCODERS:
+        _ENCODERS[files[0]] = ByteBpe(files[0])
+    return _ENCODERS[files[0]]
 
 
 def cut_lengths(n: int, capacity: int, fill: bool) -> list[int]:
@@ -103,22 +119,22 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], end_id: int, capacity:
             if not batch.num_rows:
                 continue
             ids_of = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            if texts[0].as_py():
-                enc.check(texts[0].as_py()[:2000])
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
             out = ([], [], [], [], [])
-            for doc_id, text in zip(ids_of, texts):
-                ids = np.array(enc.encode(text.as_py() or "") + [end_id], dtype="<u4")
-                n, at = len(ids), 0
-                last = zlib.crc32(ids[n - n % capacity:].tobytes())
-                fill = zlib.crc32(str(doc_id).encode(), last) < threshold
-                for length in cut_lengths(n, capacity, fill):
-                    out[0].append(doc_id)
-                    out[1].append(at)
-                    out[2].append(length)
-                    out[3].append(zlib.crc32(ids[at:at + length].tobytes()))
-                    out[4].append(n)
-                    at += length
+            for first, last, _, _ in text_chunks(texts, CHUNK):
+                flat, starts = enc.encode(texts.slice(first, last - first))
+                for doc_id, a, b in zip(ids_of[first:last], starts.tolist(), starts[1:].tolist()):
+                    ids = np.append(flat[a:b], end_id).astype("<u4")
+                    n, at = len(ids), 0
+                    last_crc = zlib.crc32(ids[n - n % capacity:].tobytes())
+                    fill = zlib.crc32(str(doc_id).encode(), last_crc) < threshold
+                    for length in cut_lengths(n, capacity, fill):
+                        out[0].append(doc_id)
+                        out[1].append(at)
+                        out[2].append(length)
+                        out[3].append(zlib.crc32(ids[at:at + length].tobytes()))
+                        out[4].append(n)
+                        at += length
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

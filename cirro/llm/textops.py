@@ -175,3 +175,19 @@ def class_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = kind > 0
     start, end, kind = start[keep], end[keep], kind[keep]
     return start, end, np.searchsorted(offsets, start, side="right") - 1, kind
+
+
+def restart_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Flags (one more than bytes) of where units begin: texts, and blanks between two characters that are none.
+
+    A byte-level tokenizer starts anew there: no pre-token holds a blank after something
+    else.  (A character before the blank is taken if its bytes show that it is no white space.)
+    """
+    begin = np.zeros(len(data) + 1, dtype=bool)
+    if len(data) > 3:
+        one, two, here, after = data[1:-2], data[:-3], data[2:-1], data[3:]
+        solid = (one > 32) & (one < 127) | (one >= 128) & (two >= 0xC3) & (two <= 0xDF)
+        begin[2:-2] = (here == 32) & solid & (after != 32)
+        begin[np.maximum(offsets[1:] - 1, 0)] = False                # a blank at the end of a text
+    begin[offsets] = True
+    return begin

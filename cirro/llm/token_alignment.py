@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirro.llm.storage import stage
+from cirro.llm.textops import restart_points
 
 MARK = "▁"
 SLICE = 1 << 20
@@ -101,20 +102,8 @@ class Pair:
         return self.known_a, self.known_b, self.known_whole, pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where units begin: texts, and blanks between two characters that are none.
-
-        Both tokenizers start anew there: no token of the byte-level one holds white
-        space after something else, no piece a mark after something else.  (A
-        character before the blank is taken if its bytes show that it is no white space.)
-        """
-        begin = np.zeros(len(data) + 1, dtype=bool)
-        if self.sliceable and len(data) > 3:
-            one, two, here, after = data[1:-2], data[:-3], data[2:-1], data[3:]
-            solid = (one > 32) & (one < 127) | (one >= 128) & (two >= 0xC3) & (two <= 0xDF)
-            begin[2:-2] = (here == 32) & solid & (after != 32)
-            begin[np.maximum(offsets[1:] - 1, 0)] = False                # a blank at the end of a text
-        begin[offsets] = True
-        return np.flatnonzero(begin)
+        """Where units begin (``restart_points``): the piece tokenizer starts anew there, too, if no piece holds a mark after something else."""
+        return np.flatnonzero(restart_points(data, offsets)) if self.sliceable else offsets
 
     def slices(self, text: str) -> list[str]:
         """The text in parts of about ``SLICE`` characters that can be encoded one by one (the blank before a part is left out)."""
