@@ -196,7 +196,8 @@ def feature_matrix(rows: list) -> np.ndarray:
 def fit(features: DataFrame, labels: DataFrame, usable, max_rows: int = 20000) -> Network:
     """Train on the labelled rows that ``usable`` (a condition on doc_id) allows."""
     sample = F.broadcast(training_rows(labels, "quality", usable, max_rows))            # max_rows rows
-    rows = features.join(sample, "doc_id").select("features", "label").limit(2 * max_rows).collect()
+    # One row per doc_id, of rows that repeat one the least features: max_rows rows.
+    rows = features.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("features", "label").collect()
     if not rows:
         raise ValueError("no labelled document to train on")
     rows.sort(key=lambda r: (bytes(r[0]), r[1]))                                        # the same fit whatever the order
