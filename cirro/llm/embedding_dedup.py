@@ -40,6 +40,23 @@ def directions(dim: int, tables: int, spread: int, projections: int, seed: int)
     return rng.standard_normal((tables, 2, spread, dim)), rng.standard_normal((projections, dim))
 
 
+def shared_extreme(least: float, spread: int, trials: int = 20000) -> float:
+    """Probability that two vectors of cosine ``least`` lie furthest out on the same of ``spread`` random directions, with the same sign."""
+    rng = np.random.default_rng(spread)
+    a = rng.standard_normal((trials, spread))
+    b = least * a + math.sqrt(1 - least * least) * rng.standard_normal((trials, spread))
+    i, j = np.abs(a).argmax(axis=1), np.abs(b).argmax(axis=1)
+    rows = np.arange(trials)
+    return float(((i == j) & (np.sign(a[rows, i]) == np.sign(b[rows, j]))).mean())
+
+
+def cell_plan(n: int, least: float, per_cell: int, miss_cells: float) -> tuple[int, int]:
+    """(spread, tables) for n vectors: (2 spread)^2 cells a table, 1,024 at least; tables enough for the miss, 16 at least."""
+    spread = max(16, math.ceil(math.sqrt(n / per_cell) / 2))
+    p = min(0.999, max(1e-6, shared_extreme(least, spread, 20000 if spread <= 256 else 4000) ** 2))
+    return spread, max(16, math.ceil(math.log(miss_cells) / math.log(1 - p)))
+
+
 def calibrated(least: float, projections: int, half_width: float, miss: float) -> int:
     """Largest count that a pair of cosine ``least`` reaches with a probability of 1 - miss at least."""
     p = math.erf(half_width / math.sqrt(2 * (2 - 2 * least)) )
@@ -87,8 +104,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = 16, spread: int = 16, projections: int = 32,
-                 half_width: float = 0.55, miss: float = 1e-4, block: int = 1024, seed: int = 3) -> DataFrame:
+def vector_links(vectors: DataFrame, least: float = 0.9, tables: int | None = None, spread: int | None = None, projections: int = 32,
+                 half_width: float = 0.55, miss: float = 1e-4, block: int = 1024, seed: int = 3, per_cell: int = 64, miss_cells: float = 1e-3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     ``vectors`` needs vec_id and embedding (array of float or double).
@@ -105,6 +122,9 @@ def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = 16, sprea
     usable = rows.where(F.coalesce(good, F.lit(False)))
     nodes = stage(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "vectors")
 
+    plan = cell_plan(nodes.count(), least, per_cell, miss_cells)
+    spread, tables = spread or plan[0], tables or plan[1]
+
     def keyed(batches):
         for batch in batches:
             emb = batch.column(2)
@@ -181,6 +201,7 @@ def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = 16, sprea
     info = nodes.join(totals, "rep", "left").join(classes, "rep", "left").select(
         "embedding", F.coalesce("component_id", "rep").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    linked = usable.join(info, "embedding").select("vec_id", "n_links", "component_id")
+    # Staged, so that the join can split the rows of a vector that many rows share.
+    linked = usable.join(stage(info, "classes"), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
