@@ -15,7 +15,7 @@ Of findings that overlap in a text the one with the most matched words stays.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect, bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -205,8 +205,12 @@ class Templates:
                     self._named(h[a:b].tolist(), template, self.key[t], need, wide))]
         found.sort(key=lambda f: (f[0], -f[4], -f[4] / len(self.words[f[1]]), f[2], f[1]))
         kept: list[tuple] = []
+        taken: dict[int, list[tuple[int, int]]] = {}                          # of each row, in order; none over another
         for f in found:
-            if all(f[0] != k[0] or f[3] <= k[2] or k[3] <= f[2] for k in kept[::-1] if k[0] == f[0]):
+            own = taken.setdefault(f[0], [])
+            i = bisect(own, (f[2], f[3]))
+            if (i == 0 or own[i - 1][1] <= f[2]) and (i == len(own) or f[3] <= own[i][0]):
+                own.insert(i, (f[2], f[3]))
                 kept.append(f)
         return [(r, t, int(start[a] - offsets[r]), int(end[b - 1] - offsets[r]), m, m / len(self.words[t])) for r, t, a, b, m in sorted(kept)]
 
@@ -251,7 +255,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     ``docs`` needs doc_id and text; whole texts are scanned.  Null and empty
     texts have no findings; a null doc_id stays null; rows that repeat a
     doc_id are scanned one by one; other columns are ignored; an empty table
-    gives no rows.  ``slack``: a finding may spread over that many times the
+    gives no rows.  Of findings that overlap the one with more matched words
+    stays, of equal ones that of the larger share, then the earlier.  Very long
+    texts are searched whole, each as a chunk of its own.  ``slack``: a finding may spread over that many times the
     template's words.
     """
     book = Templates(templates or TEMPLATES)
