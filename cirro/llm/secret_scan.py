@@ -58,6 +58,30 @@ BIN = 50                                                    # histogram bins per
 MOST = 700                                                  # largest -ln p
 
 
+GROUP = 128
+PART = 4096                                                 # code points of a text that are put together at once
+
+
+def grouped(rows, total, add, start, body):
+    """flatten of ``body(group, state before it)`` over groups of ``GROUP`` rows; the state after a group is
+    ``add(state, total(group))``.  So running quantities of n rows cost n x GROUP steps, not n x n."""
+    def inside(groups):
+        def states(totals):
+            first = F.struct(start.alias("now"), F.array(start).alias("all"))
+            return F.aggregate(totals, first, lambda acc, t: _let(add(acc["now"], t), lambda now: F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))))["all"]
+        return F.flatten(_let(states(F.transform(groups, total)), lambda all_: F.transform(groups, lambda g, i: body(g, F.get(all_, i)))))
+
+    def cut(rows):
+        last = F.floor((F.size(rows) - 1) / GROUP).cast("int")
+        return F.when(F.size(rows) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * GROUP + 1, GROUP))).otherwise(F.array(rows))
+    return _let(rows, lambda r: _let(cut(r), inside))
+
+
+def _let(value, body):
+    """``body`` of a value that is worked out once (a lambda's variable)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def found(text, pattern: str, least_group: int | None = None):
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points.
 
@@ -74,19 +98,15 @@ def found(text, pattern: str, least_group: int | None = None):
         span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    rows = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), value.alias("value")),
-                       lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["value"].alias("value")))
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), value.alias("value"))
+    length = lambda group: F.aggregate(group, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["hit"]))
+    spans = grouped(rows, length, lambda at, n: at + n, F.lit(0),
+                    lambda group, at: F.aggregate(group, F.struct(at.alias("at"), none.alias("spans")), step)["spans"])
     if least_group:
         spans = F.filter(spans, lambda x: F.length(x["value"]) >= least_group)
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def _let(value, body):
-    """``body`` of a value that is worked out once (a lambda's variable)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _two_sided(z):
     """2 * (1 - Phi(|z|)); rational approximation of erfc, absolute error under 2e-7."""
     def tail(v):
@@ -182,7 +202,7 @@ def scan(docs: DataFrame, fdr: float = 0.05, keep: list[str] | None = None) -> D
     kind.  ``kind`` counts in KINDS, positions are code points, ends
     exclusive.  ``docs`` needs doc_id and text.  Null and empty texts have
     no spans; null doc_ids stay null; rows that repeat a doc_id are scanned
-    one by one; an empty table gives no rows.
+    one by one; very long texts are scanned whole; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cand = F.transform(F.filter(found(text, CANDIDATE), lambda x: x["value"].rlike("[0-9]")), lambda x: F.struct(
@@ -224,14 +244,30 @@ def redact(docs: DataFrame, fdr: float = 0.05, mark: str = "[SECRET]") -> DataFr
     """
     out = scan(docs, fdr, docs.columns)
     text = F.col("row.text")
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,fresh:boolean>>)")
 
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(acc["text"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["text"]).alias("text"))
+    # What each span covers that none before it does; spans that overlap the one before have no mark of their own.
+    def rest(acc, x):
+        span = F.struct(F.greatest(x["start"], acc["at"]).alias("start"), x["end"].alias("end"), (x["start"] >= acc["at"]).alias("fresh"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["end"] > acc["at"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    furthest = lambda group: F.aggregate(group, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    gone = grouped(F.col("found"), furthest, lambda at, end: F.greatest(at, end), F.lit(0),
+                   lambda group, at: F.aggregate(group, F.struct(at.alias("at"), none.alias("spans")), rest)["spans"])
+
+    def part(chunk, number, spans):
+        """One part of the text without what the spans cover; a mark stands where its span begins."""
+        low = number * PART
+        own = F.filter(spans, lambda g: (g["start"] < low + PART) & (g["end"] > low))
+
+        def cut(acc, g):
+            head = F.substr(chunk, acc["at"] - low + 1, F.greatest(g["start"] - acc["at"], F.lit(0)))
+            return F.struct(F.least(g["end"], low + PART).alias("at"), F.concat(acc["text"], head, F.when(g["fresh"] & (g["start"] >= low), F.lit(mark)).otherwise("")).alias("text"))
+
+        return F.aggregate(own, F.struct(low.alias("at"), F.lit("").alias("text")), cut, lambda acc: F.concat(acc["text"], F.substr(chunk, acc["at"] - low + 1)))
 
-    merged = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step,
-                         lambda acc: F.concat(acc["text"], F.substr(text, acc["at"] + 1)))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    merged = _let(gone, lambda spans: F.array_join(F.transform(chunks, lambda chunk, i: part(chunk, i, spans)), ""))
     new = F.when(F.size("found") > 0, merged).otherwise(text)
     length = F.when(F.size("found") > 0, F.length(merged)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
     kinds = dict(docs.dtypes)
