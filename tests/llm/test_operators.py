@@ -379,7 +379,7 @@ def test_classifiers_held_out(spark, odd, empty, scores, label):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_vocabularies_hold_the_same_ids():
