@@ -31,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
 from cirro.llm.textops import restart_points, text_chunks
 
-CHUNK = 2 << 20
-KEPT = 1 << 18
+CHUNK = 4 << 20
+KEPT = 1 << 20
 PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[str, object] = {}
@@ -48,15 +49,9 @@ class ByteBpe:
     """
 
     def __init__(self, tokenizer_file: str):
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.slow = Tokenizer.from_file(tokenizer_file)
-        self.units, self.lists = self._encoded(pa.array([], pa.large_binary()))
-
-    def _encoded(self, units: pa.Array) -> tuple[pa.Array, pa.Array]:
-        ids = [e.ids for e in self.slow.encode_batch_fast(units.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
-        return units, pa.array(ids, pa.large_list(pa.uint32()))
+        self.tokenizer = UnitTokenizer(tokenizer_file, special_as_text=False)
+        self.slow = self.tokenizer.whole
+        self.known = Known(lambda units: (units, self.tokenizer.lists(units)), KEPT)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin).  ``texts``: large strings without null, about a chunk."""
@@ -69,13 +64,8 @@ class ByteBpe:
             begin[offsets[r] + 1:offsets[r + 1]] = False
         begin = np.flatnonzero(begin)
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        new = cut.dictionary.filter(pc.is_null(pc.index_in(cut.dictionary, value_set=self.units)))
-        if len(self.units) + len(new) > KEPT:
-            self.units, self.lists = self._encoded(cut.dictionary)
-        elif len(new):
-            self.units, self.lists = (pa.concat_arrays(x) for x in zip((self.units, self.lists), self._encoded(new)))
-        which = pc.index_in(cut.dictionary, value_set=self.units).to_numpy(zero_copy_only=False)[cut.indices.to_numpy()]
-        lists = self.lists.take(pa.array(which))
+        (ids,), where = self.known.find(cut.dictionary)
+        lists = ids.take(pa.array(where[cut.indices.to_numpy()]))
         at = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
         return lists.flatten().to_numpy(zero_copy_only=False), at[np.searchsorted(begin, offsets)].astype(np.int64)
 

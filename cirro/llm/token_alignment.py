@@ -26,8 +26,6 @@ in slices, cut at blanks between two letters.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -38,69 +36,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
 from cirro.llm.textops import restart_points
 
 MARK = "▁"
 SLICE = 1 << 20
-KEPT = 1 << 18
+KEPT = 1 << 19
 SEPARATORS = (",", "|", ";", "")
 _LOADED: dict[tuple[str, str], "Pair"] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones
-    for themselves, the others by the letters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Pair:
     """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, a_file: str, b_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"                    # one core a task
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
+        self.a = UnitTokenizer(a_file, special_as_text=True)
+        self.a_bytes = self.a.bytes
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        letters = byte_letters()
-        entries: dict[int, bytes] = {}
-        with open(a_file, encoding="utf-8") as f:
-            file = json.load(f)
-        for token, i in file["model"]["vocab"].items():
-            entries[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        for added in file.get("added_tokens", []):
-            entries.setdefault(added["id"], added["content"].encode())
-        self.a_bytes = pa.array([entries.get(i, b"") for i in range(max(entries) + 1)], pa.large_binary())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = pa.array([bytes([int(m[1], 16)]) if (m := re.fullmatch("<0x([0-9A-F]{2})>", p)) else p.replace(MARK, " ").encode() for p in pieces], pa.large_binary())
         self.n_b = len(pieces)
         self.sliceable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.known, self.known_a, self.known_b, self.known_whole = self._encoded(pa.array([], pa.large_binary()))
+        self.known = Known(self._encoded, KEPT)
         most = max(len(self.a_bytes), self.n_b)
         self.most, self.decimal = most, pa.array([f"{i}{s}" for s in SEPARATORS for i in range(most)], pa.large_binary())
 
     def _encoded(self, units: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
         """The units (which start with a blank), their token ids, and whether both give the unit's bytes."""
         texts = units.cast(pa.large_string()).to_pylist()
-        a = pa.array([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], pa.large_list(pa.int32()))
+        a = self.a.lists(units).cast(pa.large_list(pa.int32()))
         b = pa.array(self.b.encode([u[1:] for u in texts], num_threads=1), pa.large_list(pa.int32()))
         same = [pc.equal(_joined(pc.list_flatten(x), _starts(x), v)[0], units) for x, v in ((a, self.a_bytes), (b, self.b_bytes))]
         return units, a, b, pc.and_(*same)
 
-    def encode(self, units: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
-        """A and B ids and wholeness of the units seen so far (``KEPT`` or those of one chunk at most), and where ``units`` are there."""
-        new = units.filter(pc.is_null(pc.index_in(units, value_set=self.known)))
-        if len(self.known) + len(new) > KEPT:
-            self.known, self.known_a, self.known_b, self.known_whole = self._encoded(units)
-        elif len(new):
-            both = zip((self.known, self.known_a, self.known_b, self.known_whole), self._encoded(new))
-            self.known, self.known_a, self.known_b, self.known_whole = (pa.concat_arrays(x) for x in both)
-        return self.known_a, self.known_b, self.known_whole, pc.index_in(units, value_set=self.known).to_numpy(zero_copy_only=False)
-
     def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where units begin (``restart_points``): the piece tokenizer starts anew there, too, if no piece holds a mark after something else."""
         return np.flatnonzero(restart_points(data, offsets)) if self.sliceable else offsets
@@ -150,7 +120,7 @@ class Alignment:
         offsets, data = np.frombuffer(offsets, np.int64)[:rows + 1], np.frombuffer(values, np.uint8)
         begin = pair.units(data, offsets)
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), values]).dictionary_encode()
-        a, b, whole, known = pair.encode(cut.dictionary)
+        (a, b, whole), known = pair.known.find(cut.dictionary)
         which = known[cut.indices.to_numpy()]
         first = np.searchsorted(begin, offsets)                          # of each row's units
         whole = whole.to_numpy(zero_copy_only=False)[which]

@@ -104,3 +104,26 @@ def test_very_long_text(spark):
     a = {r["doc_id"]: r for r in got}
     assert a[2]["n_a"] == 0 and a[2]["groups_sha256"] == ""
     assert a[1]["n_a"] + a[1]["n_b"] - a[1]["n_groups"] == a[1]["n_links"] > 90_000
+
+
+def test_units_together_and_alone():
+    """Units encoded as long texts have the ids they have alone; what is known is kept up to a bound."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cirro.llm import byte_bpe
+    rng = random.Random(3)
+    pool = [" word", " é", " xé", " don't", " 12", " a ", " a\n", "  two", " ", "first", " <|endoftext|>", " a<|endoftext|>b", " …", " 漢", " ß.", " Straße,", "", " x" * 1]
+    units = [rng.choice(pool) + "".join(rng.choice("abcé1. ") for _ in range(rng.randint(0, 4))) for _ in range(3000)]
+    arr = pa.array([u.encode() for u in units], pa.large_binary())
+    for as_text in (False, True):
+        t = byte_bpe.UnitTokenizer(FILES[0], as_text)
+        want = [t.whole.encode(u, add_special_tokens=False).ids for u in units]
+        assert t.lists(arr).to_pylist() == want
+        known = byte_bpe.Known(lambda u: (u, t.lists(u)), 500)
+        for a in range(0, 3000, 300):
+            part = pa.array(sorted({u.encode() for u in units[a:a + 300]}), pa.large_binary())
+            (lists,), at = known.find(part)
+            assert lists.take(pa.array(at)).to_pylist() == [t.whole.encode(u.decode(), add_special_tokens=False).ids for u in part.to_pylist()]
+            assert len(known.units) <= 500
+    assert np.array(want, dtype=object).shape == (3000,)
