@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
-from cirro.llm.textops import restart_points, text_chunks
+from cirro.llm.textops import restart_points, row_ranges
 
 CHUNK = 4 << 20
 KEPT = 1 << 20
@@ -109,10 +109,10 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], end_id: int, capacity:
             if not batch.num_rows:
                 continue
             ids_of = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            texts = batch.column(1)
             out = ([], [], [], [], [])
-            for first, last, _, _ in text_chunks(texts, CHUNK):
-                flat, starts = enc.encode(texts.slice(first, last - first))
+            for first, last in row_ranges(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), CHUNK):
+                flat, starts = enc.encode(texts.slice(first, last - first).cast(pa.large_string()).fill_null(""))
                 for doc_id, a, b in zip(ids_of[first:last], starts.tolist(), starts[1:].tolist()):
                     ids = np.append(flat[a:b], end_id).astype("<u4")
                     n, at = len(ids), 0
@@ -127,6 +127,7 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], end_id: int, capacity:
                         at += length
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_FIELDS)
 

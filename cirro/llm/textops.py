@@ -191,3 +191,15 @@ def restart_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begin[np.maximum(offsets[1:] - 1, 0)] = False                # a blank at the end of a text
     begin[offsets] = True
     return begin
+
+
+def row_ranges(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes; a longer row is alone."""
+    at = 0
+    while at < len(sizes):
+        end, total = at + 1, sizes[at]
+        while end < len(sizes) and total + sizes[end] <= limit:
+            total += sizes[end]
+            end += 1
+        yield at, end
+        at = end

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
-from cirro.llm.textops import restart_points
+from cirro.llm.textops import restart_points, row_ranges
 
 MARK = "▁"
 SLICE = 1 << 20
@@ -212,18 +212,6 @@ def _chunk(ids: pa.Array, sums: list[np.ndarray], digests: list[str], links: pa.
          _lists(links, rows, "times"), *(pa.array(x, pa.list_(pa.int64())) for x in first)], schema=ALIGNED)
 
 
-def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes; a longer row is alone."""
-    at = 0
-    while at < len(sizes):
-        end, total = at + 1, sizes[at]
-        while end < len(sizes) and total + sizes[end] <= limit:
-            total += sizes[end]
-            end += 1
-        yield at, end
-        at = end
-
-
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -239,9 +227,9 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int
     def run(batches):
         pair, part, serial = tokenizers(a_file, b_file), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).fill_null("")
-            for start, end in _pieces(pc.binary_length(texts).to_numpy(zero_copy_only=False), chunk_bytes):
-                own = texts.slice(start, end - start)
+            texts = batch.column(1)
+            for start, end in row_ranges(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), chunk_bytes):
+                own = texts.slice(start, end - start).cast(pa.large_string()).fill_null("")
                 slices = pair.slices(own[0].as_py()) if len(own) == 1 else []
                 if len(slices) > 1 and all(Alignment(pair, one(s)).whole[0] for s in slices):
                     numbers, digest, links = _merged(Alignment(pair, one(s)) for s in slices)
@@ -252,6 +240,7 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int
                     digests = [hashlib.sha256(s).hexdigest() if ok else "" for s, ok in zip(found.strings, found.whole)]
                 yield _chunk(batch.column(0).slice(start, end - start), sums, digests, links, part << 32 | serial)
                 serial += 1
+        pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     aligned = stage(texts.mapInArrow(run, ALIGNED_DDL), "aligned")
