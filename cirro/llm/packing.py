@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
-from cirro.llm.textops import restart_points, row_ranges
+from cirro.llm.textops import give_back, restart_points, row_ranges
 
 CHUNK = 4 << 20
 KEPT = 1 << 20
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], end_id: int, capacity:
                         at += length
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_FIELDS)
 

@@ -8,6 +8,7 @@ Python loop per row or word.  A chunk holds whole rows and about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,25 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self._down[start])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, and its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        lib = ctypes.CDLL(None)
+        lib.malloc_trim
+        return lib
+    except (OSError, AttributeError):                      # no glibc: nothing to trim
+        return None
+
+
+_LIBC = _libc()
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, row offsets in them); null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +102,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         end = min(max(end, row + 1), n)
         yield row, end, data[off[row]:off[end]], off[row:end + 1] - off[row]
         row = end
+    give_back()
 
 
 def _word_bytes() -> np.ndarray:

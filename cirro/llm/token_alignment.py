@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cirro.llm.byte_bpe import Known, UnitTokenizer
 from cirro.llm.storage import stage
-from cirro.llm.textops import restart_points, row_ranges
+from cirro.llm.textops import give_back, restart_points, row_ranges
 
 MARK = "▁"
 SLICE = 1 << 20
@@ -240,7 +240,7 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int
                     digests = [hashlib.sha256(s).hexdigest() if ok else "" for s, ok in zip(found.strings, found.whole)]
                 yield _chunk(batch.column(0).slice(start, end - start), sums, digests, links, part << 32 | serial)
                 serial += 1
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     aligned = stage(texts.mapInArrow(run, ALIGNED_DDL), "aligned")
