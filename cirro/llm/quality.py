@@ -2,41 +2,45 @@
 
 1. Every word (run of letters and digits, or of symbols, case kept) and
    every word *shape* (symbols or letters, capitals, length) has a sparse
-   random index vector.  The vector of a word is the sum of the index
-   vectors of its neighbours (two to each side) over *all* documents; words
-   share ``buckets`` by hash, so the table has a fixed size.  Partial tables
-   are summed in a tree, and only the sum reaches the driver.
-2. A document pools its words' vectors: means and mean squares, the mean of
+   random index vector, a rule on its hash.  The vector of a word is the sum
+   of the index vectors of its neighbours (two to each side) over *all*
+   documents.  Each word has a row of its own in one Spark table, which
+   grows with the vocabulary: tasks add up their words, a grouped sum merges them.
+   Vectors are normalised, rid of the common direction and rounded to 8 bits.
+2. A chunk of texts is staged as positions in the list of its distinct words,
+   asks for these words' vectors by a join (one row per word and chunk) and
+   meets them by a cogroup on its id.  No task, nor the driver, holds the whole table.
+3. A document pools its words' vectors: means and mean squares, the mean of
    its shapes' vectors, and how alike neighbouring words are (which tells
-   repetition).  One row of ``features`` numbers per document is staged.
-3. A two-layer network is trained on at most ``max_rows`` labelled rows
+   repetition).  One row of ``FEATURES`` numbers per document is staged.
+4. A two-layer network is trained on at most ``max_rows`` labelled rows
    (those with the smallest hash of doc_id), and a temperature that
    calibrates its probabilities is fitted on a fifth of them that training
    does not see.
-4. Every document is scored from its staged row.
+5. Every document is scored from its staged row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirro.llm.storage import stage
-from cirro.llm.textops import Rolling, class_runs, text_chunks
+from cirro.llm.storage import drop, stage
+from cirro.llm.textops import Rolling, class_runs, mix, text_chunks
 
-BUCKETS = 1 << 14
-SHAPES = 64                                                 # the last buckets
+SHAPES = 64                                                 # keys below are shapes, all others words
 DIM = 32
 NONZERO = 2
 FEATURES = 3 * DIM + 5
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(17)
-    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
-
+CHUNK = 2 << 20                                             # bytes of text
+SLICE = 1 << 18                                             # words whose sums are held at once
+UNIT = float(1 << 30)
+SUMS = [f"s{i}" for i in range(DIM)]
 
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
@@ -44,95 +48,169 @@ _LOWER = np.zeros(256, dtype=np.int64)
 _LOWER[97:123] = 1
 
 
-def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word bucket, shape bucket, row) of each word, in text order."""
+def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, sign), each (keys, NONZERO): the entries of the keys' index vectors."""
+    h = mix(keys + np.uint64(17))
+    place = np.stack([h >> np.uint64(8 * k) & np.uint64(DIM - 1) for k in range(NONZERO)], axis=1)
+    sign = np.stack([h >> np.uint64(60 + k) & np.uint64(1) for k in range(NONZERO)], axis=1)
+    return place.astype(np.int64), 1.0 - 2.0 * sign
+
+
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, shape, row) of each word, in text order."""
     start, end, row, kind = class_runs(data, offsets)
     if not len(start):
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z
-    word = (Rolling(data).of(start, end) % np.uint64(BUCKETS - SHAPES)).astype(np.int64)
+        return z.astype(np.uint64), z, z
+    key = Rolling(data).of(start, end)
+    key[key < SHAPES] += np.uint64(SHAPES)
     upper, lower = (np.concatenate(([0], np.cumsum(t[data]))) for t in (_UPPER, _LOWER))
     up, low = upper[end] - upper[start], lower[end] - lower[start]
     case = (up > 0) + 2 * (low > 0)                          # none, capitals, small, both
     length = np.minimum(7, np.log2(end - start).astype(np.int64) + (end - start > 1))
-    return word, BUCKETS - SHAPES + (kind - 1) * 32 + case * 8 + length, row
+    return key, (kind - 1) * 32 + case * 8 + length, row
+
+
+def slice_sums(word: np.ndarray, shape: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, (keys, DIM) sums) of the words and shapes of one chunk, a slice of words at a time."""
+    for a in range(0, len(word), SLICE):
+        here = slice(a, a + SLICE + 2)                       # pairs that begin in the slice
+        found, at = np.unique(word[here], return_inverse=True)
+        keys = np.concatenate((np.arange(SHAPES, dtype=np.uint64), found))
+        place, sign = index_vectors(keys)
+        rows, out = row[here], np.zeros(len(keys) * DIM)
+        for gap in (1, 2):
+            same = np.flatnonzero(rows[:-gap] == rows[gap:])
+            same = same[same < SLICE]
+            for own in (at + SHAPES, shape[here]):
+                one, two = own[same], own[same + gap]
+                for x, y in ((one, two), (two, one)):
+                    for k in range(NONZERO):
+                        out += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=len(out))
+        out = out.reshape(-1, DIM)
+        used = out.any(axis=1)
+        yield keys[used], out[used]
+
+
+def context_sums(rows: DataFrame) -> DataFrame:
+    """word (its key) and s0, s1, ...: summed index vectors of its neighbours over all texts."""
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
+                for keys, sums in slice_sums(*word_keys(data, offsets)):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums.T)], names=["word", *SUMS])
 
+    parts = rows.select("text").mapInArrow(run, "word long, " + ", ".join(f"{c} long" for c in SUMS))
+    return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def _units(batch: pa.RecordBatch) -> np.ndarray:
+    """The sums of a batch as unit vectors; zero where they cancel."""
+    sums = np.stack([batch.column(1 + i).to_numpy() for i in range(DIM)], axis=1).astype(np.float64)
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
+
+
+def word_vectors(sums: DataFrame) -> DataFrame:
+    """word and v (DIM signed bytes): unit vectors without the common direction."""
+    def total(batches):
+        out = np.zeros(1 + DIM, dtype=np.int64)
+        for batch in batches:
+            v = _units(batch)
+            out[0] += np.count_nonzero(v.any(axis=1))
+            out[1:] += np.rint(v * UNIT).astype(np.int64).sum(axis=0)                  # whole numbers: the same in any order
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["n", *SUMS])
+
+    parts = sums.mapInArrow(total, "n long, " + ", ".join(f"{c} long" for c in SUMS))
+    row = parts.agg(*(F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).alias(c) for c in ("n", *SUMS))).first()
+    common = np.array([float(x) for x in row[1:]]) / UNIT / max(float(row[0]), 1.0)
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS, DIM): summed index vectors of the neighbours, over all documents."""
     def run(batches):
-        place, sign = index_vectors()
-        out = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                word, shape, row = word_ids(data, offsets)
-                for gap in (1, 2):
-                    for own in (word, shape):
-                        a, b = own[:-gap], own[gap:]
-                        same = row[:-gap] == row[gap:]
-                        for x, y in ((a[same], b[same]), (b[same], a[same])):
-                            for k in range(NONZERO):
-                                out += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=BUCKETS * DIM)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
-
-    parts = docs.select("text").mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    if parts.isEmpty():
-        return np.zeros((BUCKETS, DIM))
-    return parts.treeReduce(np.add, depth=3).reshape(BUCKETS, DIM)
-
-
-def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Unit vectors without the common direction; words never seen are zero."""
-    size = np.linalg.norm(sums, axis=1, keepdims=True)
-    v = np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
-    v[size[:, 0] > 0] -= v[size[:, 0] > 0].mean(axis=0) if (size > 0).any() else 0
-    size = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, size, out=np.zeros_like(v), where=size > 1e-12).astype(np.float32)
-
-
-def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, FEATURES) of one chunk; rows without words are zero."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, FEATURES), dtype=np.float32)
-    word, shape, row = word_ids(data, offsets)
-    if not len(word):
-        return out
-    full = np.unique(row)
-    begin = np.searchsorted(row, full)
-    n = np.diff(np.append(begin, len(row))).astype(np.float32)
+            v = _units(batch)
+            v[v.any(axis=1)] -= common
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            raw = np.rint(127 * np.divide(v, size, out=np.zeros_like(v), where=size > 1e-12)).astype(np.int8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[i:i + DIM] for i in range(0, len(raw), DIM)], pa.binary())], names=["word", "v"])
+
+    return sums.mapInArrow(run, "word long, v binary")
+
+
+def word_chunks(rows: DataFrame) -> DataFrame:
+    """One row per chunk of the rows (doc_id, t, text): its id, the rows' doc_id and t, where their words end,
+    the distinct keys (shapes, then words, ascending without sign), per word the place among the distinct words, and the shape."""
+    def run(batches):
+        first, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
+                word, shape, row = word_keys(data, offsets)
+                found, at = np.unique(word, return_inverse=True)
+                keys = np.concatenate((np.unique(shape).astype(np.uint64), found)).view(np.int64)
+                ends = np.searchsorted(row, np.arange(b - a), side="right").astype(np.int64)
+                small = at.astype(np.uint16 if len(found) <= 1 << 16 else np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first + n]), *(pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)),
+                     pa.array([keys], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, small, shape.astype(np.uint8)))],
+                    names=["chunk", "doc_id", "t", "keys", "ends", "words", "shapes"])
+                n += 1
+
+    return rows.mapInArrow(run, "chunk long, doc_id array<long>, t array<long>, keys array<long>, ends binary, words binary, shapes binary")
+
+
+def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, shape: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(rows, FEATURES) of one chunk; rows without words are zero.  ``word``, ``shape``: places in the two tables."""
+    begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    out = np.zeros((len(ends), FEATURES), dtype=np.float32)
+    full = np.flatnonzero(ends > begin)
     for a in range(0, len(full), 256):                       # bounds the gathered vectors
-        f, lo = full[a:a + 256], begin[a]
-        hi = begin[a + 256] if a + 256 < len(full) else len(row)
-        w, at, size = vectors[word[lo:hi]], begin[a:a + 256] - lo, n[a:a + 256, None]
+        f = full[a:a + 256]
+        lo, hi = begin[f[0]], ends[f[-1]]
+        at, n = begin[f] - lo, (ends - begin)[f]
+        size, row = n[:, None].astype(np.float32), np.repeat(np.arange(len(f)), n)
+        w = vectors[word[lo:hi]]
         out[f, :DIM] = np.add.reduceat(w, at) / size
         out[f, DIM:2 * DIM] = np.add.reduceat(w * w, at) / size
-        out[f, 2 * DIM:3 * DIM] = np.add.reduceat(vectors[shape[lo:hi]], at) / size
+        out[f, 2 * DIM:3 * DIM] = np.add.reduceat(shape_vectors[shape[lo:hi]], at) / size
         for k, gap in enumerate((1, 2, 3)):
             alike = np.zeros(hi - lo, dtype=np.float32)
             if hi - lo > gap:
-                same = row[lo:hi - gap] == row[lo + gap:hi]
-                alike[:-gap] = np.einsum("ij,ij->i", w[:-gap], w[gap:]) * same
+                alike[:-gap] = np.einsum("ij,ij->i", w[:-gap], w[gap:]) * (row[:-gap] == row[gap:])
             out[f, 3 * DIM + k] = np.add.reduceat(alike, at) / size[:, 0]
-        spread = np.log1p(size[:, 0])
-        out[f, 3 * DIM + 3], out[f, 3 * DIM + 4] = spread, np.sqrt(1 / size[:, 0])
+        out[f, 3 * DIM + 3], out[f, 3 * DIM + 4] = np.log1p(size[:, 0]), np.sqrt(1 / size[:, 0])
     return out
 
 
-def featured(docs: DataFrame, vectors: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``features`` (binary, 32-bit floats) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)         # BUCKETS x DIM numbers
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            rows = []
-            for _, _, data, offsets in text_chunks(text):
-                raw = pooled(shared.value, data, offsets).tobytes()
-                rows += [raw[i:i + 4 * FEATURES] for i in range(0, len(raw), 4 * FEATURES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*keep, "features"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features binary")
+def chunk_features(left: pa.Table, right: pa.Table) -> pa.Table:
+    """doc_id, t and features (binary, 32-bit floats) of a chunk's rows, from its row and the (of, word, v) it asked for."""
+    chunk = {c: left[c][0] for c in left.column_names}
+    keys = chunk["keys"].values.to_numpy().view(np.uint64)
+    table = np.zeros((len(keys), DIM), dtype=np.float32)
+    if right.num_rows:
+        raw = np.frombuffer(b"".join(right["v"].to_pylist()), np.int8).reshape(-1, DIM)
+        table[np.searchsorted(keys, right["word"].to_numpy().view(np.uint64))] = raw / np.float32(127)
+    shapes = int(np.searchsorted(keys, SHAPES))
+    shape_vectors = np.zeros((SHAPES, DIM), dtype=np.float32)
+    shape_vectors[keys[:shapes].astype(np.int64)] = table[:shapes]
+    shape = np.frombuffer(chunk["shapes"].as_buffer(), np.uint8)
+    width = np.uint16 if len(keys) - shapes <= 1 << 16 else np.uint32
+    word, ends = np.frombuffer(chunk["words"].as_buffer(), width), np.frombuffer(chunk["ends"].as_buffer(), np.int64)
+    raw = pooled(table[shapes:], shape_vectors, word, shape, ends).tobytes()
+    return pa.table({"doc_id": chunk["doc_id"].values, "t": chunk["t"].values,
+                     "features": pa.array([raw[i:i + 4 * FEATURES] for i in range(0, len(raw), 4 * FEATURES)], pa.binary())})
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text) and features of every row, staged."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    sums = stage(context_sums(rows), "sums")
+    vectors = stage(word_vectors(sums), "vectors")
+    drop(sums)
+    chunks = stage(word_chunks(rows), "chunks")
+    asked = chunks.select(F.col("chunk").alias("of"), F.explode("keys").alias("word")).join(vectors, "word").select("of", "word", "v")
+    out = stage(chunks.groupBy("chunk").cogroup(asked.groupBy("of")).applyInArrow(chunk_features, "doc_id long, t long, features binary"), "features")
+    drop(chunks)
+    drop(vectors)
+    return out
 
 
 class Network:
@@ -225,8 +303,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
     by one; null labels are ignored, of several the least counts; other
     columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = stage(featured(rows, word_vectors(context_sums(rows)), ["doc_id"]), "features")
+    features = featured(docs)
     if features.isEmpty():
         return features.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     net = fit(features, labels, fold(F.col("doc_id"), folds) != 0, max_rows)
@@ -238,22 +315,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds: int = 5, max_rows: int = 20000) -> DataFrame:
     """The documents that score ``cut`` or more, all their columns; training as in ``quality_scores``.
 
-    No text is shuffled: the word table and the training rows come from
-    passes over the texts, and the last pass filters them.
+    Rows are judged by doc_id and text: those whose score is under ``cut`` are taken out by a join.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if rows.isEmpty():
+    features = featured(docs)
+    if features.isEmpty():
         return docs
-    vectors = word_vectors(context_sums(rows))
-    usable = fold(F.col("doc_id"), folds) != 0
-    sample = F.broadcast(training_rows(labels, "quality", usable, max_rows).select("doc_id"))           # max_rows rows
-    net = fit(featured(rows.join(sample, "doc_id", "left_semi"), vectors, ["doc_id"]), labels, usable, max_rows)
-    shared, column = docs.sparkSession.sparkContext.broadcast((vectors, net)), docs.columns.index("text")
-
-    def run(batches):
-        table, network = shared.value
-        for batch in batches:
-            good = [network.score(pooled(table, data, offsets)) >= cut for _, _, data, offsets in text_chunks(batch.column(column))]
-            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
-
-    return docs.mapInArrow(run, docs.schema)
+    net = fit(features, labels, fold(F.col("doc_id"), folds) != 0, max_rows)
+    rejected = scored(features, net, ["doc_id", "t"]).where(F.col("score") < cut).select(F.col("doc_id").alias("_bad"), F.col("t").alias("_bad_t")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"))
+    return rows.join(rejected, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_t") == F.col("_bad_t")), "left_anti").select("row.*")
