@@ -2,14 +2,15 @@
 
 1. Every word (run of letters and digits, or of symbols, case kept) and
    every word *shape* (symbols or letters, capitals, length) has a sparse
-   random index vector, a rule on its hash.  The vector of a word is the sum
+   random index vector, a rule on its key.  The vector of a word is the sum
    of the index vectors of its neighbours (two to each side) over *all*
-   documents.  Each word has a row of its own in one Spark table, which
-   grows with the vocabulary: tasks add up their words, a grouped sum merges them.
-   Vectors are normalised, rid of the common direction and rounded to 8 bits.
-2. A chunk of texts is staged as positions in the list of its distinct words,
-   asks for these words' vectors by a join (one row per word and chunk) and
-   meets them by a cogroup on its id.  No task, nor the driver, holds the whole table.
+   documents.  Words are counted first: one that occurs twice or more and
+   makes up at least ``share`` of all words has a row of its own, so the
+   table grows with the corpus to at most 1 / ``share`` rows; rarer words
+   share ``BUCKETS`` rows by hash.
+2. Tasks add up the rows they meet, a grouped sum merges them.  Vectors are
+   normalised, rid of the common direction and rounded to 8 bits; this table
+   (40 bytes a row, 42 MB at most) is broadcast.
 3. A document pools its words' vectors: means and mean squares, the mean of
    its shapes' vectors, and how alike neighbouring words are (which tells
    repetition).  One row of ``FEATURES`` numbers per document is staged.
@@ -26,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirro.llm.storage import drop, stage
 from cirro.llm.textops import Rolling, class_runs, mix, text_chunks
 
-SHAPES = 64                                                 # keys below are shapes, all others words
+SHAPES = 64                                                 # keys below are shapes,
+BUCKETS = 1 << 14                                           # the next ones buckets, all others words
+FIRST = SHAPES + BUCKETS
+SHARE = 2.0**-20
+TOTAL = -1                                                  # its count is that of all words
 DIM = 32
 NONZERO = 2
 FEATURES = 3 * DIM + 5
@@ -63,7 +67,8 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         z = np.zeros(0, dtype=np.int64)
         return z.astype(np.uint64), z, z
     key = Rolling(data).of(start, end)
-    key[key < SHAPES] += np.uint64(SHAPES)
+    key[key < FIRST] += np.uint64(FIRST)
+    key[key == 2**64 - 1] -= np.uint64(1)
     upper, lower = (np.concatenate(([0], np.cumsum(t[data]))) for t in (_UPPER, _LOWER))
     up, low = upper[end] - upper[start], lower[end] - lower[start]
     case = (up > 0) + 2 * (low > 0)                          # none, capitals, small, both
@@ -71,8 +76,37 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return key, (kind - 1) * 32 + case * 8 + length, row
 
 
+def frequent_words(rows: DataFrame, share: float = SHARE) -> np.ndarray:
+    """The keys, ascending, of the words with rows of their own: at most 1 / ``share``."""
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
+                word, _, _ = word_keys(data, offsets)
+                found, n = np.unique(word, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(found.view(np.int64), TOTAL)), pa.array(np.append(n, len(word)))], names=["word", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stage(counts, "words")
+    total = counts.where(F.col("word") == TOTAL).select("n").first()
+    if total is None:
+        drop(counts)
+        return np.zeros(0, dtype=np.uint64)
+    found = counts.where((F.col("word") != TOTAL) & (F.col("n") >= share * total[0])).select("word").toArrow()
+    drop(counts)
+    return np.sort(found["word"].to_numpy().view(np.uint64))
+
+
+def row_keys(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The key of each word's row: its own or its bucket's."""
+    out = word % np.uint64(BUCKETS) + np.uint64(SHAPES)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
+        out = np.where(frequent[at] == word, word, out)
+    return out
+
+
 def slice_sums(word: np.ndarray, shape: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, (keys, DIM) sums) of the words and shapes of one chunk, a slice of words at a time."""
+    """(keys, (keys, DIM) sums) of the rows and shapes of one chunk, a slice of words at a time."""
     for a in range(0, len(word), SLICE):
         here = slice(a, a + SLICE + 2)                       # pairs that begin in the slice
         found, at = np.unique(word[here], return_inverse=True)
@@ -92,12 +126,15 @@ def slice_sums(word: np.ndarray, shape: np.ndarray, row: np.ndarray) -> Iterator
         yield keys[used], out[used]
 
 
-def context_sums(rows: DataFrame) -> DataFrame:
-    """word (its key) and s0, s1, ...: summed index vectors of its neighbours over all texts."""
+def context_sums(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """word (the row's key) and s0, s1, ...: summed index vectors of its neighbours over all texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)          # 1 / SHARE keys at most
+
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
-                for keys, sums in slice_sums(*word_keys(data, offsets)):
+                word, shape, row = word_keys(data, offsets)
+                for keys, sums in slice_sums(row_keys(word, shared.value), shape, row):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums.T)], names=["word", *SUMS])
 
     parts = rows.select("text").mapInArrow(run, "word long, " + ", ".join(f"{c} long" for c in SUMS))
@@ -136,27 +173,6 @@ def word_vectors(sums: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "word long, v binary")
 
 
-def word_chunks(rows: DataFrame) -> DataFrame:
-    """One row per chunk of the rows (doc_id, t, text): its id, the rows' doc_id and t, where their words end,
-    the distinct keys (shapes, then words, ascending without sign), per word the place among the distinct words, and the shape."""
-    def run(batches):
-        first, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
-                word, shape, row = word_keys(data, offsets)
-                found, at = np.unique(word, return_inverse=True)
-                keys = np.concatenate((np.unique(shape).astype(np.uint64), found)).view(np.int64)
-                ends = np.searchsorted(row, np.arange(b - a), side="right").astype(np.int64)
-                small = at.astype(np.uint16 if len(found) <= 1 << 16 else np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + n]), *(pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)),
-                     pa.array([keys], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, small, shape.astype(np.uint8)))],
-                    names=["chunk", "doc_id", "t", "keys", "ends", "words", "shapes"])
-                n += 1
-
-    return rows.mapInArrow(run, "chunk long, doc_id array<long>, t array<long>, keys array<long>, ends binary, words binary, shapes binary")
-
-
 def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, shape: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(rows, FEATURES) of one chunk; rows without words are zero.  ``word``, ``shape``: places in the two tables."""
     begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -180,37 +196,49 @@ def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, sha
     return out
 
 
-def chunk_features(left: pa.Table, right: pa.Table) -> pa.Table:
-    """doc_id, t and features (binary, 32-bit floats) of a chunk's rows, from its row and the (of, word, v) it asked for."""
-    chunk = {c: left[c][0] for c in left.column_names}
-    keys = chunk["keys"].values.to_numpy().view(np.uint64)
-    table = np.zeros((len(keys), DIM), dtype=np.float32)
-    if right.num_rows:
-        raw = np.frombuffer(b"".join(right["v"].to_pylist()), np.int8).reshape(-1, DIM)
-        table[np.searchsorted(keys, right["word"].to_numpy().view(np.uint64))] = raw / np.float32(127)
-    shapes = int(np.searchsorted(keys, SHAPES))
-    shape_vectors = np.zeros((SHAPES, DIM), dtype=np.float32)
-    shape_vectors[keys[:shapes].astype(np.int64)] = table[:shapes]
-    shape = np.frombuffer(chunk["shapes"].as_buffer(), np.uint8)
-    width = np.uint16 if len(keys) - shapes <= 1 << 16 else np.uint32
-    word, ends = np.frombuffer(chunk["words"].as_buffer(), width), np.frombuffer(chunk["ends"].as_buffer(), np.int64)
-    raw = pooled(table[shapes:], shape_vectors, word, shape, ends).tobytes()
-    return pa.table({"doc_id": chunk["doc_id"].values, "t": chunk["t"].values,
-                     "features": pa.array([raw[i:i + 4 * FEATURES] for i in range(0, len(raw), 4 * FEATURES)], pa.binary())})
-
-
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text) and features of every row, staged."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    sums = stage(context_sums(rows), "sums")
-    vectors = stage(word_vectors(sums), "vectors")
+def chunk_features(table: tuple[np.ndarray, np.ndarray], frequent: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, FEATURES) of a chunk of texts.  ``table``: keys, ascending, and their vectors; keys without a row are zero."""
+    keys, v = table
+    word, shape, row = word_keys(data, offsets)
+    found, at = np.unique(row_keys(word, frequent), return_inverse=True)
+    ends = np.searchsorted(row, np.arange(len(offsets) - 1), side="right")
+
+    def vectors(wanted: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(wanted), DIM), dtype=np.float32)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            there = keys[place] == wanted
+            out[there] = v[place[there]] / np.float32(127)
+        return out
+
+    return pooled(vectors(found), vectors(np.arange(SHAPES, dtype=np.uint64)), at, shape, ends)
+
+
+def word_table(docs: DataFrame, share: float = SHARE):
+    """Broadcast ((keys, vectors), frequent words) of all texts: at most 1 / ``share`` + FIRST rows."""
+    rows = docs.select("text")
+    frequent = frequent_words(rows, share)
+    sums = stage(context_sums(rows, frequent), "sums")
+    found = word_vectors(sums).toArrow()
     drop(sums)
-    chunks = stage(word_chunks(rows), "chunks")
-    asked = chunks.select(F.col("chunk").alias("of"), F.explode("keys").alias("word")).join(vectors, "word").select("of", "word", "v")
-    out = stage(chunks.groupBy("chunk").cogroup(asked.groupBy("of")).applyInArrow(chunk_features, "doc_id long, t long, features binary"), "features")
-    drop(chunks)
-    drop(vectors)
-    return out
+    keys = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    v = np.frombuffer(b"".join(found["v"].to_pylist()), np.int8).reshape(-1, DIM)
+    return docs.sparkSession.sparkContext.broadcast(((keys[order], v[order]), frequent))
+
+
+def featured(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``features`` (binary, 32-bit floats) of every row.  ``shared``: that of ``word_table``."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, _, data, offsets in text_chunks(batch.column(batch.num_columns - 1), CHUNK):
+                raw = chunk_features(*shared.value, data, offsets).tobytes()
+                rows += [raw[i:i + 4 * FEATURES] for i in range(0, len(raw), 4 * FEATURES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*keep, "features"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features binary")
 
 
 class Network:
@@ -303,7 +331,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
     by one; null labels are ignored, of several the least counts; other
     columns are ignored; an empty table gives no rows.
     """
-    features = featured(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    features = stage(featured(rows, word_table(rows), ["doc_id"]), "features")
     if features.isEmpty():
         return features.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     net = fit(features, labels, fold(F.col("doc_id"), folds) != 0, max_rows)
@@ -315,12 +344,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds:
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds: int = 5, max_rows: int = 20000) -> DataFrame:
     """The documents that score ``cut`` or more, all their columns; training as in ``quality_scores``.
 
-    Rows are judged by doc_id and text: those whose score is under ``cut`` are taken out by a join.
+    No text is shuffled: the word table and the training rows come from
+    passes over the texts, and the last pass filters them.
     """
-    features = featured(docs)
-    if features.isEmpty():
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.isEmpty():
         return docs
-    net = fit(features, labels, fold(F.col("doc_id"), folds) != 0, max_rows)
-    rejected = scored(features, net, ["doc_id", "t"]).where(F.col("score") < cut).select(F.col("doc_id").alias("_bad"), F.col("t").alias("_bad_t")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"))
-    return rows.join(rejected, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_t") == F.col("_bad_t")), "left_anti").select("row.*")
+    words, usable = word_table(rows), fold(F.col("doc_id"), folds) != 0
+    sample = F.broadcast(training_rows(labels, "quality", usable, max_rows).select("doc_id"))           # max_rows rows
+    net = fit(featured(rows.join(sample, "doc_id", "left_semi"), words, ["doc_id"]), labels, usable, max_rows)
+    column = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            good = [net.score(chunk_features(*words.value, data, offsets)) >= cut for _, _, data, offsets in text_chunks(batch.column(column), CHUNK)]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

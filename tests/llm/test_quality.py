@@ -1,7 +1,7 @@
 """Word vectors and pooled features against plain loops, in one slice and many."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -29,15 +29,24 @@ def _words(text):
     return [int(k) for k in key], [int(s) for s in shape]
 
 
+def _row_words(rows, share):
+    """Each row's row keys and shapes: words that occur twice and reach the share have their own."""
+    every = [_words(text) for _, text in rows]
+    counts = Counter(k for words, _ in every for k in words)
+    own = {k for k, n in counts.items() if n >= max(2, share * sum(counts.values()))}
+    return [([k if k in own else k % quality.BUCKETS + SHAPES for k in words], shapes) for words, shapes in every], own
+
+
 def _entries(key):
     place, sign = quality.index_vectors(np.array([key], np.uint64))
     return [(int(place[0, k]), float(sign[0, k])) for k in range(NONZERO)]
 
 
-def _plain(rows):
+def _plain(rows, share):
+    every, own = _row_words(rows, share)
     sums = defaultdict(lambda: np.zeros(DIM))
-    for _, text in rows:
-        for seq in _words(text):
+    for pair in every:
+        for seq in pair:
             for i, x in enumerate(seq):
                 for j in range(max(0, i - 2), min(len(seq), i + 3)):
                     if j != i:
@@ -49,8 +58,7 @@ def _plain(rows):
     for k, v in unit.items():
         vectors[k] = (v - common) / np.linalg.norm(v - common)
     out = []
-    for doc_id, text in rows:
-        words, shapes = _words(text)
+    for (doc_id, _), (words, shapes) in zip(rows, every):
         x = np.zeros(FEATURES)
         if words:
             w, n = np.array([vectors[k] for k in words]), len(words)
@@ -60,38 +68,39 @@ def _plain(rows):
                 x[3 * DIM + gap - 1] = sum(w[i] @ w[i + gap] for i in range(n - gap)) / n
             x[3 * DIM + 3:] = np.log1p(n), np.sqrt(1 / n)
         out.append((doc_id, x))
-    return dict(sums), out
+    return own, dict(sums), out
 
 
-@pytest.mark.parametrize("limit", [None, 64])
-def test_brute_force(spark, rows, monkeypatch, limit):
-    if limit:                                                # the plain loops stay; tasks hold a few words only
-        monkeypatch.setattr(quality, "CHUNK", limit)
-        monkeypatch.setattr(quality, "SLICE", 5)
+@pytest.mark.parametrize("share, slice_", [(quality.SHARE, quality.SLICE), (0.08, 5)])
+def test_brute_force(spark, rows, monkeypatch, share, slice_):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sums, plain = _plain(rows)
-    # Closures are sent by value only for code outside modules, so the small sizes are tried here as well.
+    own, sums, plain = _plain(rows, share)
+    frequent = quality.frequent_words(docs, share)
+    assert frequent.tolist() == sorted(own) and 0 < len(own)
+    table = {r["word"] & (1 << 64) - 1: np.array(r[1:], float) for r in quality.context_sums(docs, frequent).collect()}
+    assert all((table.get(k, 0) == v).all() for k, v in sums.items())
+    monkeypatch.setattr(quality, "SLICE", slice_)             # slices of a text add up to the same
     got = defaultdict(lambda: np.zeros(DIM))
     for _, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        for keys, part in quality.slice_sums(*quality.word_keys(data, np.array([0, len(data)]))):
+        word, shape, row = quality.word_keys(data, np.array([0, len(data)]))
+        for keys, part in quality.slice_sums(quality.row_keys(word, frequent), shape, row):
             for k, v in zip(keys.tolist(), part):
                 got[k] += v
-    assert set(k for k, v in got.items() if v.any()) == set(k for k, v in sums.items() if v.any())
     assert all((got[k] == v).all() for k, v in sums.items())
-    table = {r["word"] & (1 << 64) - 1: np.array(r[1:], float) for r in quality.context_sums(docs).collect()}
-    assert all((table.get(k, 0) == v).all() for k, v in sums.items())
-    found = sorted(((r["doc_id"] is None, r["doc_id"], np.frombuffer(bytes(r["features"]), np.float32)) for r in quality.featured(docs).collect()),
-                   key=lambda r: (r[0], r[1] or 0, r[2].tolist()))
-    want = sorted(((i is None, i, x) for i, x in plain), key=lambda r: (r[0], r[1] or 0, r[2].tolist()))
-    assert [r[1] for r in found] == [r[1] for r in want]
+    found = quality.featured(docs, quality.word_table(docs, share), ["doc_id"]).collect()
+    found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, np.frombuffer(bytes(r["features"]), np.float32)) for r in found), key=lambda r: (*r[:2], r[2].round(1).tolist()))
+    want = sorted(((i is None, i or 0, x) for i, x in plain), key=lambda r: (*r[:2], r[2].astype(np.float32).round(1).tolist()))
+    assert [r[:2] for r in found] == [r[:2] for r in want]
     for a, b in zip(found, want):
         assert np.abs(a[2] - b[2]).max() < 0.02              # vectors are rounded to 1 in 127
 
 
-def test_every_word_has_a_row(spark):
-    texts = spark.range(4000).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") * 10 + i) for i in range(10)]).alias("text"))
-    assert quality.context_sums(texts.select(F.col("id").alias("doc_id"), "text")).where(~F.col("word").between(0, SHAPES - 1)).count() > 39900
+def test_table_grows_with_the_vocabulary(spark):
+    for n in (500, 5000):
+        texts = spark.range(n).select(F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") * 10 + i) for i in range(10)]).alias("text"))
+        assert len(quality.frequent_words(texts.union(texts))) == 10 * n
+        assert len(quality.frequent_words(texts)) == 0
 
 
 def test_keep_good_takes_out_rejected_rows_only(spark, rows):
