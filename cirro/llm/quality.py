@@ -23,8 +23,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +31,8 @@ from pyspark.sql import functions as F
 from cirro.llm.storage import drop, stage
 from cirro.llm.textops import Rolling, class_runs, mix, text_chunks
 
-SHAPES = 64                                                 # keys below are shapes,
-BUCKETS = 1 << 14                                           # the next ones buckets, all others words
+SHAPES = 64                                                 # the first rows of the table are shapes',
+BUCKETS = 1 << 14                                           # the next ones buckets, then come frequent words
 FIRST = SHAPES + BUCKETS
 SHARE = 2.0**-20
 TOTAL = -1                                                  # its count is that of all words
@@ -42,7 +40,7 @@ DIM = 32
 NONZERO = 2
 FEATURES = 3 * DIM + 5
 CHUNK = 2 << 20                                             # bytes of text
-SLICE = 1 << 18                                             # words whose sums are held at once
+SLICE = 1 << 17                                             # words whose neighbours are added up at once
 UNIT = float(1 << 30)
 SUMS = [f"s{i}" for i in range(DIM)]
 
@@ -52,12 +50,14 @@ _LOWER = np.zeros(256, dtype=np.int64)
 _LOWER[97:123] = 1
 
 
-def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, sign), each (keys, NONZERO): the entries of the keys' index vectors."""
-    h = mix(keys + np.uint64(17))
-    place = np.stack([h >> np.uint64(8 * k) & np.uint64(DIM - 1) for k in range(NONZERO)], axis=1)
-    sign = np.stack([h >> np.uint64(60 + k) & np.uint64(1) for k in range(NONZERO)], axis=1)
-    return place.astype(np.int64), 1.0 - 2.0 * sign
+def index_vectors(frequent: np.ndarray) -> np.ndarray:
+    """(rows, DIM) signed bytes: the index vectors of shapes and buckets (by number) and frequent words (by key)."""
+    h = mix(np.concatenate((np.arange(FIRST, dtype=np.uint64), frequent)) + np.uint64(17))
+    out, row = np.zeros((len(h), DIM), dtype=np.int8), np.arange(len(h))
+    for k in range(NONZERO):
+        place = (h >> np.uint64(8 * k) & np.uint64(DIM - 1)).astype(np.int64)
+        out[row, place] += np.where(h >> np.uint64(60 + k) & np.uint64(1), -1, 1).astype(np.int8)
+    return out
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,46 +96,52 @@ def frequent_words(rows: DataFrame, share: float = SHARE) -> np.ndarray:
     return np.sort(found["word"].to_numpy().view(np.uint64))
 
 
-def row_keys(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The key of each word's row: its own or its bucket's."""
-    out = word % np.uint64(BUCKETS) + np.uint64(SHAPES)
+def table_rows(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The table's row of each word: its own or its bucket's."""
+    out = (word % np.uint64(BUCKETS)).astype(np.int64) + SHAPES
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
-        out = np.where(frequent[at] == word, word, out)
+        out = np.where(frequent[at] == word, at + FIRST, out)
     return out
 
 
-def slice_sums(word: np.ndarray, shape: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, (keys, DIM) sums) of the rows and shapes of one chunk, a slice of words at a time."""
-    for a in range(0, len(word), SLICE):
-        here = slice(a, a + SLICE + 2)                       # pairs that begin in the slice
-        found, at = np.unique(word[here], return_inverse=True)
-        keys = np.concatenate((np.arange(SHAPES, dtype=np.uint64), found))
-        place, sign = index_vectors(keys)
-        rows, out = row[here], np.zeros(len(keys) * DIM)
+def add_neighbours(out: np.ndarray, index: np.ndarray, own: np.ndarray, row: np.ndarray) -> None:
+    """Adds to ``out`` the index vectors of the neighbours of ``own`` (table rows of words or shapes, in text order)."""
+    n = len(own)
+    for a in range(0, n, SLICE):
+        lo, hi = max(0, a - 2), min(n, a + SLICE + 2)
+        e = index[own[lo:hi]]
+        near = np.zeros_like(e)
         for gap in (1, 2):
-            same = np.flatnonzero(rows[:-gap] == rows[gap:])
-            same = same[same < SLICE]
-            for own in (at + SHAPES, shape[here]):
-                one, two = own[same], own[same + gap]
-                for x, y in ((one, two), (two, one)):
-                    for k in range(NONZERO):
-                        out += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=len(out))
-        out = out.reshape(-1, DIM)
-        used = out.any(axis=1)
-        yield keys[used], out[used]
+            if hi - lo > gap:
+                same = (row[lo:hi - gap] == row[lo + gap:hi])[:, None]
+                near[:-gap] += e[gap:] * same
+                near[gap:] += e[:-gap] * same
+        here = own[a:a + SLICE]
+        order = np.argsort(here, kind="stable")
+        begin = np.flatnonzero(np.diff(here[order], prepend=-1))
+        out[here[order[begin]]] += np.add.reduceat(near[a - lo:a - lo + len(here)][order], begin, axis=0, dtype=np.int32)
 
 
 def context_sums(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """word (the row's key) and s0, s1, ...: summed index vectors of its neighbours over all texts."""
+    """word (its row in the table) and s0, s1, ...: summed index vectors of its neighbours over all texts.
+
+    A task holds one sum of 128 bytes for each row of the table.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)          # 1 / SHARE keys at most
 
     def run(batches):
+        index = index_vectors(shared.value)
+        out = np.zeros((len(index), DIM), dtype=np.int32)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 word, shape, row = word_keys(data, offsets)
-                for keys, sums in slice_sums(row_keys(word, shared.value), shape, row):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums.T)], names=["word", *SUMS])
+                for own in (table_rows(word, shared.value), shape):
+                    add_neighbours(out, index, own, row)
+        used = np.flatnonzero(out.any(axis=1))
+        for a in range(0, len(used), 1 << 14):
+            part = used[a:a + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c.astype(np.int64)) for c in out[part].T)], names=["word", *SUMS])
 
     parts = rows.select("text").mapInArrow(run, "word long, " + ", ".join(f"{c} long" for c in SUMS))
     return parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in SUMS))
@@ -173,8 +179,11 @@ def word_vectors(sums: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "word long, v binary")
 
 
-def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, shape: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(rows, FEATURES) of one chunk; rows without words are zero.  ``word``, ``shape``: places in the two tables."""
+def pooled(table: np.ndarray, frequent: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, FEATURES) of a chunk of texts; rows without words are zero.  ``table``: the vectors as signed bytes."""
+    word, shape, row = word_keys(data, offsets)
+    word, ends = table_rows(word, frequent), np.searchsorted(row, np.arange(len(offsets) - 1), side="right")
+    shapes = table[:SHAPES] / np.float32(127)
     begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
     out = np.zeros((len(ends), FEATURES), dtype=np.float32)
     full = np.flatnonzero(ends > begin)
@@ -183,10 +192,10 @@ def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, sha
         lo, hi = begin[f[0]], ends[f[-1]]
         at, n = begin[f] - lo, (ends - begin)[f]
         size, row = n[:, None].astype(np.float32), np.repeat(np.arange(len(f)), n)
-        w = vectors[word[lo:hi]]
+        w = table[word[lo:hi]] / np.float32(127)
         out[f, :DIM] = np.add.reduceat(w, at) / size
         out[f, DIM:2 * DIM] = np.add.reduceat(w * w, at) / size
-        out[f, 2 * DIM:3 * DIM] = np.add.reduceat(shape_vectors[shape[lo:hi]], at) / size
+        out[f, 2 * DIM:3 * DIM] = np.add.reduceat(shapes[shape[lo:hi]], at) / size
         for k, gap in enumerate((1, 2, 3)):
             alike = np.zeros(hi - lo, dtype=np.float32)
             if hi - lo > gap:
@@ -196,35 +205,16 @@ def pooled(vectors: np.ndarray, shape_vectors: np.ndarray, word: np.ndarray, sha
     return out
 
 
-def chunk_features(table: tuple[np.ndarray, np.ndarray], frequent: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, FEATURES) of a chunk of texts.  ``table``: keys, ascending, and their vectors; keys without a row are zero."""
-    keys, v = table
-    word, shape, row = word_keys(data, offsets)
-    found, at = np.unique(row_keys(word, frequent), return_inverse=True)
-    ends = np.searchsorted(row, np.arange(len(offsets) - 1), side="right")
-
-    def vectors(wanted: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(wanted), DIM), dtype=np.float32)
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            there = keys[place] == wanted
-            out[there] = v[place[there]] / np.float32(127)
-        return out
-
-    return pooled(vectors(found), vectors(np.arange(SHAPES, dtype=np.uint64)), at, shape, ends)
-
-
 def word_table(docs: DataFrame, share: float = SHARE):
-    """Broadcast ((keys, vectors), frequent words) of all texts: at most 1 / ``share`` + FIRST rows."""
+    """Broadcast (vectors, frequent words) of all texts: at most 1 / ``share`` + FIRST rows."""
     rows = docs.select("text")
     frequent = frequent_words(rows, share)
     sums = stage(context_sums(rows, frequent), "sums")
     found = word_vectors(sums).toArrow()
     drop(sums)
-    keys = found["word"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    v = np.frombuffer(b"".join(found["v"].to_pylist()), np.int8).reshape(-1, DIM)
-    return docs.sparkSession.sparkContext.broadcast(((keys[order], v[order]), frequent))
+    table = np.zeros((FIRST + len(frequent), DIM), dtype=np.int8)
+    table[found["word"].to_numpy()] = np.frombuffer(b"".join(found["v"].to_pylist()), np.int8).reshape(-1, DIM)
+    return docs.sparkSession.sparkContext.broadcast((table, frequent))
 
 
 def featured(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
@@ -233,7 +223,7 @@ def featured(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for _, _, data, offsets in text_chunks(batch.column(batch.num_columns - 1), CHUNK):
-                raw = chunk_features(*shared.value, data, offsets).tobytes()
+                raw = pooled(*shared.value, data, offsets).tobytes()
                 rows += [raw[i:i + 4 * FEATURES] for i in range(0, len(raw), 4 * FEATURES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*keep, "features"])
 
@@ -357,7 +347,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, folds: int =
 
     def run(batches):
         for batch in batches:
-            good = [net.score(chunk_features(*words.value, data, offsets)) >= cut for _, _, data, offsets in text_chunks(batch.column(column), CHUNK)]
+            good = [net.score(pooled(*words.value, data, offsets)) >= cut for _, _, data, offsets in text_chunks(batch.column(column), CHUNK)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,24 +34,21 @@ def _row_words(rows, share):
     every = [_words(text) for _, text in rows]
     counts = Counter(k for words, _ in every for k in words)
     own = {k for k, n in counts.items() if n >= max(2, share * sum(counts.values()))}
-    return [([k if k in own else k % quality.BUCKETS + SHAPES for k in words], shapes) for words, shapes in every], own
-
-
-def _entries(key):
-    place, sign = quality.index_vectors(np.array([key], np.uint64))
-    return [(int(place[0, k]), float(sign[0, k])) for k in range(NONZERO)]
+    place = {k: quality.FIRST + i for i, k in enumerate(sorted(own))}
+    return [([place.get(k, k % quality.BUCKETS + SHAPES) for k in words], shapes) for words, shapes in every], own
 
 
 def _plain(rows, share):
     every, own = _row_words(rows, share)
+    index = quality.index_vectors(np.array(sorted(own), np.uint64))
+    assert (np.abs(index.astype(int)).sum(axis=1) % 2 == 0).all() and (index != 0).sum(axis=1).max() == NONZERO
     sums = defaultdict(lambda: np.zeros(DIM))
     for pair in every:
         for seq in pair:
             for i, x in enumerate(seq):
                 for j in range(max(0, i - 2), min(len(seq), i + 3)):
                     if j != i:
-                        for place, sign in _entries(seq[j]):
-                            sums[x][place] += sign
+                        sums[x] += index[seq[j]]
     unit = {k: v / np.linalg.norm(v) for k, v in sums.items() if v.any()}
     common = np.mean(list(unit.values()), axis=0)
     vectors = defaultdict(lambda: np.zeros(DIM))
@@ -77,16 +74,16 @@ def test_brute_force(spark, rows, monkeypatch, share, slice_):
     own, sums, plain = _plain(rows, share)
     frequent = quality.frequent_words(docs, share)
     assert frequent.tolist() == sorted(own) and 0 < len(own)
-    table = {r["word"] & (1 << 64) - 1: np.array(r[1:], float) for r in quality.context_sums(docs, frequent).collect()}
+    table = {r["word"]: np.array(r[1:], float) for r in quality.context_sums(docs, frequent).collect()}
     assert all((table.get(k, 0) == v).all() for k, v in sums.items())
     monkeypatch.setattr(quality, "SLICE", slice_)             # slices of a text add up to the same
-    got = defaultdict(lambda: np.zeros(DIM))
+    index = quality.index_vectors(frequent)
+    got = np.zeros(index.shape, np.int32)
     for _, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         word, shape, row = quality.word_keys(data, np.array([0, len(data)]))
-        for keys, part in quality.slice_sums(quality.row_keys(word, frequent), shape, row):
-            for k, v in zip(keys.tolist(), part):
-                got[k] += v
+        for seq in (quality.table_rows(word, frequent), shape):
+            quality.add_neighbours(got, index, seq, row)
     assert all((got[k] == v).all() for k, v in sums.items())
     found = quality.featured(docs, quality.word_table(docs, share), ["doc_id"]).collect()
     found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, np.frombuffer(bytes(r["features"]), np.float32)) for r in found), key=lambda r: (*r[:2], r[2].round(1).tolist()))
