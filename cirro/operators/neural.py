@@ -60,10 +60,10 @@ def network(which: int, width: int, hidden=(50,), activation: str = "relu", alph
     net = Network([rng.normal(size=(a, b)) * np.sqrt(2.0 / a) for a, b in zip(sizes, sizes[1:])], [np.zeros(b) for b in sizes[1:]], activation)
     params = [p for pair in zip(net.weights, net.biases) for p in pair]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    best, best_loss, waited, step = None, np.inf, 0, 0
+    best, best_loss, waited, step, ahead = None, np.inf, 0, 0, None
     for epoch in range(max_epochs):
         for batch in range(batches):
-            *sums, count = yield _batch(which, net, held, epoch, batch, batches, seed)
+            *sums, count = ahead if batch == 0 and ahead else (yield _batch(which, net, held, epoch, batch, batches, seed))
             if count[0] == 0:
                 continue
             step += 1
@@ -74,7 +74,8 @@ def network(which: int, width: int, hidden=(50,), activation: str = "relu", alph
                 new.append(p - rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8))
             params = new
             net = Network(params[::2], params[1::2], activation, epoch + 1)
-        (loss, rows), = yield _held_out(which, net, held, seed)
+        # The epoch's loss and the gradients that the next epoch begins with are those of one network: one step for both.
+        *ahead, (loss, rows) = yield _held_out(which, net, held, seed, _batch(which, net, held, epoch + 1, 0, batches, seed) if epoch + 1 < max_epochs else None)
         loss = loss / max(rows, 1.0)
         if loss < best_loss - tol:
             best, best_loss, waited = net, loss, 0
@@ -88,16 +89,20 @@ def network(which: int, width: int, hidden=(50,), activation: str = "relu", alph
 def _batch(which, net, held, epoch, batch, batches, seed):
     def partial(b: Block):
         at = b.of(which)
-        key = b.key[at]
-        own = (uniform(key, seed) >= held) & (np.floor(uniform(key, seed, 1 + epoch) * batches) == batch)
+        own = (_share(b, seed)[at] >= held) & (np.floor(b.once(("epoch", seed, epoch), lambda: uniform(b.key, seed, 1 + epoch))[at] * batches) == batch)
         x, y = b.x[at[own]], b.y[at[own]]
         return [*net.gradients(x, y), np.array([float(len(y))])]
     return Request(partial)
 
 
-def _held_out(which, net, held, seed):
+def _share(b: Block, seed: int) -> np.ndarray:
+    return b.once(("share", seed), lambda: uniform(b.key, seed))
+
+
+def _held_out(which, net, held, seed, following: Request | None = None):
+    """Request: (sum of losses, rows) of the held-out rows, after the sums of ``following``."""
     def partial(b: Block):
         at = b.of(which)
-        at = at[uniform(b.key[at], seed) < held]
-        return [np.array([log_loss(net.probability(b.x[at]), b.y[at]), float(len(at))])]
+        at = at[_share(b, seed)[at] < held]
+        return [*(following.partial(b) if following else []), np.array([log_loss(net.probability(b.x[at]), b.y[at]), float(len(at))])]
     return Request(partial)

@@ -35,6 +35,7 @@ from cirro.session import cut_lineage
 
 BLOCK_ROWS = 2048
 LOCAL_BYTES = 64 << 20
+TASK_BLOCKS = 128                     # of a partition at most, where there are more than cores
 NONE, TRAIN, TEST = 0, 1, 2
 
 
@@ -48,10 +49,22 @@ class Block:
     key: np.ndarray
     role: np.ndarray
     run: str = ""
+    known: dict = field(default_factory=dict)
 
     def of(self, which: int) -> np.ndarray:
         return np.flatnonzero(self.role[which] == TRAIN)
 
+    def columns(self) -> np.ndarray:
+        """Bins with each feature's together."""
+        return self.once(("columns",), lambda: np.ascontiguousarray(self.bins.T))
+
+    def once(self, key: tuple, made: Callable[[], np.ndarray]) -> np.ndarray:
+        """What several programs or steps ask of a block's rows; the last value of each kind and seed, of forests that of each tree."""
+        kept, rest = (key, ()) if key[0] == "times" else (key[:2], key[2:])
+        if self.known.get(kept, (None,))[0] != rest:
+            self.known[kept] = (rest, made())
+        return self.known[kept][1]
+
 
 @dataclass
 class Request:
@@ -118,13 +131,17 @@ def training_table(rows: DataFrame, features: Sequence[str], label: str, key: st
                 cols = [x.tobytes(), binned.tobytes(), np.asarray(b.column("y"), dtype=float).tobytes(), b.column("k").to_numpy().tobytes(), np.ascontiguousarray(role).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], names=["n", "x", "bins", "y", "key", "role"])
 
-    blocks = flat.repartition(max(1, min(rows.sparkSession.sparkContext.defaultParallelism * 4, -(-rows.count() // BLOCK_ROWS)))).mapInArrow(
+    # Every partition sends its own sums in each step: as few as the cores and the size of one allow.
+    count = -(-rows.count() // BLOCK_ROWS)
+    blocks = flat.repartition(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, count), -(-count // TASK_BLOCKS))).mapInArrow(
         run, "n int, x binary, bins binary, y binary, key binary, role binary")
     return Table(cut_lineage(blocks.withColumn("number", F.monotonically_increasing_id())), edges, s)
 
 
 def _decoded(batch, width: int, n_sets: int, run: str) -> Iterator[Block]:
-    for n, x, bins, y, key, role, number in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "bins", "y", "key", "role", "number"))):
+    for i in range(batch.num_rows):
+        n, number = (batch.column(c)[i].as_py() for c in ("n", "number"))
+        x, bins, y, key, role = (batch.column(c)[i].as_buffer() for c in ("x", "bins", "y", "key", "role"))
         yield Block(number, np.frombuffer(x).reshape(n, width), np.frombuffer(bins, np.uint8).reshape(n, width), np.frombuffer(y),
                     np.frombuffer(key, np.int64).view(np.uint64), np.frombuffer(role, np.uint8).reshape(n_sets, n), run)
 

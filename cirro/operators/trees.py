@@ -18,13 +18,14 @@ best-first search would make gives the same tree as growing leaf by leaf.
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 
 from cirro.operators.programs import Block, Request, uniform
 
-CELLS = 1 << 21                       # of a histogram that is asked for at once
+CELLS = 1 << 19                       # of a histogram that is asked for at once
 
 
 @dataclass
@@ -91,8 +92,8 @@ class Growing:
         return a, a + 1
 
     def arrays(self, count: int) -> dict:
-        return {"roots": np.arange(count), "feature": np.array(self.feature), "threshold": np.array(self.threshold), "bin": np.array(self.bin),
-                "left": np.array(self.left), "right": np.array(self.right)}
+        return {"roots": np.arange(count), "tree": np.array(self.tree), "feature": np.array(self.feature), "threshold": np.array(self.threshold),
+                "bin": np.array(self.bin), "left": np.array(self.left)}
 
     def finished(self, count: int) -> Trees:
         """With each tree's nodes together."""
@@ -107,21 +108,36 @@ class Growing:
         return Trees(new[:count], f(self.feature, np.int64), f(self.threshold), moved(self.left), moved(self.right), f(self.value), f(self.gain), f(self.cover))
 
 
-def node_of(trees: dict, bins: np.ndarray | None, x: np.ndarray, depth: int) -> np.ndarray:
-    """The node of each row in each tree as far as it has grown (by bins, or by values)."""
-    at = np.repeat(trees["roots"][None], len(x), axis=0)
-    row = np.arange(len(x))[:, None]
+def node_of(trees: dict, b: Block, rows: np.ndarray, by_value: bool, depth: int) -> np.ndarray:
+    """The node of each of the block's ``rows`` in each tree as far as it has grown (by bins, or by values); right children follow left ones."""
+    feature, here = trees["feature"], np.arange(len(trees["feature"]))
+    inner = feature >= 0
+    pick, down = np.maximum(feature, 0), np.where(inner, trees["left"], here)
+    cells, limit = (b.x.reshape(-1), trees["threshold"]) if by_value else (b.bins.reshape(-1), np.where(inner, trees["bin"], 255).astype(np.uint8))
+    at = np.repeat(trees["roots"][None], len(rows), axis=0)
+    start = (rows * b.x.shape[1])[:, None]
     for _ in range(depth):
-        f = trees["feature"][at]
-        pick = np.maximum(f, 0)
-        low = bins[row, pick] <= trees["bin"][at] if bins is not None else x[row, pick] <= trees["threshold"][at]
-        at = np.where(f >= 0, np.where(low, trees["left"][at], trees["right"][at]), at)
+        v = cells.take(start + pick.take(at))
+        right = ~(v <= limit.take(at)) & inner.take(at) if by_value else v > limit.take(at)
+        at = down.take(at) + right
     return at
 
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([1.0, 1, 2, 6, 24, 120, 720, 5040, 40320]))
 
 
+def trees_of(shape: dict, nodes: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(the trees that hold ``nodes`` with their nodes only, the place of each node kept among ``nodes`` or -1, numbers of these trees)."""
+    own = np.unique(shape["tree"][nodes])
+    kept = np.flatnonzero(np.isin(shape["tree"], own))
+    new = np.full(len(shape["tree"]), -1)
+    new[kept] = np.arange(len(kept))
+    place = np.full(len(kept), -1)
+    place[new[nodes]] = np.arange(len(nodes))
+    left = shape["left"][kept]
+    return {"roots": new[own], "left": np.where(left >= 0, new[np.maximum(left, 0)], -1), **{c: shape[c][kept] for c in ("feature", "threshold", "bin")}}, place, own
+
+
 def class_sums(which: int):
     """Request for (rows, positive rows) of a set."""
     def partial(b: Block):
@@ -182,30 +198,29 @@ def forest(which: int, width: int, edges=None, trees: int = 100, depth: int = 8,
     for level in range(depth + 1):
         if not front:
             break
-        rng = np.random.default_rng([seed, level])
-        wanted = np.sort(np.argsort(rng.random((len(front), width)), axis=1)[:, :m], axis=1)
-        chance = rng.random((len(front), m))
+        last, shape = level == depth, grown.arrays(trees)
+        if not last:
+            rng = np.random.default_rng([seed, level])
+            wanted = np.sort(np.argsort(rng.random((len(front), width)), axis=1)[:, :m], axis=1)
+            chance = rng.random((len(front), m))
         new: list[int] = []
-        chunk = max(1, CELLS // (m * n_bins))
+        chunk = CELLS if last else max(1, CELLS // (m * n_bins))
         for a in range(0, len(front), chunk):
-            nodes, cand, draw = np.array(front[a:a + chunk]), wanted[a:a + chunk], chance[a:a + chunk]
-            shape = grown.arrays(trees)
-            place = np.full(len(shape["feature"]), -1)
-            place[nodes] = np.arange(len(nodes))
-            own_trees = np.unique(np.array(grown.tree)[nodes])
-            some = {**shape, "roots": own_trees}
-            rows = _node_rows(which, some, place, own_trees, level, bootstrap, random_thresholds, balance, seed)
-            if random_thresholds:
+            nodes = np.array(front[a:a + chunk])
+            rows = _node_rows(which, *trees_of(shape, nodes), level, bootstrap, random_thresholds, balance, seed)
+            if last:                                                  # nothing is split there
+                best, gain, (tn, tp) = None, None, (yield _totals(rows, len(nodes)))
+            elif random_thresholds:
+                cand = wanted[a:a + chunk]
                 low, high = yield _ranges(rows, cand)
-                cuts = low + draw * (high - low)
-                sums = yield _sides(rows, cand, cuts, min_leaf)
+                cuts = low + chance[a:a + chunk] * (high - low)
+                best, gain, tn, tp = yield _sides(rows, cand, cuts, min_leaf)
             else:
-                cuts = None
-                sums = yield _histograms(rows, cand, n_bins, min_leaf)
-            best, gain, tn, tp = sums
+                cand = wanted[a:a + chunk]
+                best, gain, tn, tp = yield _histograms(rows, cand, n_bins, min_leaf)
             for i, node in enumerate(nodes.tolist()):
                 grown.value[node], grown.cover[node] = (tp[i] / tn[i] if tn[i] > 0 else 0.5), tn[i]
-                if level < depth and gain[i] > 1e-12:
+                if not last and gain[i] > 1e-12:
                     j, at_bin = (int(best[i]), 0) if random_thresholds else divmod(int(best[i]), n_bins)
                     f = int(cand[i, j])
                     if not random_thresholds and at_bin >= len(edges[f]):
@@ -219,23 +234,38 @@ def _node_rows(which, shape, place, own_trees, level, bootstrap, by_value, balan
     """For a block: (rows, their place among the asked nodes, weight) of all (row, tree) pairs that are in one."""
     def rows(b: Block):
         at = b.of(which)
-        node = place[node_of(shape, None if by_value else b.bins[at], b.x[at], level)]
+        node = place.take(node_of(shape, b, at, by_value, level)).reshape(-1)
         w = np.repeat(_weights(b.y[at], balance)[:, None], len(own_trees), axis=1)
         if bootstrap:
             for i, t in enumerate(own_trees.tolist()):
-                w[:, i] *= np.searchsorted(_POISSON, uniform(b.key[at], seed, t), side="right")
-        here = (node >= 0) & (w > 0)
-        return at[np.nonzero(here)[0]], node[here], w[here]
+                w[:, i] *= _times(b, seed, t)[at]
+        w = w.reshape(-1)
+        here = np.flatnonzero((node >= 0) & (w > 0))
+        return at[here // len(own_trees)], node[here], w[here]
     return rows
 
 
+def _times(b: Block, seed: int, tree: int) -> np.ndarray:
+    """How often a tree draws each row; all forests of a seed draw alike."""
+    return b.once(("times", seed, tree), lambda: np.searchsorted(_POISSON, uniform(b.key, seed, tree), side="right").astype(np.uint8))
+
+
+def _totals(rows, k):
+    """Request: weight of all and of the positive rows of each node."""
+    def partial(b: Block):
+        r, node, w = rows(b)
+        return [np.bincount(node, weights=w, minlength=k), np.bincount(node, weights=w * b.y[r], minlength=k)]
+    return Request(partial)
+
+
 def _ranges(rows, cand):
     """Request: the least and largest value of each node's candidate features."""
     def partial(b: Block):
         r, node, _ = rows(b)
         low, high = np.full(cand.shape, np.inf), np.full(cand.shape, np.inf)
+        start, x = r * b.x.shape[1], b.x.reshape(-1)
         for j in range(cand.shape[1]):
-            v = b.x[r, cand[node, j]]
+            v = x.take(start + cand[:, j].take(node))
             np.minimum.at(low[:, j], node, v)
             np.minimum.at(high[:, j], node, -v)
         return [low, high]
@@ -248,11 +278,12 @@ def _sides(rows, cand, cuts, least):
 
     def partial(b: Block):
         r, node, w = rows(b)
-        y = b.y[r]
-        out = [np.bincount(node, weights=w, minlength=k), np.bincount(node, weights=w * y, minlength=k), np.empty((k, m)), np.empty((k, m))]
+        wy, start, x = w * b.y[r], r * b.x.shape[1], b.x.reshape(-1)
+        out = [np.bincount(node, weights=w, minlength=k), np.bincount(node, weights=wy, minlength=k), np.empty((k, m)), np.empty((k, m))]
         for j in range(m):
-            low = (b.x[r, cand[node, j]] <= cuts[node, j]) * w
-            out[2][:, j], out[3][:, j] = np.bincount(node, weights=low, minlength=k), np.bincount(node, weights=low * y, minlength=k)
+            low = np.flatnonzero(x.take(start + cand[:, j].take(node)) <= cuts[:, j].take(node))
+            at = node.take(low)
+            out[2][:, j], out[3][:, j] = np.bincount(at, weights=w.take(low), minlength=k), np.bincount(at, weights=wy.take(low), minlength=k)
         return out
 
     def finish(s):
@@ -269,8 +300,9 @@ def _histograms(rows, cand, n_bins, least):
         r, node, w = rows(b)
         wy = w * b.y[r]
         out = [np.bincount(node, weights=w, minlength=k), np.bincount(node, weights=wy, minlength=k), np.empty((k, m, n_bins)), np.empty((k, m, n_bins))]
+        start, base, bins = r * b.bins.shape[1], node * n_bins, b.bins.reshape(-1)
         for j in range(m):
-            cell = node * n_bins + b.bins[r, cand[node, j]]
+            cell = base + bins.take(start + cand[:, j].take(node))
             out[2][:, j] = np.bincount(cell, weights=w, minlength=k * n_bins).reshape(k, n_bins)
             out[3][:, j] = np.bincount(cell, weights=wy, minlength=k * n_bins).reshape(k, n_bins)
         return out
@@ -311,21 +343,27 @@ class Boosted:
         return out / out.sum() if out.sum() > 0 else out
 
 
-_MARGINS: dict[tuple, tuple[int, np.ndarray]] = {}             # what a worker still knows; worked out anew where it doesn't
-KEPT_MARGINS = 4096
+_MARGINS: dict[tuple, tuple[int, np.ndarray]] = {}             # what a worker still knows, the last used at the end; worked out anew where it doesn't
+KEPT_MARGINS = 256 << 20                                       # bytes
+_kept = 0
 
 
-def _margin(model: Boosted, b: Block, at: np.ndarray, name: str) -> np.ndarray:
+def _margin(base: float, rate: float, trees: list[bytes], b: Block, at: np.ndarray, name: str) -> np.ndarray:
+    """Of pickled trees, of which a worker reads those it has not added yet."""
+    global _kept
     key = (b.run, name, b.number)
-    done, out = _MARGINS.get(key, (0, None))
-    if out is None or done > len(model.trees) or not b.run:
-        done, out = 0, np.full(len(at), model.base)
-    for t in model.trees[done:]:
-        out = out + model.rate * t.value[t.leaves(b.x[at])[:, 0]]
+    done, out = _MARGINS.pop(key, (0, None))
+    _kept -= 0 if out is None else out.nbytes
+    if out is None or done > len(trees) or not b.run:
+        done, out = 0, np.full(len(at), base)
+    x = b.x[at] if done < len(trees) else None
+    for t in map(pickle.loads, trees[done:]):
+        out = out + rate * t.value[t.leaves(x)[:, 0]]
     if b.run:
-        if len(_MARGINS) > KEPT_MARGINS:
-            _MARGINS.clear()
-        _MARGINS[key] = (len(model.trees), out)
+        _MARGINS[key] = (len(trees), out)
+        _kept += out.nbytes
+        while _kept > KEPT_MARGINS:
+            _kept -= _MARGINS.pop(next(iter(_MARGINS)))[1].nbytes
     return out
 
 
@@ -354,7 +392,7 @@ def boosting(which: int, width: int, edges=None, mode: str = "newton", rounds: i
         return Constant(float(pos > 0))
     balance = _balance(n, pos, balanced)
     start = 0.0 if mode == "newton" else float(np.log(pos * balance[1] / ((n - pos) * balance[0])))
-    model = Boosted(start, rate, [], width)
+    model, sent = Boosted(start, rate, [], width), []
     n_bins = max(len(e) for e in edges) + 1
     name = repr((which, mode, rounds, depth, rate, subsample, columns, l1, l2, leaves, min_hessian, min_leaf, min_split, balanced, seed))
     for r in range(rounds):
@@ -364,7 +402,8 @@ def boosting(which: int, width: int, edges=None, mode: str = "newton", rounds: i
         for level in range(depth + 1):
             if not front:
                 break
-            answer = yield _gradients(which, model, name, grown.arrays(1), np.array(front), level, cols, n_bins, balance, r, subsample, seed,
+            asked = cols if level < depth else cols[:1]              # nothing is split at the last level: one column has all sums
+            answer = yield _gradients(which, (start, rate, [*sent]), name, grown.arrays(1), np.array(front), level, asked, n_bins, balance, r, subsample, seed,
                                       mode, l1, l2, min_hessian, min_leaf, min_split)
             new = []
             for i, node in enumerate(front):
@@ -378,7 +417,8 @@ def boosting(which: int, width: int, edges=None, mode: str = "newton", rounds: i
         if mode == "leafwise":
             best_first(grown, leaves)
         tree = grown.finished(1)
-        model = Boosted(start, rate, [*model.trees, tree], width)
+        model.trees.append(tree)
+        sent.append(pickle.dumps(tree))
     return model
 
 
@@ -397,7 +437,7 @@ def best_first(grown: Growing, leaves: int) -> None:
             grown.feature[node] = -1
 
 
-def _gradients(which, model, name, shape, nodes, level, cols, n_bins, balance, round_, subsample, seed, mode, l1, l2, min_hessian, min_leaf, min_split):
+def _gradients(which, grown, name, shape, nodes, level, cols, n_bins, balance, round_, subsample, seed, mode, l1, l2, min_hessian, min_leaf, min_split):
     """Request: best split, gain, leaf value and hessian of each node, from sums of gradients and hessians per bin."""
     place = np.full(len(shape["feature"]), -1)
     place[nodes] = np.arange(len(nodes))
@@ -405,20 +445,19 @@ def _gradients(which, model, name, shape, nodes, level, cols, n_bins, balance, r
 
     def partial(b: Block):
         at = b.of(which)
-        p = 1 / (1 + np.exp(-_margin(model, b, at, name)))
+        p = 1 / (1 + np.exp(-_margin(*grown, b, at, name)))
         w = _weights(b.y[at], balance)
         if subsample < 1:
-            w = w * (uniform(b.key[at], seed, 1000 + round_) < subsample)
-        node = place[node_of(shape, b.bins[at], b.x[at], level)[:, 0]]
-        here = (node >= 0) & (w > 0)
+            w = w * (b.once(("part", seed, round_), lambda: uniform(b.key, seed, 1000 + round_))[at] < subsample)
+        node = place[node_of(shape, b, at, False, level)[:, 0]]
+        here = np.flatnonzero((node >= 0) & (w > 0))
+        g, h, one = ((p - b.y[at]) * w)[here], (p * (1 - p) * w)[here], w[here] if mode != "classic" else np.ones(len(here))
         node, at = node[here], at[here]
-        g, h, one = ((p - b.y[b.of(which)]) * w)[here], (p * (1 - p) * w)[here], w[here] if mode != "classic" else np.ones(here.sum())
-        out = [np.empty((k, m, n_bins)) for _ in range(3)]
-        for j, c in enumerate(cols):
-            cell = node * n_bins + b.bins[at, c]
-            for o, v in zip(out, (g, h, one)):
-                o[:, j] = np.bincount(cell, weights=v, minlength=k * n_bins).reshape(k, n_bins)
-        return out
+        # Cells of all columns, so that each sum is one call; rows keep their order in every cell.
+        cells = (b.columns().take(cols, axis=0).take(at, axis=1) + (node * (m * n_bins))[None] + (np.arange(m) * n_bins)[:, None]).reshape(-1)
+        sums = [np.bincount(cells, weights=np.tile(v, m), minlength=k * m * n_bins) for v in (g, h)]
+        sums.append(np.bincount(cells, minlength=k * m * n_bins).astype(float) if (one == 1).all() else np.bincount(cells, weights=np.tile(one, m), minlength=k * m * n_bins))
+        return [s.reshape(k, m, n_bins) for s in sums]
 
     def finish(s):
         total = [a[:, 0].sum(axis=1) for a in s]
