@@ -7,7 +7,9 @@
     than the distance within which the boxes surely hold k rows.  Cells of
     few rows are compared row by row.  A remote point meets the few cells that
     face it, never all rows of a far cluster; of rows at one place only the
-    k first by id take part.
+    k first by id take part.  Points that lie close together walk as one block
+    (its tight box stands for them), so what is moved grows with the blocks;
+    points of a block that still faces many rows walk again one by one.
 ``forest_neighbours``  approximate, in many dimensions: several trees cut the
     rows at quantiles of random projections into leaves of bounded size; rows
     of one leaf are compared, and the best of all trees stay.
@@ -21,12 +23,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.session import cut_lineage
 
 LEAF = 48
+BLOCK = 128                           # points that walk together at most
+FACED = 64 * LEAF                     # rows a block of several points may face at most
 
 
 def _total(terms):
@@ -70,34 +75,50 @@ def nearest(points: DataFrame, refs: DataFrame, dim: int, k: int, exclude_self:
     for i in axes:
         point = point & (F.col(f"lo{i}") == F.col(f"hi{i}"))
     cells = cut_lineage(cells.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == deepest) | point))
-    gap = F.sqrt(_total([F.pow(F.greatest(F.col(f"lo{i}") - F.col(f"p{i}"), F.col(f"p{i}") - F.col(f"hi{i}"), F.lit(0.0)), F.lit(2)) for i in axes]))
-    reach = F.sqrt(_total([F.pow(F.greatest(F.abs(F.col(f"p{i}") - F.col(f"lo{i}")), F.abs(F.col(f"p{i}") - F.col(f"hi{i}"))), F.lit(2)) for i in axes]))
-    coords, ids = [f"p{i}" for i in axes], [f"c{i}" for i in axes]
-    sums = Window.partitionBy("pid").orderBy("reach").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.sqrt(_total([F.pow(F.greatest(F.col(f"lo{i}") - F.col(f"b{i}"), F.col(f"a{i}") - F.col(f"hi{i}"), F.lit(0.0)), F.lit(2)) for i in axes]))
+    reach = F.sqrt(_total([F.pow(F.greatest(F.col(f"b{i}") - F.col(f"lo{i}"), F.col(f"hi{i}") - F.col(f"a{i}")), F.lit(2)) for i in axes]))
+    box, ids = [f"{e}{i}" for i in axes for e in "ab"], [f"c{i}" for i in axes]
+    sums = Window.partitionBy("block").orderBy("reach").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def sure(cand: DataFrame) -> DataFrame:
-        """Without the cells that are farther than the distance within which ``want`` rows surely are."""
+        """Without the cells that are farther than the distance within which ``want`` rows surely are of each point."""
         c = cand.withColumn("_sum", F.sum("n").over(sums))
-        c = c.withColumn("_r", F.min(F.when(F.col("_sum") >= want, F.col("reach"))).over(Window.partitionBy("pid")))
+        c = c.withColumn("_r", F.min(F.when(F.col("_sum") >= want, F.col("reach"))).over(Window.partitionBy("block")))
         return c.filter(F.col("_r").isNull() | (F.col("gap") <= F.col("_r") * (1 + 1e-12))).drop("_sum", "_r")
 
-    top = cells.filter("level = 0").withColumnRenamed("sg", "cg")
-    cand = P.join(top, P["pg"].eqNullSafe(top["cg"])).select("pid", "pg", *coords, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
-    cand = cut_lineage(sure(cand))
-    for level in range(0, deepest, step):
-        inner = cand.filter(~F.col("leaf"))
-        if inner.limit(1).count() == 0:
-            break
-        below = cells.filter(F.col("level") == level + step).select(
-            F.col("sg").alias("cg"), "level", *ids, *[F.shiftright(f"c{i}", step).alias(f"u{i}") for i in axes], "n", "leaf", *[f"{e}{i}" for i in axes for e in ("lo", "hi")])
-        at = inner.select("pid", "pg", *coords, *[F.col(c).alias(f"at{i}") for i, c in enumerate(ids)])
-        cond = at["pg"].eqNullSafe(below["cg"])
-        for i in axes:
-            cond = cond & (at[f"at{i}"] == below[f"u{i}"])
-        if 2 ** (dim * (level + step)) <= 4096 and not grouped:              # so many cells at most
-            below = F.broadcast(below)
-        down = at.join(below, cond).select("pid", "pg", *coords, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
-        cand = cut_lineage(sure(cand.filter("leaf").unionByName(down)))
+    def walked(blocks: DataFrame) -> DataFrame:
+        """(block, cell) of the leaves that can hold one of the nearest rows of a block's points."""
+        top = cells.filter("level = 0").withColumnRenamed("sg", "cg")
+        cand = blocks.join(top, blocks["pg"].eqNullSafe(top["cg"])).select("block", "pg", *box, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
+        cand = cut_lineage(sure(cand))
+        for level in range(0, deepest, step):
+            inner = cand.filter(~F.col("leaf"))
+            if inner.limit(1).count() == 0:
+                break
+            below = cells.filter(F.col("level") == level + step).select(
+                F.col("sg").alias("cg"), "level", *ids, *[F.shiftright(f"c{i}", step).alias(f"u{i}") for i in axes], "n", "leaf", *[f"{e}{i}" for i in axes for e in ("lo", "hi")])
+            at = inner.select("block", "pg", *box, *[F.col(c).alias(f"at{i}") for i, c in enumerate(ids)])
+            cond = at["pg"].eqNullSafe(below["cg"])
+            for i in axes:
+                cond = cond & (at[f"at{i}"] == below[f"u{i}"])
+            if 2 ** (dim * (level + step)) <= 4096 and not grouped:              # so many cells at most
+                below = F.broadcast(below)
+            down = at.join(below, cond).select("block", "pg", *box, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
+            cand = cut_lineage(sure(cand.filter("leaf").unionByName(down)))
+        return cand
+
+    # As wide as a cell of LEAF rows, if rows lay evenly: wider blocks would face too many.
+    asked = cut_lineage(_blocks(P, dim, extent / max(1.0, (b[0] / LEAF) ** (1 / dim))))
+    boxes = asked.groupBy("block", "pg").agg(F.count(F.lit(1)).alias("_points"), *[f(f"p{i}").alias(f"{e}{i}") for i in axes for f, e in ((F.min, "a"), (F.max, "b"))])
+    cand = walked(boxes)
+    many = boxes.filter("_points > 1").join(cand.groupBy("block").agg(F.sum("n").alias("_faced")).filter(F.col("_faced") > FACED), "block", "left_semi").select("block")
+    many = cut_lineage(many)
+    if many.limit(1).count():
+        single = asked.join(many, "block", "left_semi").withColumn("block", F.concat("block", F.lit("."), "_i"))
+        single = cut_lineage(single)
+        asked = asked.join(many, "block", "left_anti").unionByName(single)
+        alone = single.select("block", "pg", *[F.col(f"p{i}").alias(f"{e}{i}") for i in axes for e in "ab"])
+        cand = cand.join(many, "block", "left_anti").unionByName(walked(alone))
     # Row by row in the cells that are left.
     level_of = cells.filter("leaf").select("sg", "level", *ids)
     lv = level_of.select(F.col("sg").alias("lg"), F.col("level").alias("ll"), *[F.col(c).alias(f"l{i}") for i, c in enumerate(ids)])
@@ -110,12 +131,84 @@ def nearest(points: DataFrame, refs: DataFrame, dim: int, k: int, exclude_self:
     cond = cand["pg"].eqNullSafe(held["sg"]) & (cand["level"] == held["hl"])
     for i in axes:
         cond = cond & (cand[f"c{i}"] == held[f"h{i}"])
-    j = cand.join(held, cond)
-    if exclude_self:
-        j = j.filter(~F.col("pid").eqNullSafe(F.col("sid")))
-    j = j.select("pid", "sid", F.sqrt(_total([F.pow(F.col(f"p{i}") - F.col(f"s{i}"), F.lit(2)) for i in axes])).alias("_d"))
+    faced = cand.join(held, cond).select(F.col("block").alias("by"), "sid", *[f"s{i}" for i in axes])
+    run = _nearest_of_block(dim, k, exclude_self)
+    kind = {f: d.schema[f].dataType.simpleString() for d, f in ((P, "pid"), (S, "sid"))}
+    near = asked.select("block", "pid", *[f"p{i}" for i in axes]).groupBy("block").cogroup(faced.groupBy("by")).applyInArrow(
+        run, f"pid {kind['pid']}, sid {kind['sid']}, _d double")
     best = Window.partitionBy("pid").orderBy("_d", "sid")
-    return j.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*kinds.split(", "))
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*kinds.split(", "))
+
+
+def _blocks(P: DataFrame, dim: int, widest: float) -> DataFrame:
+    """P with ``block``: at most ``BLOCK`` points of one group that lie within ``widest``, and ``_i``, their numbers in it."""
+    axes, bits = range(dim), min(20, 60 // dim)
+    b = P.agg(*[f(f"p{i}") for f in (F.min, F.max) for i in axes]).first()
+    low = [b[i] if b[i] is not None else 0.0 for i in axes]
+    extent = max([b[dim + i] - low[i] for i in axes if b[i] is not None] + [1e-300])
+    fine = P.select("*", *[F.least(F.floor((F.col(f"p{i}") - low[i]) / extent * 2.0 ** bits), F.lit(2 ** bits - 1)).cast("long").alias(f"_f{i}") for i in axes])
+    # Places along a curve that keeps near ones together.
+    curve = " + ".join(f"shiftleft(shiftright(_f{i}, {x}) & 1, {x * dim + i})" for x in range(bits) for i in axes)
+    rows = fine.withColumn("_z", F.expr(curve)).withColumn("_h", F.xxhash64("pid")).drop(*[f"_f{i}" for i in axes])
+    rows = rows.repartitionByRange("pg", "_z", "_h").sortWithinPartitions("pg", "_z", "_h").withColumn("_part", F.spark_partition_id()).drop("_z", "_h")
+    names = [c for c in rows.columns if c != "_part"]
+
+    def run(batches):
+        count = 0
+        for batch in batches:
+            x = np.stack([batch.column(f"p{i}").to_numpy(zero_copy_only=False) for i in axes], axis=1)
+            group = pc.rank(batch.column("pg"), tiebreaker="dense").to_numpy() if batch.num_rows else np.zeros(0)
+            block, inside = np.empty(batch.num_rows, dtype=np.int64), np.empty(batch.num_rows, dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            todo = [p for p in np.split(np.arange(batch.num_rows), cuts) if len(p)]
+            while todo:
+                at = todo.pop()
+                lo, hi = x[at].min(axis=0), x[at].max(axis=0)
+                axis = int((hi - lo).argmax())
+                side = x[at, axis] <= lo[axis] + (hi[axis] - lo[axis]) / 2
+                if (len(at) > BLOCK or hi[axis] - lo[axis] > widest) and side.any() and not side.all():
+                    todo += [at[side], at[~side]]
+                    continue
+                for a in range(0, len(at), BLOCK):
+                    own = at[a:a + BLOCK]
+                    block[own], inside[own] = count, np.arange(len(own))
+                    count += 1
+            part = batch.column("_part")[0].as_py() if batch.num_rows else 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f"{part}:{n}" for n in block.tolist()], pa.string()), pa.array(inside.astype(str).tolist(), pa.string())],
+                                             names=[*names, "block", "_i"])
+
+    return rows.mapInArrow(run, P.select(*names).schema.add("block", "string").add("_i", "string"))
+
+
+def _nearest_of_block(dim: int, k: int, exclude_self: bool):
+    """The ``k`` nearest rows of each point of a block, ties by sid."""
+    def run(points: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows["sid"], null_placement="at_start"))
+        p, s = (np.stack([t[f"{c}{i}"].to_numpy() for i in range(dim)], axis=1) for t, c in ((points, "p"), (rows, "s")))
+        own, found, far = [], [], []
+        if exclude_self:
+            both = pa.chunked_array([*points["pid"].chunks, *rows["sid"].cast(points.schema.field("pid").type).chunks], type=points.schema.field("pid").type)
+            code = pc.rank(both, null_placement="at_start", tiebreaker="dense").to_numpy()
+        chunk = max(1, (1 << 20) // max(len(s), 1))
+        for a in range(0, len(p) if len(s) else 0, chunk):
+            d = np.zeros((len(p[a:a + chunk]), len(s)))
+            for i in range(dim):
+                d += (p[a:a + chunk, i, None] - s[None, :, i]) ** 2
+            d = np.sqrt(d)
+            other = np.ones(d.shape, dtype=bool)
+            if exclude_self:
+                other = code[a:a + chunk][:len(d), None] != code[None, len(p):]
+                d = np.where(other, d, np.inf)
+            near = np.argsort(d, axis=1, kind="stable")[:, :k + exclude_self]
+            at = np.arange(len(d))[:, None]
+            kept = other[at, near]
+            own.append(np.broadcast_to(a + at, near.shape)[kept])
+            found.append(near[kept])
+            far.append(d[at, near][kept])
+        own, found, far = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((own, np.int64), (found, np.int64), (far, float)))
+        return pa.table([points["pid"].take(pa.array(own)), rows["sid"].take(pa.array(found)), pa.array(far)], names=["pid", "sid", "_d"])
+
+    return run
 
 
 # --- many dimensions ------------------------------------------------------------------------
