@@ -48,6 +48,9 @@ def nearest(points: DataFrame, refs: DataFrame, dim: int, k: int, exclude_self:
     Coordinates are doubles without NULL or NaN; pids and sids are unique.  Points whose group
     has no row are left out; fewer than ``k`` rows are all returned.
     """
+    nested = {c for d in (points, refs) for c in d.columns if c in ("pid", "sid", "pg", "sg") and d.schema[c].dataType.simpleString().startswith(("struct", "array", "map"))}
+    if nested:
+        return _nearest_by_point(points, refs, dim, k, exclude_self)
     grouped = "sg" in refs.columns
     P, S = (d if grouped else d.withColumn(g, F.lit(0)) for d, g in ((points, "pg"), (refs, "sg")))
     want = k + exclude_self
@@ -157,9 +160,9 @@ def _blocks(P: DataFrame, dim: int, widest: float) -> DataFrame:
         count = 0
         for batch in batches:
             x = np.stack([batch.column(f"p{i}").to_numpy(zero_copy_only=False) for i in axes], axis=1)
-            group = pc.rank(batch.column("pg"), tiebreaker="dense").to_numpy() if batch.num_rows else np.zeros(0)
+            group = batch.column("pg").to_pylist()                  # of any type
             block, inside = np.empty(batch.num_rows, dtype=np.int64), np.empty(batch.num_rows, dtype=np.int64)
-            cuts = np.flatnonzero(np.diff(group)) + 1
+            cuts = [i for i in range(1, len(group)) if group[i] != group[i - 1]]
             todo = [p for p in np.split(np.arange(batch.num_rows), cuts) if len(p)]
             while todo:
                 at = todo.pop()
@@ -211,6 +214,83 @@ def _nearest_of_block(dim: int, k: int, exclude_self: bool):
     return run
 
 
+def _nearest_by_point(points: DataFrame, refs: DataFrame, dim: int, k: int, exclude_self: bool = False) -> DataFrame:
+    """``nearest`` for ids or groups that are structs: every point walks alone."""
+    grouped = "sg" in refs.columns
+    P, S = (d if grouped else d.withColumn(g, F.lit(0)) for d, g in ((points, "pg"), (refs, "sg")))
+    want = k + exclude_self
+    axes = range(dim)
+    same_place = Window.partitionBy("sg", *[f"s{i}" for i in axes]).orderBy("sid")
+    S = cut_lineage(S.withColumn("_n", F.row_number().over(same_place)).filter(F.col("_n") <= want).drop("_n"))
+    b = S.agg(F.count(F.lit(1)), *[f(f"s{i}") for f in (F.min, F.max) for i in axes]).first()
+    kinds = "pid, sid, rank, _d"
+    if not b[0]:
+        return points.limit(0).select("pid", F.col("pid").alias("sid"), F.lit(0).alias("rank"), F.lit(0.0).alias("_d"))
+    low = [b[1 + i] for i in axes]
+    extent = max([b[1 + dim + i] - low[i] for i in axes] + [1e-300])
+    step = 2 if dim <= 3 else 1
+    deepest = step * math.ceil((math.log2(b[0] + 1) / dim + 6) / step)
+    # Every level's cells in one pass: counts and boxes.
+    fine = [F.least(F.floor((F.col(f"s{i}") - low[i]) / extent * 2.0 ** deepest), F.lit(2 ** deepest - 1)).cast("long") for i in axes]
+    placed = S.select("*", *[c.alias(f"f{i}") for i, c in enumerate(fine)])
+    levels = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest), F.lit(step))))
+
+    def cell(i, level):
+        return F.expr(f"shiftright(f{i}, {deepest} - {level})")
+    cells = levels.groupBy("sg", "level", *[cell(i, "level").alias(f"c{i}") for i in axes]).agg(
+        F.count(F.lit(1)).alias("n"), *[f(f"s{i}").alias(f"{e}{i}") for i in axes for f, e in ((F.min, "lo"), (F.max, "hi"))])
+    point = F.lit(True)
+    for i in axes:
+        point = point & (F.col(f"lo{i}") == F.col(f"hi{i}"))
+    cells = cut_lineage(cells.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == deepest) | point))
+    gap = F.sqrt(_total([F.pow(F.greatest(F.col(f"lo{i}") - F.col(f"p{i}"), F.col(f"p{i}") - F.col(f"hi{i}"), F.lit(0.0)), F.lit(2)) for i in axes]))
+    reach = F.sqrt(_total([F.pow(F.greatest(F.abs(F.col(f"p{i}") - F.col(f"lo{i}")), F.abs(F.col(f"p{i}") - F.col(f"hi{i}"))), F.lit(2)) for i in axes]))
+    coords, ids = [f"p{i}" for i in axes], [f"c{i}" for i in axes]
+    sums = Window.partitionBy("pid").orderBy("reach").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def sure(cand: DataFrame) -> DataFrame:
+        """Without the cells that are farther than the distance within which ``want`` rows surely are."""
+        c = cand.withColumn("_sum", F.sum("n").over(sums))
+        c = c.withColumn("_r", F.min(F.when(F.col("_sum") >= want, F.col("reach"))).over(Window.partitionBy("pid")))
+        return c.filter(F.col("_r").isNull() | (F.col("gap") <= F.col("_r") * (1 + 1e-12))).drop("_sum", "_r")
+
+    top = cells.filter("level = 0").withColumnRenamed("sg", "cg")
+    cand = P.join(top, P["pg"].eqNullSafe(top["cg"])).select("pid", "pg", *coords, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
+    cand = cut_lineage(sure(cand))
+    for level in range(0, deepest, step):
+        inner = cand.filter(~F.col("leaf"))
+        if inner.limit(1).count() == 0:
+            break
+        below = cells.filter(F.col("level") == level + step).select(
+            F.col("sg").alias("cg"), "level", *ids, *[F.shiftright(f"c{i}", step).alias(f"u{i}") for i in axes], "n", "leaf", *[f"{e}{i}" for i in axes for e in ("lo", "hi")])
+        at = inner.select("pid", "pg", *coords, *[F.col(c).alias(f"at{i}") for i, c in enumerate(ids)])
+        cond = at["pg"].eqNullSafe(below["cg"])
+        for i in axes:
+            cond = cond & (at[f"at{i}"] == below[f"u{i}"])
+        if 2 ** (dim * (level + step)) <= 4096 and not grouped:              # so many cells at most
+            below = F.broadcast(below)
+        down = at.join(below, cond).select("pid", "pg", *coords, "level", *ids, "n", "leaf", gap.alias("gap"), reach.alias("reach"))
+        cand = cut_lineage(sure(cand.filter("leaf").unionByName(down)))
+    # Row by row in the cells that are left.
+    level_of = cells.filter("leaf").select("sg", "level", *ids)
+    lv = level_of.select(F.col("sg").alias("lg"), F.col("level").alias("ll"), *[F.col(c).alias(f"l{i}") for i, c in enumerate(ids)])
+    held = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest), F.lit(step)))).select(
+        "sid", "sg", *[f"s{i}" for i in axes], "level", *[cell(i, "level").alias(f"h{i}") for i in axes])
+    cond = held["sg"].eqNullSafe(lv["lg"]) & (held["level"] == lv["ll"])
+    for i in axes:
+        cond = cond & (held[f"h{i}"] == lv[f"l{i}"])
+    held = held.join(lv, cond, "left_semi").withColumnRenamed("level", "hl")
+    cond = cand["pg"].eqNullSafe(held["sg"]) & (cand["level"] == held["hl"])
+    for i in axes:
+        cond = cond & (cand[f"c{i}"] == held[f"h{i}"])
+    j = cand.join(held, cond)
+    if exclude_self:
+        j = j.filter(~F.col("pid").eqNullSafe(F.col("sid")))
+    j = j.select("pid", "sid", F.sqrt(_total([F.pow(F.col(f"p{i}") - F.col(f"s{i}"), F.lit(2)) for i in axes])).alias("_d"))
+    best = Window.partitionBy("pid").orderBy("_d", "sid")
+    return j.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*kinds.split(", "))
+
+
 # --- many dimensions ------------------------------------------------------------------------
 FAN = 4
 
